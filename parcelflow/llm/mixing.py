@@ -79,16 +79,29 @@ def queues(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, repeats: int =
     return rows.withColumn("copies", F.filter(copy, lambda c: c["words"] > 0)).select("doc_id", "source", "size", "source_size", "target", "shuffle", "copies")
 
 
-def mix(docs: DataFrame, whole: bool = True, **options) -> DataFrame:
-    """The mix itself: doc_id, source, epoch, virtual_finish, words, range-sorted by virtual finish time.
+#: Decisions by document up to this many are broadcast (a hash and a few numbers each); beyond it they are joined by shuffle.
+BROADCAST_DECISIONS = 1_000_000
 
-    whole: a document of which at least half is taken comes whole, one of which less is taken not at all.
+
+def mix(docs: DataFrame, **options) -> DataFrame:
+    """docs, columns unchanged, as mixed: a row per copy taken, range-sorted by virtual finish time.
+
+    A copy of which at least half is taken comes whole, one of which less is taken not at all; documents of size 0 never.
     """
-    out = queues(docs, **options).select("doc_id", "source", "size", "shuffle", F.explode("copies").alias("c")).select("doc_id", "source", "size", "shuffle", "c.*")
-    if whole:
-        out = out.filter(2 * F.col("words") >= F.col("size"))
-    by = ["virtual_finish", "source", "shuffle", "epoch"]
-    return out.repartitionByRange(*by).sortWithinPartitions(*by)
+    queue = queues(docs, **options)
+    seed = options.get("seed", 11)
+    copies = F.filter("copies", lambda c: 2 * c["words"] >= F.col("size"))
+    taken = materialize(queue.select("shuffle", copies.alias("copies")).filter(F.size("copies") > 0), "mix-taken")
+    # Rows with one hash are equal rows: their copies are pooled, and one of the rows carries them all.
+    taken = taken.groupBy(F.col("shuffle").alias("__key")).agg(F.flatten(F.collect_list(F.col("copies")["virtual_finish"])).alias("__finish"))
+    rows = docs.select(F.struct(*docs.columns).alias("__row"), F.xxhash64(F.lit(seed), "doc_id", F.col("source").cast("string"), "text").alias("__hash"))
+    repeated = rows.groupBy("__hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("__hash")
+    if not repeated.isEmpty():
+        single = rows.join(repeated, "__hash", "left_semi").groupBy("__hash").agg(F.first("__row").alias("__row")).select("__row", "__hash")
+        rows = rows.join(repeated, "__hash", "left_anti").union(single)
+    side = F.broadcast(taken) if taken.count() <= BROADCAST_DECISIONS else taken
+    out = rows.join(side, F.col("__hash") == F.col("__key")).select("__row", "__hash", F.explode("__finish").alias("__finish"))
+    return out.repartitionByRange("__finish", "__hash").sortWithinPartitions("__finish", "__hash").select("__row.*")
 
 
 def op1_mix_sources(spark, sf_dir: str) -> DataFrame:

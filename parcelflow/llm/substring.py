@@ -193,16 +193,17 @@ def _strip(window: int, keep_text: bool):
     return run
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, batches: int = 2, keep_text: bool = False) -> DataFrame:
-    """doc_id, uid, n_words, n_removed, kept_sha256, kept (text left of partly repeated documents, with keep_text).
+def repeats(docs: DataFrame, window: int = WINDOW, batches: int = 2, keep_text: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(prints, stripped, copies): fingerprints by row; n_removed, kept_sha256, kept by uid of partly repeated texts; uids of repeated rows.
 
     All documents are judged on the input: the index takes them in `batches` runs, is compacted, and its repeated
     anchors nominate windows of every batch. One copy of each text is indexed; further copies are known by uid.
     """
     spark = docs.sparkSession
     prints = materialize(fingerprint(docs, window), "prints")
-    texts = prints.groupBy("uid").agg(F.count(F.lit(1)).alias("copies"), F.first("grams").alias("grams"), F.first("starts").alias("starts"), F.first("spans").alias("spans"))
-    anchors = materialize(texts.select("uid", "copies", F.explode(F.arrays_zip("grams", "starts", "spans")).alias("x")).select("uid", F.col("x.grams").alias("gram"), F.col("x.starts").alias("s"), F.col("x.spans").alias("n")), "anchors")
+    texts = prints.groupBy("uid").agg(F.first("grams").alias("grams"), F.first("starts").alias("starts"), F.first("spans").alias("spans"))
+    anchors = texts.select("uid", F.explode(F.arrays_zip("grams", "starts", "spans")).alias("x"))
+    anchors = materialize(anchors.select("uid", F.col("x.grams").alias("gram"), F.col("x.starts").alias("s"), F.col("x.spans").alias("n")), "anchors")
     index = FingerprintIndex(spark)
     for k in range(batches):
         index.append(anchors.filter(F.pmod("uid", F.lit(batches)) == k))
@@ -223,21 +224,36 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, batches: int = 2, keep
     stripped = materialize(stripped, "stripped")
     discard(windows)
     discard(some)
-    copies = prints.groupBy("uid").agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1")
-    out = prints.select("doc_id", "uid", "n_words", "full_sha").join(stripped, "uid", "left").join(copies, "uid", "left")
-    every = F.col("copies").isNotNull() & (F.col("n_words") >= window)
+    copies = prints.groupBy("uid").agg(F.count(F.lit(1)).alias("copies"), F.first("n_words").alias("copy_words")).filter(f"copies > 1 and copy_words >= {window}").select("uid", "copies")
+    return prints, stripped, copies
+
+
+def remove_repeats(docs: DataFrame, window: int = WINDOW, batches: int = 2) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256: a row per document."""
+    prints, stripped, copies = repeats(docs, window, batches)
+    out = prints.select("doc_id", "uid", "n_words", "full_sha").join(stripped.drop("kept"), "uid", "left").join(copies, "uid", "left")
+    every = F.col("copies").isNotNull()
     return out.select(
         "doc_id",
-        "uid",
         "n_words",
         F.when(every, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
         F.when(every, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.coalesce("kept_sha256", "full_sha")).alias("kept_sha256"),
-        F.when(every, F.lit("")).otherwise(F.col("kept")).alias("kept"),
     )
 
 
+def strip_documents(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """docs, columns unchanged, with repeated passages cut from the texts; documents that lose every word go."""
+    _, stripped, copies = repeats(docs, window, keep_text=True)
+    rows = docs.select(F.struct(*docs.columns).alias("__row"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("uid"))
+    rows = rows.join(stripped.select("uid", F.col("kept").alias("__kept")), "uid", "left").join(copies, "uid", "left")
+    rows = rows.filter("copies is null and (__kept is null or __kept != '')")
+    text = F.coalesce("__kept", F.col("__row")["text"])
+    changed = {"text": text, "n_chars": F.when(F.col("__kept").isNotNull(), F.length("__kept").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("__row")["n_chars"])} if "n_chars" in docs.columns else {"text": text}
+    return rows.select(*[changed.get(c, F.col("__row")[c]).alias(c) for c in docs.columns])
+
+
 def op9_substring_dedup(spark, sf_dir: str) -> DataFrame:
-    return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("uid", "kept")
+    return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 ORACLE = r"""

@@ -1 +1 @@
-"""."""
+"""Row operators over transaction tables."""

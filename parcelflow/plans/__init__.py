@@ -1 +1 @@
-"""."""
+"""Market queries over canonical transactions: each a lazy plan, fn(tx, **parameters) -> DataFrame."""

@@ -16,18 +16,21 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parcelflow.llm.common import materialize, mixed, pieces
+from parcelflow.llm.common import materialize, mixed
 
 LENGTH = 2048
 END_ID = 1
 DIMENSIONS = 4
 BITS = 10
 #: Distinct chunks of text whose ids a worker remembers; beyond it the memory is emptied.
-REMEMBERED = 300_000
+REMEMBERED = 1_500_000
+#: Bytes of text that one vectorised step encodes.
+STEP_BYTES = 12_000_000
 #: Tokens that one range should hold, about.
 RANGE_TOKENS = 4_000_000
 
@@ -37,56 +40,75 @@ _tokenizers: dict = {}
 class ChunkTokenizer:
     """Ids of the tokenizer for whole texts, put together from remembered ids of their white-space-free chunks.
 
-    Valid for tokenizers that never join across white space and drop it (word_bpe_49k). Texts with U+001C to U+001F,
-    which Python takes for white space and the tokenizer doesn't, go through the tokenizer whole.
+    Valid for tokenizers that never join across white space and drop it (word_bpe_49k). Texts are parted at ASCII white
+    space; a chunk with any other goes through the tokenizer as it is.
     """
 
-    ODD = str.maketrans(dict.fromkeys("\x1c\x1d\x1e\x1f", ""))
-
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        # For lower-case words in one call: the same model behind nothing but the parting of words and the mapping of bytes.
+        self.bare = Tokenizer(self.tokenizer.model)
+        self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.wide = self.tokenizer.get_vocab_size(with_added_tokens=True) > 1 << 16
         self.kind = np.dtype("<u4" if self.wide else "<u2")
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
 
     def _bytes(self, ids) -> bytes:
         return np.array(ids, self.kind).tobytes()
 
-    def _learn(self, chunks: set[str]) -> None:
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        # Plain words with one mark at the end are the word's ids and the mark's; lower case comes first in either order.
-        parts, need = {}, set()
-        for c in chunks:
-            body, mark = (c[:-1], c[-1]) if len(c) > 1 and c[-1] in ".," and c[:-1].isalpha() and _latin(c) else (c, "")
-            body = body.lower() if _latin(body) else body
-            parts[c] = (body, mark)
-            need.update(x for x in (body, mark) if x and x not in self.known)
-        need = list(need)
-        for x, e in zip(need, self.tokenizer.encode_batch(need, add_special_tokens=False)):
-            self.known[x] = self._bytes(e.ids)
-        for c, (body, mark) in parts.items():
-            self.known[c] = self.known[body] + (self.known[mark] if mark else b"")
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [None if t.translate(self.ODD) != t else t.split() for t in texts]
-        fresh = set()
-        for s in split:
-            if s:
-                fresh.update(s)
-        fresh.difference_update(self.known)
+    def _plain(self, words: list[str]) -> list[bytes]:
+        """Ids of words that are one run of letters each, from one call: a word ends where a token does that ends words."""
+        ids = np.array(self.bare.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, self.kind)
+        ends = np.flatnonzero(self.ends[ids]) + 1
+        if len(ends) != len(words):  # no tokenizer of the kind this is made for
+            return [self._bytes(e.ids) for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
+        raw, size = ids.tobytes(), self.kind.itemsize
+        cuts = [0, *(ends * size).tolist()]
+        return [raw[i:j] for i, j in zip(cuts, cuts[1:])]
+
+    def _learn(self, chunks: list[str]) -> None:
+        plain = [c for c in chunks if c.isalpha() and _plain_letters(c)]
+        if plain:
+            self.known.update(zip(plain, self._plain([c.lower() for c in plain])))
+        other = [c for c in chunks if c not in self.known]
+        self.known.update((c, self._bytes(e.ids)) for c, e in zip(other, self.tokenizer.encode_batch(other, add_special_tokens=False)))
+
+    def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """All ids laid end to end, each text's followed by the end id, and the number of each text's.
+
+        To have fewer chunks, A-Z are lowered first and a mark between a letter and white space is set apart, both of
+        which the tokenizer does itself; texts that might hold its special tokens are left as they are.
+        """
+        if not pc.any(pc.match_substring(texts, "<|")).as_py():
+            texts = pc.replace_substring_regex(pc.ascii_lower(texts), r"(\pL)([.,])([\t-\r ]|$)", r"\1 \2\3")
+        lists = pc.ascii_split_whitespace(texts)
+        coded = lists.flatten().dictionary_encode()
+        words, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        found = list(map(self.known.get, words))
+        fresh = [w for w, ids in zip(words, found) if ids is None]
         if fresh:
             if len(self.known) > REMEMBERED:
                 self.known.clear()
-                fresh = {x for s in split if s for x in s}
+                fresh = words
             self._learn(fresh)
-        get = self.known.__getitem__
-        return [self._bytes(self.tokenizer.encode(t, add_special_tokens=False).ids) if s is None else b"".join(map(get, s)) for t, s in zip(texts, split)]
+            found = list(map(self.known.__getitem__, words))
+        pool = np.frombuffer(b"".join(found), self.kind)
+        size = np.fromiter(map(len, found), np.int32, len(found)) // self.kind.itemsize
+        start = np.cumsum(size, dtype=np.int32) - size
+        n = size[codes]
+        done = np.concatenate((np.zeros(1, np.int64), np.cumsum(n, dtype=np.int64)))
+        flat = pool[np.repeat(start[codes] - done[:-1].astype(np.int32), n) + np.arange(done[-1], dtype=np.int32)]
+        cuts = done[lists.offsets.to_numpy().astype(np.int64)]
+        return np.insert(flat, cuts[1:], end), np.diff(cuts) + 1
 
 
-def _latin(x: str) -> bool:
-    return x.isascii() or max(x) <= "ÿ"
+def _plain_letters(x: str) -> bool:
+    """Letters up to U+00FF that neither composition nor lower-casing changes in any unusual way."""
+    return x.isascii() or max(x) <= "ÿ" and "ª" not in x and "º" not in x
 
 
 def tokenizer_at(path: str) -> ChunkTokenizer:
@@ -134,17 +156,21 @@ def _tokenize(path: str):
         tokenizer = tokenizer_at(path)
         toward = directions(1 << 16 if not tokenizer.wide else tokenizer.tokenizer.get_vocab_size(with_added_tokens=True) + 2)
         for batch in batches:
-            rows = list(enumerate(batch.column("text").to_pylist()))
-            for part in pieces(rows, lambda r: len(r[1]), 2_000_000):
-                ids = tokenizer.encode([t for _, t in part])
-                end = tokenizer._bytes([END_ID])
-                ids = [x + end for x in ids]
-                counts = np.array([len(x) // tokenizer.kind.itemsize for x in ids], np.int64)
-                sums = np.stack([toward[np.frombuffer(x, tokenizer.kind)].sum(axis=0, dtype=np.float64) for x in ids])
+            # Steps of about STEP_BYTES; a longer text stands alone.
+            size = np.cumsum(pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False)) // STEP_BYTES
+            cuts = [0, *(np.flatnonzero(np.diff(size)) + 1).tolist(), batch.num_rows]
+            for i, j in zip(cuts, cuts[1:]):
+                if i == j:
+                    continue
+                part = batch.slice(i, j - i)
+                ids, counts = tokenizer.encode(part.column("text"), END_ID)
+                ends = np.cumsum(counts)
+                sums = np.add.reduceat(toward[ids], ends - counts, axis=0, dtype=np.float64)
                 unit = sums / np.maximum(1e-12, np.linalg.norm(sums, axis=1, keepdims=True))
                 cells = np.clip(((unit + 1) * (1 << (BITS - 1))).astype(np.int64), 0, (1 << BITS) - 1)
-                pick = pa.array([i for i, _ in part], pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pick), batch.column("tie").take(pick), pa.array(hilbert(cells)), pa.array(counts), pa.array(ids, pa.binary())], names=["doc_id", "tie", "key", "n", "ids"])
+                raw, width = ids.tobytes(), tokenizer.kind.itemsize
+                each = [raw[a * width : b * width] for a, b in zip((ends - counts).tolist(), ends.tolist())]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("tie"), pa.array(hilbert(cells)), pa.array(counts), pa.array(each, pa.binary())], names=["doc_id", "tie", "key", "n", "ids"])
 
     return run
 

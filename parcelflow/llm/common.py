@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
+import os
+import shutil
+import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 import numpy as np
 import xxhash
@@ -17,6 +23,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder of the session as a whole address; a local one only where none is named."""
+    ship(spark)
     path = spark._jvm.org.apache.hadoop.fs.Path(spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SCRATCH)
     return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
 
@@ -42,6 +49,20 @@ def discard(df: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def ship(spark: SparkSession) -> None:
+    """Let Python workers import this package wherever they run, once per application."""
+    context = spark.sparkContext
+    if not getattr(context, "_parcelflow_shipped", False):
+        package = Path(__file__).resolve().parents[1]
+        folder = os.path.realpath(tempfile.mkdtemp(prefix="parcelflow-"))
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        with zipfile.ZipFile(f"{folder}/parcelflow-code.zip", "w") as z:
+            for file in sorted(package.rglob("*.py")):
+                z.write(file, file.relative_to(package.parent))
+        context.addPyFile(f"{folder}/parcelflow-code.zip")
+        context._parcelflow_shipped = True
+
+
 def word_count(text: Column) -> Column:
     """Words of a text, JVM-side; null counts as empty."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

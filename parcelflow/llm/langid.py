@@ -199,7 +199,7 @@ def identify(docs: DataFrame, text: Column | None = None, declared: Column | Non
     rows = rows.select("row", F.when(F.col("ll").isNotNull(), added).alias("logs"))
     rows = rows.select("row", _softmax(F.col("logs")).alias("p"))
     best = F.array_position(F.col("p"), F.array_max("p")).cast("int")
-    rows = rows.select("row", F.element_at(F.array(*map(F.lit, model.languages)), best).alias("language"), F.array_max("p").alias("posterior"))
+    rows = rows.select("row", F.when(F.col("p").isNotNull(), F.element_at(F.array(*map(F.lit, model.languages)), best)).alias("language"), F.array_max("p").alias("posterior"))
     return rows.withColumn("kept", F.coalesce(F.col("posterior") >= LEAST_POSTERIOR, F.lit(False)))
 
 

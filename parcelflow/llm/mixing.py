@@ -98,7 +98,7 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     repeated = rows.groupBy("__hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("__hash")
     if not repeated.isEmpty():
         single = rows.join(repeated, "__hash", "left_semi").groupBy("__hash").agg(F.first("__row").alias("__row")).select("__row", "__hash")
-        rows = rows.join(repeated, "__hash", "left_anti").union(single)
+        rows = rows.join(repeated, "__hash", "left_anti").select("__row", "__hash").union(single)
     side = F.broadcast(taken) if taken.count() <= BROADCAST_DECISIONS else taken
     out = rows.join(side, F.col("__hash") == F.col("__key")).select("__row", "__hash", F.explode("__finish").alias("__finish"))
     return out.repartitionByRange("__finish", "__hash").sortWithinPartitions("__finish", "__hash").select("__row.*")

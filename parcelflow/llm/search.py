@@ -4,7 +4,7 @@ Each input partition is indexed as shards of SHARD_DOCS documents, written to th
 documents in blocks of BLOCK. Global statistics (documents, mean length, document frequencies of the queries' terms)
 are aggregated from the shards, so scores are the same however rows are dealt. A shard reads the queries in blocks from
 the shared folder. For each block of documents and query an upper bound is the sum over terms of weight times the
-block's greatest impact; blocks whose bound is below the k-th score already found are skipped. Rare terms are added
+block's greatest impact; blocks whose bound is below the k-th score already found, here or in the first few shards, are skipped. Rare terms are added
 from their postings, frequent ones by a product of dense matrices. All documents within rounding of a shard's k-th score are then
 scored again in one fixed order, and the shards' top k are merged.
 
@@ -18,6 +18,7 @@ of any length are indexed whole; an empty table gives an empty result; other col
 from __future__ import annotations
 
 import io
+import math
 import uuid
 
 import numpy as np
@@ -142,8 +143,8 @@ class Shard:
             self.dense[self.p_doc[a:b], c] = self.p_impact[a:b]
         self.block_max = self.dense.reshape(self.blocks, BLOCK, len(frequent)).max(axis=1) if n else np.zeros((0, 0), np.float32)
 
-    def search(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int):
-        """For each query (sorted term hashes, weights): (documents, scores) of its top k here."""
+    def search(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, floor: np.ndarray):
+        """For each query (sorted term hashes, weights): (documents, scores) of its top k here, none below its floor."""
         n, m = len(self.ids), len(queries)
         rare = np.zeros((m, self.blocks * BLOCK), np.float32)
         often = np.zeros((m, self.dense.shape[1]), np.float32)
@@ -165,7 +166,7 @@ class Shard:
         bound = often @ self.block_max.T + rare.reshape(m, self.blocks, BLOCK).max(axis=2)
         slack = 1e-4 * (1 + bound.max(axis=1)) if self.blocks else np.zeros(m)
         scores = np.full((m, self.blocks * BLOCK), -1.0, np.float32)
-        least = np.zeros(m, np.float32)
+        least = floor.astype(np.float32)
         best = np.zeros((m, k), np.float32)
         for b in np.argsort(-bound.sum(axis=0), kind="stable"):
             # A score of 0 is no match, so a bound of 0 is never visited.
@@ -176,20 +177,21 @@ class Shard:
             got = often[go] @ self.dense[here].T + rare[go, here]
             scores[go, here] = got
             best[go] = -np.partition(-np.concatenate((best[go], got), axis=1), k - 1, axis=1)[:, :k]
-            least[go] = best[go].min(axis=1)
+            least[go] = np.maximum(least[go], best[go].min(axis=1))
         out = []
         for q, (t, w) in enumerate(found):
             near = np.flatnonzero((scores[q, :n] > 0) & (scores[q, :n] >= least[q] - 2 * slack[q]))
             weight = np.zeros(len(self.vocabulary))
             weight[t] = w
             exact = np.array([float(np.sum(x[x > 0])) for x in (weight[self.term[self.starts[d] : self.starts[d + 1]]] * self.impact[self.starts[d] : self.starts[d + 1]] for d in near)])
-            top = np.lexsort((near, -exact))[:k] if len(near) else np.zeros(0, np.int64)
-            out.append((near[top], exact[top] if len(near) else exact))
+            near, exact = near[exact >= floor[q]], exact[exact >= floor[q]]
+            top = np.lexsort((near, -exact))[:k]
+            out.append((near[top], exact[top]))
         return out
 
 
 def query_blocks(root: str, size: int):
-    """The written queries, a block at a time: lists of (query, query_id, terms, weights)."""
+    """The written queries, a block at a time: lists of (query, query_id, floor, terms, weights)."""
     fs, base = file_system(root)
     import pyarrow.fs as pafs
 
@@ -198,11 +200,11 @@ def query_blocks(root: str, size: int):
         with fs.open_input_file(name) as f:
             for batch in pq.ParquetFile(f).iter_batches(size):
                 rows = []
-                for q, i, own in zip(batch.column("query").to_pylist(), batch.column("query_id").to_pylist(), batch.column("terms")):
+                for q, i, floor, own in zip(*(batch.column(c).to_pylist() for c in ("query", "query_id", "floor")), batch.column("terms")):
                     own = own.values
                     terms, weights = own.field("term").to_numpy().view(np.uint64), own.field("weight").to_numpy()
                     order = np.argsort(terms)
-                    rows.append((q, i, terms[order], weights[order]))
+                    rows.append((q, i, floor, terms[order], weights[order]))
                 if rows:
                     yield rows
 
@@ -214,7 +216,7 @@ def _search(root: str, queries: str, mean_length: float, k: int):
                 shard = Shard(load(root, name), mean_length)
                 for rows in query_blocks(queries, QUERY_BLOCK):
                     out = []
-                    for (q, i, _, _), (docs, scores) in zip(rows, shard.search([r[2:] for r in rows], k)):
+                    for (q, i, *_), (docs, scores) in zip(rows, shard.search([r[3:] for r in rows], k, np.array([r[2] for r in rows]))):
                         out += [(q, i, None if shard.null[d] else int(shard.ids[d]), float(s)) for d, s in zip(docs, scores)]
                     cols = list(zip(*out)) or [()] * 4
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.float64()))], names=["query", "query_id", "doc_id", "score"])
@@ -235,10 +237,22 @@ def search(docs: DataFrame, queries: DataFrame, k: int = TOP) -> DataFrame:
     df = dealt.mapInArrow(_frequencies(root), "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).join(wanted, "term", "left_semi")
     idf = F.log(1 + (F.lit(float(n or 0)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weighted = terms.join(materialize(df, "frequencies"), "term").groupBy("query", "query_id").agg(F.collect_list(F.struct("term", (F.col("times") * idf).alias("weight"))).alias("terms"))
-    written = materialize(weighted, "queries")
-    hits = dealt.mapInArrow(_search(root, written.parcelflow_path, float(words or 0) / max(1, n or 0), k), "query long, query_id long, doc_id long, score double")
+    written = materialize(weighted.withColumn("floor", F.lit(0.0)), "queries")
+    mean, kind = float(words or 0) / max(1, n or 0), "query long, query_id long, doc_id long, score double"
     best = Window.partitionBy("query").orderBy(F.desc("score"), F.col("doc_id").asc_nulls_last())
-    return hits.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("long").alias("rank"), "doc_id", "score")
+
+    def ranked(hits: DataFrame) -> DataFrame:
+        return hits.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+
+    # A few shards first: the k-th scores found there are floors for all others, which then skip more and return less.
+    few = math.isqrt(count)
+    first = materialize(shards.select("shard").orderBy("shard").limit(few), "first-shards")
+    found = materialize(ranked(first.repartition(max(1, few), "shard").mapInArrow(_search(root, written.parcelflow_path, mean, k), kind)), "first-hits")
+    floors = found.filter(F.col("rank") == k).select("query", F.col("score").alias("f"))
+    again = materialize(written.join(floors, "query", "left").withColumn("floor", F.coalesce("f", "floor")).drop("f"), "queries")
+    rest = shards.select("shard").join(F.broadcast(first), "shard", "left_anti").repartition(max(1, count), "shard")
+    more = rest.mapInArrow(_search(root, again.parcelflow_path, mean, k), kind)
+    return ranked(found.drop("rank").union(more)).select("query_id", F.col("rank").cast("long").alias("rank"), "doc_id", "score")
 
 
 def op8_bm25_topk(spark, sf_dir: str) -> DataFrame:

@@ -56,3 +56,35 @@ def picker_bounds(snapshot: Snapshot | None, as_of: dt.date | None = None) -> tu
 
 def transactions(snapshot: Snapshot | None, spark: SparkSession) -> DataFrame:
     return snapshot.transactions if snapshot else schema.empty(spark)
+
+
+def probe(spark: SparkSession, config: ServiceConfig, records: int = 10) -> tuple[DataFrame, dict[str, list[str]]]:
+    """The newest records of any kind, normalised, and which raw columns each canonical one was taken from."""
+    params = paged.query(flat_only=False, newest_first=True)
+    raw = paged.scan(spark, config, params, page_size=records, max_records=records)
+    return normalize.normalize(raw), normalize.resolve_columns(raw.columns)
+
+
+class Store:
+    """Keeps the snapshot for a while, and results by query, arguments and snapshot."""
+
+    def __init__(self, spark: SparkSession, config: ServiceConfig, keep: dt.timedelta = dt.timedelta(hours=1), **options):
+        self.spark, self.config, self.keep, self.options = spark, config, keep, options
+        self.held: Snapshot | None = None
+        self.results: dict = {}
+
+    def snapshot(self) -> Snapshot:
+        if self.held is None or dt.datetime.now() - self.held.loaded_at >= self.keep:
+            old, self.held = self.held, load(self.spark, self.config, **self.options)
+            for df in [*self.results.values(), *([old.transactions] if old else [])]:
+                df.unpersist()
+            self.results.clear()
+        return self.held
+
+    def result(self, query, *args) -> DataFrame:
+        """query(transactions, *args), computed once for a snapshot; meant for aggregates."""
+        tx = self.snapshot().transactions
+        key = (query, args)
+        if key not in self.results:
+            self.results[key] = query(tx, *args).persist(StorageLevel.MEMORY_AND_DISK)
+        return self.results[key]

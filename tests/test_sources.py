@@ -105,6 +105,20 @@ def test_snapshot(spark, service):
         snapshot.load(spark, service)
 
 
+def test_probe_and_store(spark, service):
+    from parcelflow.plans import market
+
+    rows, mapping = snapshot.probe(spark, service, 2)
+    assert rows.count() == 2 and mapping["TRANS_VALUE"] == ["actual_worth"] and Service.asked[-1][1]["order_dir"] == "desc"
+    store = snapshot.Store(spark, service, as_of=dt.date(2026, 3, 19))
+    first = store.result(market.daily_market, "Sale")
+    asked = len(Service.asked)
+    assert first.count() == 5 and store.result(market.daily_market, "Sale") is first and store.result(market.daily_market, "All") is not first
+    assert len(Service.asked) == asked
+    store.keep = dt.timedelta(0)
+    assert store.result(market.daily_market, "Sale") is not first and len(Service.asked) > asked
+
+
 def test_config(tmp_path):
     (tmp_path / "s.toml").write_text('client_id = "file"\n[market]\nclient_secret = "s"\nverify_ssl = "no"\n')
     c = settings.load({"MARKET_ENTITY": "e", "client_id": ""}, tmp_path / "s.toml", environment={"MARKET_BASE_URL": "http://x/"})

@@ -12,6 +12,7 @@ from parcelflow import schema
 from parcelflow.functions import scalars as S
 from parcelflow.functions import windows as W
 from parcelflow.operators import filters
+from parcelflow.operators.distribution import describe
 
 LEAST_TRANSACTIONS = 50
 
@@ -45,21 +46,13 @@ def daily_area_bedroom(tx: DataFrame, kind: str = filters.ALL) -> DataFrame:
 
 
 def daily_market(tx: DataFrame, kind: str = filters.ALL) -> DataFrame:
-    return (
-        base(tx, kind)
-        .groupBy("date")
-        .agg(
-            F.count("TRANS_VALUE").alias("transaction_count"),
-            S.round_to(F.median("TRANS_VALUE")).alias("median_price_aed"),
-            S.round_to(F.avg("TRANS_VALUE")).alias("avg_price_aed"),
-        )
-        .orderBy("date")
-    )
+    days = describe(base(tx, kind), ["date"], F.col("TRANS_VALUE"), [0.5])
+    return days.select("date", F.col("n").alias("transaction_count"), S.round_to(F.col("q")[0]).alias("median_price_aed"), S.round_to(F.col("mean")).alias("avg_price_aed")).orderBy("date")
 
 
 def weekly_totals(tx: DataFrame, kind: str = filters.ALL) -> DataFrame:
-    rows = base(tx, kind).groupBy(S.week_of(F.col("date")).alias("week"))
-    return rows.agg(F.count("TRANS_VALUE").alias("txns"), S.round_to(F.median("TRANS_VALUE")).alias("median"), S.round_to(F.avg("TRANS_VALUE")).alias("mean"))
+    weeks = describe(base(tx, kind).withColumn("week", S.week_of(F.col("date"))), ["week"], F.col("TRANS_VALUE"), [0.5])
+    return weeks.select("week", F.col("n").alias("txns"), S.round_to(F.col("q")[0]).alias("median"), S.round_to(F.col("mean")).alias("mean"))
 
 
 def momentum(weeks: DataFrame) -> DataFrame:
@@ -92,7 +85,7 @@ def tier_daily(tx: DataFrame, kind: str = filters.ALL, tiers: DataFrame | None =
     """Daily median by tier with its rolling mean; the tier table filters and looks up in one broadcast join."""
     tiers = schema.tier_dimension(tx.sparkSession) if tiers is None else tiers
     found = base(tx, kind).join(F.broadcast(tiers), F.col("AREA_EN") == F.col("tier_area"))
-    days = found.groupBy("date", "tier").agg(S.round_to(F.median("TRANS_VALUE")).alias("median_price"), F.count("TRANS_VALUE").alias("txns"))
+    days = describe(found, ["date", "tier"], F.col("TRANS_VALUE"), [0.5]).select("date", "tier", S.round_to(F.col("q")[0]).alias("median_price"), F.col("n").alias("txns"))
     mean = W.rolling_mean(F.col("median_price"), Window.partitionBy("tier").orderBy("date"), rows)
     return days.withColumn("median_7d", mean).orderBy("tier", "date")
 

@@ -9,18 +9,15 @@ from parcelflow import schema
 from parcelflow.functions import scalars as S
 from parcelflow.functions import windows as W
 from parcelflow.operators import filters
+from parcelflow.operators.distribution import describe
 from parcelflow.plans.market import LEAST_TRANSACTIONS, area_change, base
 
 
 def structure(tx: DataFrame, kind: str = filters.ALL) -> DataFrame:
     """One row: volume, median, mean, their ratio, median price per area, and the 10th, 25th and 75th percentiles."""
     rows = base(tx, kind).withColumn("psf", F.when(F.col("ACTUAL_AREA") > 0, S.divide(F.col("TRANS_VALUE"), F.col("ACTUAL_AREA"))))
-    one = rows.agg(
-        F.count("TRANS_VALUE").alias("txns"),
-        F.percentile("TRANS_VALUE", F.array(F.lit(0.1), F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("p"),
-        F.avg("TRANS_VALUE").alias("mean"),
-        F.median("psf").alias("psf"),
-    )
+    one = describe(rows, [], F.col("TRANS_VALUE"), [0.1, 0.25, 0.5, 0.75]).withColumnsRenamed({"n": "txns", "q": "p"})
+    one = one.crossJoin(describe(rows, [], F.col("psf"), [0.5]).select(F.col("q")[0].alias("psf")))  # one row each
     p = [S.round_to(F.col("p")[i]) for i in range(4)]
     return one.select("txns", p[2].alias("median"), S.round_to(F.col("mean")).alias("mean"), S.round_to(S.divide(F.col("mean"), F.col("p")[2]), 2).alias("ratio"), S.round_to(F.col("psf")).alias("median_psf"), p[0].alias("p10"), p[1].alias("p25"), p[3].alias("p75"))
 

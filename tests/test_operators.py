@@ -1,5 +1,7 @@
 import datetime as dt
 
+from pyspark.sql import functions as F
+
 from parcelflow import schema
 from parcelflow.operators import filters, normalize
 
@@ -75,3 +77,22 @@ def test_key_filters_reach_the_scan(spark, tmp_path):
     pushed = next(x for x in plan.splitlines() if x.startswith("PushedFilters"))
     assert "GreaterThanOrEqual(date," in pushed and "EqualTo(AREA_EN,A)" in pushed and got.count() == 1
     assert "Python" not in plan
+
+
+def test_describe(spark):
+    import numpy as np
+
+    from parcelflow.operators.distribution import describe
+
+    rng = np.random.default_rng(1)
+    rows = [(k, float(v) if v < 18 else None) for k in ("a", "b", None) for v in rng.integers(0, 20, 101 if k == "a" else 50)] + [("only null", None)]
+    df = spark.createDataFrame(rows, "k string, x double")
+    for r in describe(df, ["k"], F.col("x"), [0.0, 0.1, 0.5, 0.75, 1.0]).collect():
+        own = [x for k, x in rows if k == r["k"] and x is not None]
+        assert r["n"] == len(own)
+        if own:
+            assert np.allclose(r["q"], np.quantile(own, [0, 0.1, 0.5, 0.75, 1])) and abs(r["mean"] - np.mean(own)) < 1e-9
+        else:
+            assert r["mean"] is None and r["q"] is None
+    assert describe(df, [], F.col("x"), [0.5]).first()["n"] == sum(x is not None for _, x in rows)
+    assert describe(df.filter("false"), ["k"], F.col("x"), [0.5]).count() == 0

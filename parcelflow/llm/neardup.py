@@ -6,9 +6,10 @@ points carry a signature component and a unit of weight. Points at units the tex
 keeps its earliest point, so two texts agree in it with probability equal to their weighted Jaccard similarity; the points come in
 order of time, and a process stops once it is later than every component.
 
-Equal texts are one node. Nodes that agree in a band meet in a bucket. A bucket's pivots are compared with its members:
-one pivot first, then, where a bucket still holds more than one class, 1, 2, 4, ... further pivots until every member was one. So no
-bucket emits all pairs unless its members really differ. Pairs whose signatures agree too little to be similar
+Equal texts are one node. Nodes that agree in a band meet in a bucket. A bucket's first pivot is compared with all its
+members; it is the hub, the member whose buckets are largest in all. Where a bucket then still holds several classes, its strays, the members outside its largest class, become pivots
+in growing batches until each was one: any pair of different classes has a stray, so no link is lost. Two bounds spare pairs
+that can't be similar: a shingle that no other text in open buckets has is in no overlap, and the rest of either text bounds it. Pairs whose signatures agree too little to be similar
 (SURE standard deviations below the threshold) are dropped; the rest are verified on the whole multisets.
 
 Defined results: null and empty texts are one class (they are equal); repeated rows share a class; rows without a doc_id get
@@ -32,6 +33,12 @@ SURE = 5.0
 STEP_WORDS = 300_000
 #: Nodes up to this many are broadcast by id (16 bytes each); beyond it the join shuffles.
 BROADCAST_IDS = 1_000_000
+#: Shared bands up to this many are broadcast (16 bytes each); beyond it the join shuffles.
+BROADCAST_BANDS = 1_000_000
+#: Pivots of a bucket in the second round, and how much more there are in each later one.
+FIRST_BATCH, GROWTH = 1024, 16
+#: Components of the finer signature that nodes of open buckets get, and members that meet pivots in one group, about.
+FINE, MEET = 1024, 800
 #: Members that one verifying group of a pivot holds at most, about.
 GROUP = 500
 _ROLL = Rolling(0x9E3779B97F4A7C15)
@@ -121,12 +128,67 @@ def _sign(batches):
             )
 
 
-def _agree(batches):
-    """Of pairs: the share of signature components that agree."""
+def _agree(least: float):
+    """Pairs of which at least this share of signature components agrees."""
+
+    def run(batches):
+        for batch in batches:
+            a, b = ([np.frombuffer(x, np.uint16) for x in batch.column(c).to_pylist()] for c in ("sketch_a", "sketch_b"))
+            if a:
+                yield batch.select(["a", "b"]).filter(pa.array((np.stack(a) == np.stack(b)).mean(axis=1) >= least))
+
+    return run
+
+
+def _fine(batches):
+    """Signatures of FINE components, a byte each."""
     for batch in batches:
-        a, b = ([np.frombuffer(x, np.uint16) for x in batch.column(c).to_pylist()] for c in ("sketch_a", "sketch_b"))
-        same = (np.stack(a) == np.stack(b)).mean(axis=1) if a else np.zeros(0)
-        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(same, pa.float64())], names=["a", "b", "agree"])
+        rows = [(n, words_of(t.as_py())) for n, t in zip(batch.column("node").to_pylist(), batch.column("text"))]
+        for part in pieces(rows, lambda r: len(r[1]) + 500, STEP_WORDS // 4):
+            owner, items, weights, _ = bags([word_hashes(w) for _, w in part])
+            points = mixed(signatures(owner, items, weights, len(part), FINE).view(np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in part], pa.binary()), pa.array([x.tobytes() for x in (points & np.uint64(255)).astype(np.uint8)], pa.binary())], names=["node", "fine"])
+
+
+def _meet(threshold: float):
+    """Pairs of a pivot and a member of another class that may be similar, once each: in the least band that they share.
+
+    Rows come by band and salt, pivots first. Pairs stay in memory, as products of a few members with the pivots.
+    """
+    least = threshold - SURE * (threshold * (1 - threshold) / FINE) ** 0.5
+    least = least + (1 - least) / 256  # by chance a byte agrees
+
+    def run(batches):
+        key, pivots = None, []
+        for batch in batches:
+            out, rows = [], list(zip(*(batch.column(c).to_pylist() for c in ("band", "salt", "kind", "node", "label", "n", "shared", "bands", "fine"))))
+            held = []
+
+            def compare():
+                if held and pivots:
+                    side = lambda rs, i: np.array([r[i] for r in rs])
+                    fine = lambda rs: np.frombuffer(b"".join(r[8] for r in rs), np.uint8).reshape(len(rs), FINE)
+                    agree = np.stack([(fine(pivots) == m).mean(axis=1) for m in fine(held)])
+                    total = side(held, 5)[:, None] + side(pivots, 5)[None]
+                    most = np.minimum(side(held, 6)[:, None], side(pivots, 6)[None])
+                    for i, j in np.argwhere((agree >= least) & (most * (1 + threshold) >= threshold * total)):
+                        m, p = held[i], pivots[j]
+                        if m[4] != p[4] and min(set(m[7]).intersection(p[7])) == m[0]:
+                            out.append((min(m[3], p[3]), max(m[3], p[3])))
+                held.clear()
+
+            for r in rows:
+                if r[:2] != key:
+                    compare()
+                    key, pivots = r[:2], []
+                (pivots if r[2] == 0 else held).append(r)
+                if len(held) >= 200:
+                    compare()
+            compare()
+            cols = list(zip(*out)) or [(), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in cols], names=["a", "b"])
+
+    return run
 
 
 def _bag(text: str):
@@ -162,27 +224,28 @@ def _verify(threshold: float):
 def components(edges: DataFrame) -> DataFrame:
     """node, label: the smallest node of each connected component, by alternating large and small stars."""
     edges = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a != b").distinct(), "edges")
-    before = None
     while True:
+        ends = edges.select(F.explode(F.array(F.struct(F.col("a").alias("x"), F.lit(1).alias("up")), F.struct(F.col("b").alias("x"), F.lit(0).alias("up")))).alias("e"))
+        ends = ends.groupBy("e.x").agg(F.sum("e.up").alias("ups"), F.count(F.lit(1)).alias("n"))
+        # Done once every node either has one edge, up to its label, or only edges from below.
+        if ends.filter("ups > 1 or ups = 1 and n > 1").isEmpty():
+            return edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).filter("a != b").distinct()
         down = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(down, "a").select(F.explode(F.array(F.col("a"), F.col("b"))).alias("a"), F.col("m").alias("b")).filter("a != b").distinct()
         edges = materialize(small, "edges")
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.countDistinct("a")).first()
-        if now == before or now[0] == now[2] and before is not None and now[0] == before[0]:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
-        before = now
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) whose whole multisets overlap enough. Texts are fetched for these nodes alone; a pivot's members are
-    dealt to groups, each with the pivot's text, so a pivot with many members doesn't land in one task."""
-    ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "ids")
-    rows = docs.withColumn("node", F.unhex(F.md5("text")))
-    texts = rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
-    texts = materialize(texts, "texts")
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """components() of what labels already joins and further links."""
+    return labels if links.isEmpty() else components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(links))
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) whose whole multisets overlap enough. A pivot's members are dealt to groups, each with the pivot's
+    text, so a pivot with many members doesn't land in one task."""
     salts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("int").alias("salts"))
     members = pairs.join(salts, "a").select("a", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), "b")
     members = members.join(texts, members.b == texts.node).select("a", "salt", "b", "text")
@@ -191,49 +254,84 @@ def _verified(pairs: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
     return spread.select("a", "b", "text").mapInArrow(_verify(threshold), "a binary, b binary")
 
 
+def _shingle_rows(batches):
+    for batch in batches:
+        for node, text in zip(batch.column("id").to_pylist(), batch.column("text")):
+            values, counts, _ = _bag(text.as_py())
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(values), node, np.int64)), pa.array(values.view(np.int64)), pa.array(counts.astype(np.int32))], names=["id", "shingle", "times"])
+
+
+def unshared(texts: DataFrame) -> DataFrame:
+    """id (hash of the node), own: how many of its shingles no other of these texts has. They are in no overlap with any of them."""
+    rows = texts.select(F.xxhash64("node").alias("id"), "text").mapInArrow(_shingle_rows, "id long, shingle long, times int")
+    single = rows.groupBy("shingle").agg(F.min("id").alias("id"), F.max("id").alias("other"), F.sum("times").alias("times")).filter("id = other")
+    return single.groupBy("id").agg(F.sum("times").alias("own"))
+
+
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, node (text digest), label (node of the class), class_id (least doc_id of the class): one row per row of docs."""
     rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     id_type = docs.schema["doc_id"].dataType.simpleString()
     signed = rows.withColumn("node", F.unhex(F.md5("text"))).mapInArrow(_sign, f"doc_id {id_type}, node binary, n long, bands array<long>, sketch binary")
     signed = materialize(signed, "signed")
-    nodes = materialize(signed.groupBy("node").agg(F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "nodes")
-    cells = nodes.select("node", F.explode("bands").alias("band"))
-    crowded = cells.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low != high").select("band", F.col("low").alias("pivot"))
-    members = materialize(cells.join(crowded, "band"), "members")
+    # Bands that one row alone has are dropped before any digest moves; copies of a text collapse with the rest.
+    cells = signed.select("node", F.explode("bands").alias("band"))
+    crowded = materialize(cells.groupBy("band").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "crowded")
+    met = cells.join(F.broadcast(crowded) if crowded.count() <= BROADCAST_BANDS else crowded, "band").distinct()
+    met = materialize(met, "met")
+    mixed_bands = met.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low != high").select("band")
+    met = materialize(met.join(mixed_bands, "band"), "met")
+    # A text that others were made from shares large buckets in every band: such hubs are the first pivots.
+    score = materialize(met.groupBy("node").agg(F.sum("size").alias("score")), "score")
+    members = materialize(met.select("band", "node").join(score, "node"), "members")
+    hubs = materialize(members.groupBy("band").agg(F.max(F.struct("score", "node")).alias("hub")), "hubs")
+    ids = score.select("node")
+    few = ids.count() <= BROADCAST_IDS
+    texts = rows.withColumn("node", F.unhex(F.md5("text"))).join(F.broadcast(ids) if few else ids, "node", "left_semi")
+    texts = materialize(texts.groupBy("node").agg(F.first("text").alias("text")), "texts")
+    nodes = signed.select("node", "n", "bands", "sketch").join(F.broadcast(ids) if few else ids, "node", "left_semi").groupBy("node")
+    nodes = materialize(nodes.agg(F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "nodes")
     sketches = nodes.select("node", "n", "sketch")
     # Agreement of a pair at the threshold is binomial; this many deviations below it none is missed in practice.
     least = threshold - SURE * (threshold * (1 - threshold) / SIZE) ** 0.5
     a, b = (sketches.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}")) for x in "ab")
-
-    def similar(pairs: DataFrame) -> DataFrame:
-        near = pairs.join(b, "b").join(a, "a").filter(F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b"))
-        near = near.select("a", "b", "sketch_a", "sketch_b").mapInArrow(_agree, "a binary, b binary, agree double").filter(F.col("agree") >= least)
-        near = materialize(near.select("a", "b"), "near")
-        return _verified(near, rows, threshold) if not near.isEmpty() else near
-
-    pairs = members.filter("node != pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-    edges = materialize(similar(pairs), "links")
-    labels = components(edges) if not edges.isEmpty() else edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
-    done = 1
+    stars = members.select("band", "node").join(hubs, "band").filter(F.col("node") != F.col("hub.node")).select(F.col("hub.node").alias("a"), F.col("node").alias("b")).distinct()
+    near = stars.join(b, "b").join(a, "a").filter(F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b"))
+    near = materialize(near.select("a", "b", "sketch_a", "sketch_b").mapInArrow(_agree(least), "a binary, b binary"), "near")
+    labels = components(_verified(near, texts, threshold))
+    state = members.select("band", "node").join(hubs, "band").select("band", "node", (F.col("node") == F.col("hub.node")).alias("done"))
+    batch, facts = FIRST_BATCH, None
     while True:
-        labelled = members.drop("pivot").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        open_ = labelled.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("size")).filter("low != high").filter(F.col("size") > done + 1)
-        # Members are ranked in a bucket by a hash; the first pivot was the least node, compared with all already.
-        ranked = materialize(labelled.join(open_.select("band"), "band").withColumn("rank", F.row_number().over(Window.partitionBy("band").orderBy("node"))), "open")
-        pivots = ranked.filter((F.col("rank") > done) & (F.col("rank") <= 2 * done)).select("band", F.col("node").alias("p"), F.col("label").alias("p_label"))
+        labelled = materialize(state.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "labelled")
+        parts = labelled.groupBy("band", "label").agg(F.count(F.lit(1)).alias("n"))
+        open_ = parts.groupBy("band").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count(F.lit(1)).alias("labels"), F.sum("n").alias("size")).filter("labels > 1").drop("labels")
+        state = materialize(labelled.join(materialize(open_, "open"), "band"), "state")
+        if facts is None:
+            left = materialize(state.select("node").distinct(), "left")
+            some = texts.join(left, "node", "left_semi")
+            facts = some.mapInArrow(_fine, "node binary, fine binary").withColumn("id", F.xxhash64("node")).join(unshared(some), "id", "left").join(nodes.select("node", "n", "bands"), "node")
+            facts = facts.select("node", "n", "bands", "fine", (F.col("n") - F.coalesce("own", F.lit(0))).alias("shared"))
+            # No text overlaps with more of another than it shares with any.
+            facts = materialize(facts.filter(F.col("shared") >= threshold * F.col("n")), "facts")
+        strays = state.join(facts.select("node"), "node", "left_semi").filter("label != main and not done")
+        strays = strays.withColumn("rank", F.row_number().over(Window.partitionBy("band").orderBy("node")))
+        pivots = materialize(strays.filter(F.col("rank") <= batch).select("band", "node", "label", "size"), "pivots")
         if pivots.isEmpty():
             break
-        # A pair of two pivots is made once; earlier pivots were compared with every member.
-        found = ranked.filter(F.col("rank") > done).join(pivots, "band").filter("label != p_label and p < node")
-        pairs = found.select(F.col("p").alias("a"), F.col("node").alias("b")).distinct()
-        new = materialize(similar(pairs), "links")
-        if not new.isEmpty():
-            edges = edges.union(new)
-            labels = components(edges)
-        done *= 2
+        # Every group of a bucket's members meets all of its pivots of this round; a member that was a pivot before needn't.
+        groups = F.ceil(F.col("size") / MEET).cast("int")
+        asked = pivots.select("band", "node", "label", F.lit(0).alias("kind"), F.explode(F.sequence(F.lit(0), groups - 1)).alias("salt"))
+        others = state.filter("not done").join(pivots.select("band").distinct(), "band", "left_semi")
+        others = others.select("band", "node", "label", F.lit(1).alias("kind"), F.pmod(F.xxhash64("node"), groups).cast("int").alias("salt"))
+        met = asked.union(others).join(facts, "node").repartition("band", "salt").sortWithinPartitions("band", "salt", "kind")
+        near = materialize(met.select("band", "salt", "kind", "node", "label", "n", "shared", "bands", "fine").mapInArrow(_meet(threshold), "a binary, b binary").distinct(), "near")
+        if not near.isEmpty():
+            labels = merged(labels, materialize(_verified(near, texts, threshold), "links"))
+        was = pivots.select("band", "node", F.lit(True).alias("now"))
+        state = state.select("band", "node", "done").join(was, ["band", "node"], "left").select("band", "node", (F.col("done") | F.coalesce("now", F.lit(False))).alias("done"))
+        batch *= GROWTH
     out = signed.select("doc_id", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    least_id = out.groupBy("label").agg(F.min("doc_id").alias("class_id"))
+    least_id = materialize(out.groupBy("label").agg(F.min("doc_id").alias("class_id")), "class-ids")
     return out.join(least_id, "label").select("doc_id", "node", "label", "class_id")
 
 

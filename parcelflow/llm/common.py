@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 #: Where intermediate tables go if the session names no shared folder (tests, single machine).
 LOCAL_SCRATCH = "file:///tmp/checkpoints/parcelflow"
+_written: list[str] = []
 #: A word of a text, as the contracts define it; ASCII white space parts words.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -29,8 +30,17 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder; release() deletes it."""
+    path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
+
+
+def release(spark: SparkSession) -> None:
+    """Delete everything that operators of this process wrote to the shared folder; for when their results are stored."""
+    while _written:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

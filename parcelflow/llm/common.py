@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
 import shutil
 import tempfile
@@ -11,13 +12,19 @@ import zipfile
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Where intermediate tables go if the session names no shared folder (tests, single machine).
 LOCAL_SCRATCH = "file:///tmp/checkpoints/parcelflow"
+ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 _written: list[str] = []
+try:
+    _LIBC = ctypes.CDLL("libc.so.6")
+except OSError:  # another C library; freed memory then stays with the worker
+    _LIBC = None
 #: A word of a text, as the contracts define it; ASCII white space parts words.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -25,6 +32,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder of the session as a whole address; a local one only where none is named."""
     ship(spark)
+    if spark.conf.get(ARROW_BYTES) == "67108864b":
+        spark.conf.set(ARROW_BYTES, "4m")  # Spark's default is large for workers that hold several copies of a batch
     path = spark._jvm.org.apache.hadoop.fs.Path(spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SCRATCH)
     return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
 
@@ -73,6 +82,25 @@ def ship(spark: SparkSession) -> None:
         context._parcelflow_shipped = True
 
 
+def give_back() -> None:
+    """Return freed memory of a Python worker to the system: workers live on, and share an executor with what comes next."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
+
+
+def trimmed(run):
+    """A function over Arrow batches that gives memory back when its task ends."""
+
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return whole
+
+
 def word_count(text: Column) -> Column:
     """Words of a text, JVM-side; null counts as empty."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

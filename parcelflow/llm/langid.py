@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parcelflow.llm.common import materialize
+from parcelflow.llm.common import give_back, materialize, trimmed
 
 CELLS = 1 << 15
 TRAIN_ROWS = 6_000
@@ -105,6 +105,7 @@ class Model:
             for t in text:
                 cells = trigram_cells(t) if t else ()
                 out.append((logs[:, cells].mean(axis=1) * min(len(cells), TEMPER)).tolist() if len(cells) else None)
+            give_back()
             return pd.Series(out, dtype=object)
 
         return of
@@ -117,7 +118,7 @@ def fit(evidence: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     if edge is None:
         return Model([], np.zeros((0, CELLS)))
     sample = pool.filter(F.col("h") <= edge).groupBy("h").agg(F.first("text").alias("text"), F.first("lang").alias("lang"))
-    table = materialize(sample.mapInArrow(_train, "lang string, cell int, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n")), "trigrams")
+    table = materialize(sample.mapInArrow(trimmed(_train), "lang string, cell int, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n")), "trigrams")
     most = table.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES)
     languages = sorted(r["lang"] for r in most.collect())
     counts = np.zeros((len(languages), CELLS))

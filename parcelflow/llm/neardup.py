@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from parcelflow.llm.common import Rolling, materialize, mixed, pieces, word_hashes, words_of
+from parcelflow.llm.common import Rolling, materialize, mixed, pieces, trimmed, word_hashes, words_of
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -251,7 +251,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame
     members = members.join(texts, members.b == texts.node).select("a", "salt", "b", "text")
     heads = salts.join(texts, salts.a == texts.node).select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("binary").alias("b"), "text")
     spread = members.union(heads).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
-    return spread.select("a", "b", "text").mapInArrow(_verify(threshold), "a binary, b binary")
+    return spread.select("a", "b", "text").mapInArrow(trimmed(_verify(threshold)), "a binary, b binary")
 
 
 def _shingle_rows(batches):
@@ -263,7 +263,7 @@ def _shingle_rows(batches):
 
 def unshared(texts: DataFrame) -> DataFrame:
     """id (hash of the node), own: how many of its shingles no other of these texts has. They are in no overlap with any of them."""
-    rows = texts.select(F.xxhash64("node").alias("id"), "text").mapInArrow(_shingle_rows, "id long, shingle long, times int")
+    rows = texts.select(F.xxhash64("node").alias("id"), "text").mapInArrow(trimmed(_shingle_rows), "id long, shingle long, times int")
     single = rows.groupBy("shingle").agg(F.min("id").alias("id"), F.max("id").alias("other"), F.sum("times").alias("times")).filter("id = other")
     return single.groupBy("id").agg(F.sum("times").alias("own"))
 
@@ -272,7 +272,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, node (text digest), label (node of the class), class_id (least doc_id of the class): one row per row of docs."""
     rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    signed = rows.withColumn("node", F.unhex(F.md5("text"))).mapInArrow(_sign, f"doc_id {id_type}, node binary, n long, bands array<long>, sketch binary")
+    signed = rows.withColumn("node", F.unhex(F.md5("text"))).mapInArrow(trimmed(_sign), f"doc_id {id_type}, node binary, n long, bands array<long>, sketch binary")
     signed = materialize(signed, "signed")
     # Bands that one row alone has are dropped before any digest moves; copies of a text collapse with the rest.
     cells = signed.select("node", F.explode("bands").alias("band"))
@@ -297,7 +297,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     a, b = (sketches.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}")) for x in "ab")
     stars = members.select("band", "node").join(hubs, "band").filter(F.col("node") != F.col("hub.node")).select(F.col("hub.node").alias("a"), F.col("node").alias("b")).distinct()
     near = stars.join(b, "b").join(a, "a").filter(F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b"))
-    near = materialize(near.select("a", "b", "sketch_a", "sketch_b").mapInArrow(_agree(least), "a binary, b binary"), "near")
+    near = materialize(near.select("a", "b", "sketch_a", "sketch_b").mapInArrow(trimmed(_agree(least)), "a binary, b binary"), "near")
     labels = components(_verified(near, texts, threshold))
     state = members.select("band", "node").join(hubs, "band").select("band", "node", (F.col("node") == F.col("hub.node")).alias("done"))
     batch, facts = FIRST_BATCH, None
@@ -309,7 +309,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         if facts is None:
             left = materialize(state.select("node").distinct(), "left")
             some = texts.join(left, "node", "left_semi")
-            facts = some.mapInArrow(_fine, "node binary, fine binary").withColumn("id", F.xxhash64("node")).join(unshared(some), "id", "left").join(nodes.select("node", "n", "bands"), "node")
+            facts = some.mapInArrow(trimmed(_fine), "node binary, fine binary").withColumn("id", F.xxhash64("node")).join(unshared(some), "id", "left").join(nodes.select("node", "n", "bands"), "node")
             facts = facts.select("node", "n", "bands", "fine", (F.col("n") - F.coalesce("own", F.lit(0))).alias("shared"))
             # No text overlaps with more of another than it shares with any.
             facts = materialize(facts.filter(F.col("shared") >= threshold * F.col("n")), "facts")
@@ -324,7 +324,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         others = state.filter("not done").join(pivots.select("band").distinct(), "band", "left_semi")
         others = others.select("band", "node", "label", F.lit(1).alias("kind"), F.pmod(F.xxhash64("node"), groups).cast("int").alias("salt"))
         met = asked.union(others).join(facts, "node").repartition("band", "salt").sortWithinPartitions("band", "salt", "kind")
-        near = materialize(met.select("band", "salt", "kind", "node", "label", "n", "shared", "bands", "fine").mapInArrow(_meet(threshold), "a binary, b binary").distinct(), "near")
+        near = materialize(met.select("band", "salt", "kind", "node", "label", "n", "shared", "bands", "fine").mapInArrow(trimmed(_meet(threshold)), "a binary, b binary").distinct(), "near")
         if not near.isEmpty():
             labels = merged(labels, materialize(_verified(near, texts, threshold), "links"))
         was = pivots.select("band", "node", F.lit(True).alias("now"))

@@ -27,7 +27,7 @@ import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from parcelflow.llm.common import materialize, mixed, scratch, word_hashes, words_of
+from parcelflow.llm.common import materialize, mixed, scratch, trimmed, word_hashes, words_of
 from parcelflow.llm.warc import file_system
 
 K1, B = 1.2, 0.75
@@ -61,7 +61,7 @@ def _index(root: str):
         fs, base = file_system(root)
         fs.create_dir(base, recursive=True)
         with fs.open_output_stream(f"{base}/{name}", compression="zstd") as out:
-            out.write(raw.getvalue())
+            out.write(raw.getbuffer())
         return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(docs)], pa.int64()), pa.array([int(lengths.sum())], pa.int64())], names=["shard", "docs", "words"])
 
     def run(batches):
@@ -84,7 +84,7 @@ def _index(root: str):
 def build(docs: DataFrame, root: str) -> DataFrame:
     """Index all rows of docs (doc_id a number); returns the written manifest: shard, docs, words."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return materialize(rows.mapInArrow(_index(root), "shard string, docs long, words long"), "shards")
+    return materialize(rows.mapInArrow(trimmed(_index(root)), "shard string, docs long, words long"), "shards")
 
 
 def load(root: str, name: str) -> dict:
@@ -231,10 +231,10 @@ def search(docs: DataFrame, queries: DataFrame, k: int = TOP) -> DataFrame:
     n, words, count = shards.agg(F.sum("docs"), F.sum("words"), F.count(F.lit(1))).first()
     asked = queries.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     asked = asked.withColumn("query", F.xxhash64("doc_id", "text")).dropDuplicates(["query"])
-    terms = materialize(asked.mapInArrow(_query_terms, "query long, query_id long, term long, times long"), "query-terms")
+    terms = materialize(asked.mapInArrow(trimmed(_query_terms), "query long, query_id long, term long, times long"), "query-terms")
     dealt = shards.select("shard").repartition(max(1, count), "shard")
     wanted = terms.select("term").distinct()
-    df = dealt.mapInArrow(_frequencies(root), "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).join(wanted, "term", "left_semi")
+    df = dealt.mapInArrow(trimmed(_frequencies(root)), "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).join(wanted, "term", "left_semi")
     idf = F.log(1 + (F.lit(float(n or 0)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weighted = terms.join(materialize(df, "frequencies"), "term").groupBy("query", "query_id").agg(F.collect_list(F.struct("term", (F.col("times") * idf).alias("weight"))).alias("terms"))
     written = materialize(weighted.withColumn("floor", F.lit(0.0)), "queries")
@@ -247,11 +247,11 @@ def search(docs: DataFrame, queries: DataFrame, k: int = TOP) -> DataFrame:
     # A few shards first: the k-th scores found there are floors for all others, which then skip more and return less.
     few = math.isqrt(count)
     first = materialize(shards.select("shard").orderBy("shard").limit(few), "first-shards")
-    found = materialize(ranked(first.repartition(max(1, few), "shard").mapInArrow(_search(root, written.parcelflow_path, mean, k), kind)), "first-hits")
+    found = materialize(ranked(first.repartition(max(1, few), "shard").mapInArrow(trimmed(_search(root, written.parcelflow_path, mean, k)), kind)), "first-hits")
     floors = found.filter(F.col("rank") == k).select("query", F.col("score").alias("f"))
     again = materialize(written.join(floors, "query", "left").withColumn("floor", F.coalesce("f", "floor")).drop("f"), "queries")
     rest = shards.select("shard").join(F.broadcast(first), "shard", "left_anti").repartition(max(1, count), "shard")
-    more = rest.mapInArrow(_search(root, again.parcelflow_path, mean, k), kind)
+    more = rest.mapInArrow(trimmed(_search(root, again.parcelflow_path, mean, k)), kind)
     return ranked(found.drop("rank").union(more)).select("query_id", F.col("rank").cast("long").alias("rank"), "doc_id", "score")
 
 

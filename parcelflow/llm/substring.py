@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parcelflow.llm.common import Rolling, discard, materialize, mixed, pieces, scratch, word_hashes, words_of
+from parcelflow.llm.common import Rolling, discard, materialize, mixed, pieces, scratch, trimmed, word_hashes, words_of
 
 WINDOW = 35
 GRAM = 12
@@ -101,7 +101,7 @@ def fingerprint(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """A row per document: doc_id, uid (hash of its text), n_words, full_sha (of all words), and its anchors as arrays."""
     text = F.coalesce("text", F.lit(""))
     rows = docs.select("doc_id", text.alias("text")).withColumn("uid", F.xxhash64("text"))
-    return rows.mapInArrow(_fingerprint(window), ANCHORS.format(id=docs.schema["doc_id"].dataType.simpleString()))
+    return rows.mapInArrow(trimmed(_fingerprint(window)), ANCHORS.format(id=docs.schema["doc_id"].dataType.simpleString()))
 
 
 class FingerprintIndex:
@@ -217,10 +217,10 @@ def repeats(docs: DataFrame, window: int = WINDOW, batches: int = 2, keep_text:
     source = source.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "uid", "left_semi")
     some = materialize(source.groupBy("uid").agg(F.first("text").alias("text")).join(ranges, "uid"), "nominated")
     discard(ranges)
-    windows = materialize(some.mapInArrow(_windows(window), "a long, b int, uid long, at int"), "windows")
+    windows = materialize(some.mapInArrow(trimmed(_windows(window)), "a long, b int, uid long, at int"), "windows")
     twice = windows.groupBy("a", "b").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").drop("m")
     marks = windows.join(twice, ["a", "b"]).groupBy("uid").agg(F.collect_list("at").alias("marks"))
-    stripped = some.select("uid", "text").join(marks, "uid").mapInArrow(_strip(window, keep_text), "uid long, n_removed long, kept_sha256 string, kept string")
+    stripped = some.select("uid", "text").join(marks, "uid").mapInArrow(trimmed(_strip(window, keep_text)), "uid long, n_removed long, kept_sha256 string, kept string")
     stripped = materialize(stripped, "stripped")
     discard(windows)
     discard(some)

@@ -25,7 +25,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parcelflow.llm.common import materialize, scratch
+from parcelflow.llm.common import materialize, scratch, trimmed
 
 FRAME_BYTES = 1 << 20
 BUNDLE_BYTES = 64 << 20
@@ -161,7 +161,7 @@ def write_archives(pages: DataFrame, root: str, least_bytes: int = 0, frame_byte
     same = materialize(same, "warc-same")
     side = F.broadcast(same) if same.count() <= BROADCAST_DIGESTS else same
     rows = rows.join(side, key == F.col("same"), "left").withColumn("refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")))
-    return materialize(rows.select("page_id", "url", "html", "refers_to").mapInArrow(_write(root, frame_bytes, bundle_bytes), MANIFEST), "warc-manifest")
+    return materialize(rows.select("page_id", "url", "html", "refers_to").mapInArrow(trimmed(_write(root, frame_bytes, bundle_bytes)), MANIFEST), "warc-manifest")
 
 
 def seek_table(f, size: int) -> list[tuple[int, int, int]]:
@@ -221,7 +221,7 @@ def read_archives(manifest: DataFrame, root: str) -> DataFrame:
     """Every record of the manifest's bundles, a frame in memory at a time; payloads are checked against their digests."""
     names = manifest.select("bundle").distinct()
     names = names.repartition(max(1, names.count()), "bundle")
-    return names.mapInArrow(_read(root), _READ)
+    return names.mapInArrow(trimmed(_read(root)), _READ)
 
 
 def fetch(manifest: DataFrame, root: str, page_ids: list[int]) -> list[tuple]:

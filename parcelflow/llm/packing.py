@@ -13,6 +13,7 @@ is spread over several ranges; an empty table gives no pieces; other columns are
 from __future__ import annotations
 
 import zlib
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -21,16 +22,19 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parcelflow.llm.common import materialize, mixed
+from parcelflow.llm.common import materialize, mixed, trimmed
 
 LENGTH = 2048
 END_ID = 1
 DIMENSIONS = 4
 BITS = 10
-#: Distinct chunks of text whose ids a worker remembers; beyond it the memory is emptied.
-REMEMBERED = 1_500_000
+#: Distinct chunks of text whose ids a worker remembers; beyond it, and after each task, only those learned first are
+#: kept, which are the frequent ones.
+REMEMBERED, FIRST = 500_000, 150_000
+#: New words that one call encodes; the library holds some hundred bytes a token meanwhile.
+CALL_WORDS = 5_000
 #: Bytes of text that one vectorised step encodes.
-STEP_BYTES = 12_000_000
+STEP_BYTES = 6_000_000
 #: Tokens that one range should hold, about.
 RANGE_TOKENS = 4_000_000
 
@@ -57,6 +61,9 @@ class ChunkTokenizer:
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
 
+    def forget(self) -> None:
+        self.known = dict(islice(self.known.items(), FIRST))
+
     def _bytes(self, ids) -> bytes:
         return np.array(ids, self.kind).tobytes()
 
@@ -72,10 +79,13 @@ class ChunkTokenizer:
 
     def _learn(self, chunks: list[str]) -> None:
         plain = [c for c in chunks if c.isalpha() and _plain_letters(c)]
-        if plain:
-            self.known.update(zip(plain, self._plain([c.lower() for c in plain])))
+        for i in range(0, len(plain), CALL_WORDS):
+            part = plain[i : i + CALL_WORDS]
+            self.known.update(zip(part, self._plain([c.lower() for c in part])))
         other = [c for c in chunks if c not in self.known]
-        self.known.update((c, self._bytes(e.ids)) for c, e in zip(other, self.tokenizer.encode_batch(other, add_special_tokens=False)))
+        for i in range(0, len(other), CALL_WORDS):
+            part = other[i : i + CALL_WORDS]
+            self.known.update((c, self._bytes(e.ids)) for c, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False)))
 
     def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids laid end to end, each text's followed by the end id, and the number of each text's.
@@ -92,8 +102,8 @@ class ChunkTokenizer:
         fresh = [w for w, ids in zip(words, found) if ids is None]
         if fresh:
             if len(self.known) > REMEMBERED:
-                self.known.clear()
-                fresh = words
+                self.forget()
+                fresh = [w for w in words if w not in self.known]
             self._learn(fresh)
             found = list(map(self.known.__getitem__, words))
         pool = np.frombuffer(b"".join(found), self.kind)
@@ -171,6 +181,7 @@ def _tokenize(path: str):
                 raw, width = ids.tobytes(), tokenizer.kind.itemsize
                 each = [raw[a * width : b * width] for a, b in zip((ends - counts).tolist(), ends.tolist())]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("tie"), pa.array(hilbert(cells)), pa.array(counts), pa.array(each, pa.binary())], names=["doc_id", "tie", "key", "n", "ids"])
+        tokenizer.forget()
 
     return run
 
@@ -228,11 +239,11 @@ def pack(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH) ->
 
         tokenizer = public_tokenizers.path("word_bpe_49k.json")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
-    tokens = materialize(rows.mapInArrow(_tokenize(tokenizer), "doc_id long, tie long, key long, n long, ids binary"), "tokens")
+    tokens = materialize(rows.mapInArrow(trimmed(_tokenize(tokenizer)), "doc_id long, tie long, key long, n long, ids binary"), "tokens")
     total = tokens.agg(F.sum("n")).first()[0] or 0
     ranges = max(1, -(-total // RANGE_TOKENS))
     spread = tokens.repartitionByRange(ranges, "key", "doc_id", "tie").sortWithinPartitions("key", "doc_id", "tie")
-    return spread.select("doc_id", "n", "ids").mapInArrow(_pack(length, tokenizer_at(tokenizer).wide), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return spread.select("doc_id", "n", "ids").mapInArrow(trimmed(_pack(length, tokenizer_at(tokenizer).wide)), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
 
 def op6_pack_sequences(spark, sf_dir: str) -> DataFrame:

@@ -72,6 +72,7 @@ def test_chunks_match_whole_texts(words):
 
 def test_memory_of_chunks_is_bounded(words, monkeypatch):
     monkeypatch.setattr(packing, "REMEMBERED", 20)
+    monkeypatch.setattr(packing, "FIRST", 5)
     whole, mine = Tokenizer.from_file(PATH), packing.ChunkTokenizer(PATH)
     for i in range(10):
         texts = [words(30, i), words(40, 50 + i)]

@@ -218,7 +218,8 @@ def repeats(docs: DataFrame, window: int = WINDOW, batches: int = 2, keep_text:
     some = materialize(source.groupBy("uid").agg(F.first("text").alias("text")).join(ranges, "uid"), "nominated")
     discard(ranges)
     windows = materialize(some.mapInArrow(trimmed(_windows(window)), "a long, b int, uid long, at int"), "windows")
-    twice = windows.groupBy("a", "b").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").drop("m")
+    # Written, so that the join below has an exchange of its own on either side and a hot window can be split.
+    twice = materialize(windows.groupBy("a", "b").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").drop("m"), "twice")
     marks = windows.join(twice, ["a", "b"]).groupBy("uid").agg(F.collect_list("at").alias("marks"))
     stripped = some.select("uid", "text").join(marks, "uid").mapInArrow(trimmed(_strip(window, keep_text)), "uid long, n_removed long, kept_sha256 string, kept string")
     stripped = materialize(stripped, "stripped")

@@ -20,7 +20,7 @@ from parcelflow.llm.common import materialize, word_count
 
 WEIGHTS = (3, 1, 2)
 #: Rows of one queue segment at most, about; segments are cut by hash, so a hot source spreads over many.
-SEGMENT_ROWS = 20_000
+SEGMENT_ROWS = 2_000
 #: A table of sources up to this many rows is broadcast; a longer one is joined by shuffle.
 BROADCAST_SOURCES = 50_000
 
@@ -31,7 +31,7 @@ def targets(sizes: dict, weights=WEIGHTS, share: float = 1.5, most: float = 2.0)
     weight = {s: weights[i % len(weights)] for i, s in enumerate(order)}
     # A source is full at the level most * size / weight; fill them in that order until the rest fits.
     left, rest, out = share * sum(sizes.values()), float(sum(weight.values())), {}
-    for s in sorted(order, key=lambda s: (most * sizes[s] / weight[s], order.index(s) if len(order) < 1000 else 0)):
+    for s in sorted(order, key=lambda s: most * sizes[s] / weight[s]):
         fair = left * weight[s] / rest if rest else 0.0
         out[s] = float(min(fair, most * sizes[s]))
         left, rest = left - out[s], rest - weight[s]

@@ -208,7 +208,9 @@ def repeats(docs: DataFrame, window: int = WINDOW, batches: int = 2, keep_text:
     for k in range(batches):
         index.append(anchors.filter(F.pmod("uid", F.lit(batches)) == k))
     index.compact()
-    ranges = anchors.join(index.repeated(), "gram").groupBy("uid").agg(F.collect_list(F.struct("s", "n")).alias("ranges"))
+    # Read apart from its buckets: both sides then have exchanges of their own, and a hot anchor can be split.
+    again = materialize(index.repeated(), "again")
+    ranges = anchors.join(again, "gram").groupBy("uid").agg(F.collect_list(F.struct("s", "n")).alias("ranges"))
     ranges = materialize(ranges, "ranges")
     discard(anchors)
     index.drop()

@@ -5,8 +5,13 @@ that TEMPER trigrams count at most), the language the markup declares, the count
 language prior of the host, smoothed towards its domain and that towards the whole corpus. Priors are sums of the
 posteriors of text alone, over all documents, by grouped aggregation.
 
+Posteriors only compare the languages with each other. Against all of them speaks a floor on the gain, which is the mean
+log-probability of a text's trigrams over that of one never seen: a text must reach LEAST_GAIN of the median gain of its language's training
+rows, each judged by counts without itself, and what a share LEAST_SEEN of trigrams seen once gives. Between TEMPER and FEW trigrams the
+floor falls to nothing: texts of one or two words can't speak against a language.
+
 The multinomials are fitted on a bounded sample of declared rows (TRAIN_ROWS, smallest hashes first); everything else
-covers all rows. Defined results: a text without letters is rejected (language null) whatever else is known; null or
+covers all rows. Defined results: a text without letters or under the floor is rejected (language and posterior null) whatever else is known; null or
 unknown declared languages, suffixes and hosts are no evidence; ties go to the language first by code point; repeated
 rows are judged alike and each counts in its host's prior; without any declared row every document is rejected; an
 empty table gives an empty result; other columns are carried along or ignored.
@@ -32,6 +37,9 @@ DECLARED_RIGHT, SUFFIX_RIGHT = 0.9, 0.7
 #: Pseudo-counts of a domain's prior in a host's, and of the corpus's in a domain's.
 HOST_WEIGHT, DOMAIN_WEIGHT = 20.0, 50.0
 LEAST_POSTERIOR = 0.5
+#: Share of a language's usual gain that its texts reach, and share of trigrams seen that counts as a gain at all.
+LEAST_GAIN, LEAST_SEEN = 0.5, 0.1
+FEW = 10
 #: Host priors up to this many rows are broadcast; beyond it they are joined by shuffle.
 BROADCAST_HOSTS = 100_000
 # Main language of some country suffixes.
@@ -63,6 +71,24 @@ def _train(batches):
         yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), pa.array(some.astype(np.int32)), pa.array(c[some].astype(np.int64))], names=["lang", "cell", "n"])
 
 
+def _gains(languages: list[str], counts: np.ndarray):
+    """Gain of each training row under its language's counts less its own."""
+    at = {x: i for i, x in enumerate(languages)}
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist()):
+                cells = trigram_cells(text or "")
+                if len(cells) and lang in at:
+                    some, own = np.unique(cells, return_counts=True)
+                    out.append((lang, float((own * np.log(counts[at[lang], some] - own + SMOOTHING)).sum() / len(cells) - np.log(SMOOTHING))))
+            cols = list(zip(*out)) or [(), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.float64())], names=["lang", "gain"])
+
+    return run
+
+
 def code(declared: Column) -> Column:
     """`en-US` and `EN_us` become `en`; empty ones null."""
     return F.nullif(F.lower(F.regexp_extract(F.coalesce(F.trim(declared.cast("string")), F.lit("")), r"^([A-Za-z]{2,3})(?:[-_].*)?$", 1)), F.lit(""))
@@ -91,20 +117,26 @@ def text_of(html: Column) -> Column:
 
 
 class Model:
-    """Languages in order of code point and log-probabilities of cells."""
+    """Languages in order of code point, log-probabilities of cells and of one never seen, and the least gain of a text of TEMPER trigrams."""
 
-    def __init__(self, languages: list[str], logs: np.ndarray):
-        self.languages, self.logs = languages, logs
+    def __init__(self, languages: list[str], logs: np.ndarray, unseen: np.ndarray, least: np.ndarray):
+        self.languages, self.logs, self.unseen, self.least = languages, logs, unseen, least
 
     def likelihood(self):
-        logs = self.logs
+        """Tempered log-likelihoods by language, then by language how far the text's gain is above its floor."""
+        logs, least = self.logs, self.least
+        unseen = self.unseen
 
         @F.pandas_udf("array<double>")
         def of(text: pd.Series) -> pd.Series:
             out = []
             for t in text:
                 cells = trigram_cells(t) if t else ()
-                out.append((logs[:, cells].mean(axis=1) * min(len(cells), TEMPER)).tolist() if len(cells) else None)
+                if len(cells):
+                    mean, n = logs[:, cells].mean(axis=1), min(len(cells), TEMPER)
+                    out.append((mean * n).tolist() + (mean - unseen - least * max(0.0, n - FEW) / (TEMPER - FEW) + 1e-9).tolist())
+                else:
+                    out.append(None)
             give_back()
             return pd.Series(out, dtype=object)
 
@@ -116,16 +148,21 @@ def fit(evidence: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     pool = evidence.filter("declared is not null and text is not null").select("text", F.col("declared").alias("lang"), F.xxhash64("text", "declared").alias("h"))
     edge = pool.select("h").distinct().orderBy("h").limit(rows).agg(F.max("h")).first()[0]
     if edge is None:
-        return Model([], np.zeros((0, CELLS)))
-    sample = pool.filter(F.col("h") <= edge).groupBy("h").agg(F.first("text").alias("text"), F.first("lang").alias("lang"))
+        return Model([], np.zeros((0, CELLS)), np.zeros(0), np.zeros(0))
+    sample = materialize(pool.filter(F.col("h") <= edge).groupBy("h").agg(F.first("text").alias("text"), F.first("lang").alias("lang")), "sample")
     table = materialize(sample.mapInArrow(trimmed(_train), "lang string, cell int, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n")), "trigrams")
     most = table.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES)
     languages = sorted(r["lang"] for r in most.collect())
     counts = np.zeros((len(languages), CELLS))
     for r in table.filter(F.col("lang").isin(languages)).collect():  # MAX_LANGUAGES x CELLS rows at most
         counts[languages.index(r["lang"]), r["cell"]] = r["n"]
+    gains = sample.mapInArrow(trimmed(_gains(languages, counts)), "lang string, gain double").groupBy("lang").agg(F.expr("percentile(gain, 0.5)").alias("usual"))
+    usual = {r["lang"]: r["usual"] for r in gains.collect()}
+    once = np.log((1 + SMOOTHING) / SMOOTHING)
+    least = np.array([max(LEAST_GAIN * usual.get(x, 0.0), LEAST_SEEN * once) for x in languages])
     counts += SMOOTHING
-    return Model(languages, np.log(counts / counts.sum(axis=1, keepdims=True)))
+    total = counts.sum(axis=1, keepdims=True)
+    return Model(languages, np.log(counts / total), np.log(SMOOTHING / total[:, 0]), least)
 
 
 def _softmax(logs: Column) -> Column:
@@ -174,7 +211,17 @@ def identify(docs: DataFrame, text: Column | None = None, declared: Column | Non
         nothing = F.lit(None)
         return base.select("row", nothing.cast("string").alias("language"), nothing.cast("double").alias("posterior"), F.lit(False).alias("kept"))
     likelihood = model.likelihood()
-    scored = materialize(base.select("host", likelihood("text").alias("ll")).select("host", F.when(F.col("ll").isNotNull(), _softmax(F.col("ll"))).alias("p")), "texts")
+
+    def of_text(*kept: str) -> DataFrame:
+        """ll, above: log-likelihoods and gains above the floors."""
+        got = base.select(*kept, likelihood("text").alias("both"))
+        return got.select(*kept, F.slice("both", 1, n).alias("ll"), F.slice("both", n + 1, n).alias("above"))
+
+    def first_of(p: Column) -> Column:
+        return F.array_position(p, F.array_max(p)).cast("int")
+
+    alone = of_text("host").select("host", "above", F.when(F.col("ll").isNotNull(), _softmax(F.col("ll"))).alias("p"))
+    scored = materialize(alone.select("host", F.when(F.element_at("above", first_of(F.col("p"))) >= 0, F.col("p")).alias("p")), "texts")
     priors, whole = host_priors(scored, model)
     prior = priors.select(F.col("host").alias("p_host"), "prior")
     small = priors.count() <= BROADCAST_HOSTS
@@ -189,18 +236,19 @@ def identify(docs: DataFrame, text: Column | None = None, declared: Column | Non
     country = F.element_at(F.create_map(*[F.lit(x) for kv in SUFFIXES.items() for x in kv]), F.coalesce("suffix", F.lit("")))
     rows = rows.select(
         "row",
-        likelihood("text").alias("ll"),
+        likelihood("text").alias("both"),
         points_to(F.col("declared"), DECLARED_RIGHT).alias("of_markup"),
         points_to(country, SUFFIX_RIGHT).alias("of_suffix"),
         F.transform(F.coalesce("prior", F.array(*map(F.lit, whole))), lambda p: F.log(p)).alias("of_host"),
     )
+    rows = rows.select("row", F.slice("both", 1, n).alias("ll"), F.slice("both", n + 1, n).alias("above"), "of_markup", "of_suffix", "of_host")
     added = F.col("ll")
     for x in ("of_markup", "of_suffix", "of_host"):
         added = F.zip_with(added, F.col(x), lambda a, b: a + b)
-    rows = rows.select("row", F.when(F.col("ll").isNotNull(), added).alias("logs"))
-    rows = rows.select("row", _softmax(F.col("logs")).alias("p"))
-    best = F.array_position(F.col("p"), F.array_max("p")).cast("int")
-    rows = rows.select("row", F.when(F.col("p").isNotNull(), F.element_at(F.array(*map(F.lit, model.languages)), best)).alias("language"), F.array_max("p").alias("posterior"))
+    rows = rows.select("row", "above", F.when(F.col("ll").isNotNull(), added).alias("logs"))
+    rows = rows.select("row", "above", _softmax(F.col("logs")).alias("p"))
+    rows = rows.withColumn("best", first_of(F.col("p"))).withColumn("p", F.when(F.element_at("above", F.col("best")) >= 0, F.col("p")))
+    rows = rows.select("row", F.when(F.col("p").isNotNull(), F.element_at(F.array(*map(F.lit, model.languages)), F.col("best"))).alias("language"), F.array_max("p").alias("posterior"))
     return rows.withColumn("kept", F.coalesce(F.col("posterior") >= LEAST_POSTERIOR, F.lit(False)))
 
 

@@ -88,3 +88,27 @@ def test_posteriors_by_hand(spark):
         said = np.array([langid.DECLARED_RIGHT if x == r["lang"] else (1 - langid.DECLARED_RIGHT) / 2 for x in model.languages])
         x = np.exp(logs[r["doc_id"]] - logs[r["doc_id"]].max()) * host * said
         assert abs(got[r["doc_id"]] - x.max() / x.sum()) < 1e-9
+
+
+FOREIGN = [
+    "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью",
+    "すべての人間は、生まれながらにして自由であり、かつ、尊厳と権利とについて平等である。",
+    "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem",
+    "xkq zvbw qpfjk wvzx kqjxz bvkwq zxjpf qkvwz jxqbk zwvpq kxjzq vbwkz qjxpk wzvqb kjxqz",
+    "q83vEjRWeJCrze8BI0VniavN7wEjRWeJq83vASNFZ4mrze8BI0VniZCrze/+3LqYdlQyEP7cupg=",
+]
+
+
+def test_foreign_and_junk_are_rejected(spark):
+    """Also where markup and host speak for a known language, and with a language of one training row about."""
+    docs, _ = corpus(spark)
+    foreign = table(spark, [(1000 + i, t, said, host) for i, (t, (said, host)) in enumerate((t, e) for t in FOREIGN for e in ((None, None), ("en", "en.host.example")))])
+    known = docs.unionByName(table(spark, [(900, text("fr", 20, 900), "rare", "x"), (901, "lorem ipsum dolor sit amet", "la", "x")]))
+    model = langid.fit(known.select("text", langid.code(F.col("lang")).alias("declared")))
+    assert "la" in model.languages
+    train = known.unionByName(foreign.filter("lang is null"))
+    got = langid.identify(train).select("row.doc_id", "language", "posterior", "kept").collect()
+    assert all(r["kept"] for r in got if r["doc_id"] < 1000)
+    assert all(not r["kept"] and r["language"] is None and r["posterior"] is None for r in got if r["doc_id"] >= 1000)
+    declared = langid.identify(known.unionByName(foreign)).select("row.doc_id", "row.lang", "kept").collect()
+    assert not any(r["kept"] for r in declared if r["doc_id"] >= 1000)

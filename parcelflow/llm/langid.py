@@ -10,8 +10,8 @@ log-probability of a text's trigrams over that of one never seen: a text must re
 rows, each judged by counts without itself, and what a share LEAST_SEEN of trigrams seen once gives. Between TEMPER and FEW trigrams the
 floor falls to nothing: texts of one or two words can't speak against a language.
 
-The multinomials are fitted on a bounded sample of declared rows (TRAIN_ROWS, smallest hashes first); everything else
-covers all rows. Defined results: a text without letters or under the floor is rejected (language and posterior null) whatever else is known; null or
+The multinomials are fitted on a bounded sample of the rows of each declared language (TRAIN_ROWS, smallest hashes first),
+however rare the language is, and of however many languages; everything else covers all rows. Defined results: a text without letters or under the floor is rejected (language and posterior null) whatever else is known; null or
 unknown declared languages, suffixes and hosts are no evidence; ties go to the language first by code point; repeated
 rows are judged alike and each counts in its host's prior; without any declared row every document is rejected; an
 empty table gives an empty result; other columns are carried along or ignored.
@@ -22,14 +22,16 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parcelflow.llm.common import give_back, materialize, trimmed
+from parcelflow.llm.common import discard, give_back, materialize, trimmed
 
 CELLS = 1 << 15
 TRAIN_ROWS = 6_000
-MAX_LANGUAGES = 64
+#: Languages whose counts a training task holds at once.
+HELD_LANGUAGES = 64
 TEMPER = 60.0
 SMOOTHING = 0.5
 #: Probability that a declared language is right, and that a country suffix points to the text's language.
@@ -62,13 +64,20 @@ def trigram_cells(text: str) -> np.ndarray:
 
 def _train(batches):
     counts: dict[str, np.ndarray] = {}
+
+    def flush():
+        for lang, c in counts.items():
+            some = np.flatnonzero(c)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), pa.array(some.astype(np.int32)), pa.array(c[some].astype(np.int64))], names=["lang", "cell", "n"])
+        counts.clear()
+
     for batch in batches:
         for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist()):
+            if lang not in counts and len(counts) >= HELD_LANGUAGES:
+                yield from flush()
             c = np.bincount(trigram_cells(text or ""), minlength=CELLS)
             counts[lang] = counts[lang] + c if lang in counts else c
-    for lang, c in counts.items():
-        some = np.flatnonzero(c)
-        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), pa.array(some.astype(np.int32)), pa.array(c[some].astype(np.int64))], names=["lang", "cell", "n"])
+    yield from flush()
 
 
 def _gains(languages: list[str], counts: np.ndarray):
@@ -133,7 +142,8 @@ class Model:
             for t in text:
                 cells = trigram_cells(t) if t else ()
                 if len(cells):
-                    mean, n = logs[:, cells].mean(axis=1), min(len(cells), TEMPER)
+                    mean = logs[:, cells].mean(axis=1) if len(cells) <= CELLS else logs @ np.bincount(cells, minlength=CELLS) / len(cells)
+                    n = min(len(cells), TEMPER)
                     out.append((mean * n).tolist() + (mean - unseen - least * max(0.0, n - FEW) / (TEMPER - FEW) + 1e-9).tolist())
                 else:
                     out.append(None)
@@ -143,19 +153,34 @@ class Model:
         return of
 
 
+def sample_of(pool: DataFrame, rows: int) -> DataFrame:
+    """h, text, lang: of each language the rows whose hashes are least, equal ones once. pool: text, lang, h.
+
+    A language's hashes are spread evenly, so a cut at a little more than the wanted share leaves few to rank in one task.
+    """
+    hashes = materialize(pool.select("lang", "h").distinct(), "declared")
+    wanted = F.lit(rows + 10 * rows**0.5 + 50) / F.col("n")
+    cuts = hashes.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).select("lang", F.when(wanted < 1, (wanted * 2.0**64 - 2.0**63).cast("long")).otherwise(F.lit(2**63 - 1)).alias("cut"))
+    near = hashes.join(F.broadcast(cuts), "lang").filter("h <= cut")
+    ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).filter(F.col("rank") <= rows)
+    edges = materialize(ranked.groupBy("lang").agg(F.max("h").alias("edge")), "edges")
+    chosen = pool.join(F.broadcast(edges), "lang").filter("h <= edge")
+    out = materialize(chosen.groupBy("lang", "h").agg(F.first("text").alias("text")), "sample")
+    discard(hashes)
+    return out
+
+
 def fit(evidence: DataFrame, rows: int = TRAIN_ROWS) -> Model:
-    """Fit on the sample of rows with a declared language whose hashes are least. evidence: text, declared."""
+    """Fit on a sample of each declared language, of the rows whose hashes are least. evidence: text, declared."""
     pool = evidence.filter("declared is not null and text is not null").select("text", F.col("declared").alias("lang"), F.xxhash64("text", "declared").alias("h"))
-    edge = pool.select("h").distinct().orderBy("h").limit(rows).agg(F.max("h")).first()[0]
-    if edge is None:
+    sample = sample_of(pool, rows)
+    found = materialize(sample.mapInArrow(trimmed(_train), "lang string, cell int, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n")), "trigrams").toArrow()
+    languages = sorted(found.column("lang").unique().to_pylist())
+    if not languages:
         return Model([], np.zeros((0, CELLS)), np.zeros(0), np.zeros(0))
-    sample = materialize(pool.filter(F.col("h") <= edge).groupBy("h").agg(F.first("text").alias("text"), F.first("lang").alias("lang")), "sample")
-    table = materialize(sample.mapInArrow(trimmed(_train), "lang string, cell int, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n")), "trigrams")
-    most = table.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES)
-    languages = sorted(r["lang"] for r in most.collect())
     counts = np.zeros((len(languages), CELLS))
-    for r in table.filter(F.col("lang").isin(languages)).collect():  # MAX_LANGUAGES x CELLS rows at most
-        counts[languages.index(r["lang"]), r["cell"]] = r["n"]
+    at = pc.index_in(found.column("lang"), pa.array(languages, pa.string())).to_numpy()
+    counts[at, found.column("cell").to_numpy()] = found.column("n").to_numpy()
     gains = sample.mapInArrow(trimmed(_gains(languages, counts)), "lang string, gain double").groupBy("lang").agg(F.expr("percentile(gain, 0.5)").alias("usual"))
     usual = {r["lang"]: r["usual"] for r in gains.collect()}
     once = np.log((1 + SMOOTHING) / SMOOTHING)
@@ -230,8 +255,8 @@ def identify(docs: DataFrame, text: Column | None = None, declared: Column | Non
     def points_to(language: Column, right: float) -> Column:
         """Log-probability of this evidence under each language; 0 where it names none of them."""
         wrong = (1 - right) / max(1, n - 1)
-        known = language.isin(model.languages)
-        return F.array(*[F.when(~F.coalesce(known, F.lit(False)), 0.0).when(language == x, float(np.log(right))).otherwise(float(np.log(max(wrong, 1e-9)))) for x in model.languages])
+        place = F.coalesce(F.array_position(F.array(*map(F.lit, model.languages)), language), F.lit(0))
+        return F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.when(place == 0, 0.0).when(place == i, float(np.log(right))).otherwise(float(np.log(max(wrong, 1e-9)))))
 
     country = F.element_at(F.create_map(*[F.lit(x) for kv in SUFFIXES.items() for x in kv]), F.coalesce("suffix", F.lit("")))
     rows = rows.select(

@@ -112,3 +112,20 @@ def test_foreign_and_junk_are_rejected(spark):
     assert all(not r["kept"] and r["language"] is None and r["posterior"] is None for r in got if r["doc_id"] >= 1000)
     declared = langid.identify(known.unionByName(foreign)).select("row.doc_id", "row.lang", "kept").collect()
     assert not any(r["kept"] for r in declared if r["doc_id"] >= 1000)
+
+
+def test_rare_and_many_languages(spark):
+    """A language with 2 rows among 1,200, and 70 languages: each has its class, whatever the sample's size."""
+    names = [f"{a}{b}" for a in "abcdefg" for b in "klmnopqrst"]
+    rng = random.Random(5)
+    own = {x: ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=3)) for _ in range(12)] for x in names}
+    say = lambda x, i: " ".join("".join(random.Random(f"{x}{i}{j}").choices(own[x], k=3)) for j in range(60))
+    rows = [(i, say(names[0], i), names[0], "x") for i in range(1200)]
+    rows += [(2000 + 2 * k + i, say(x, i), x, "x") for k, x in enumerate(names[1:]) for i in range(2)]
+    docs = table(spark, rows)
+    got = langid.identify(docs, train_rows=100).select("row.lang", "language", "kept").collect()
+    assert all(r["language"] == r["lang"] and r["kept"] for r in got)
+    pool = docs.select("text", "lang", F.xxhash64("text", "lang").alias("h"))
+    sizes = {r["lang"]: (r["n"], r["edge"]) for r in langid.sample_of(pool, 100).groupBy("lang").agg(F.count("h").alias("n"), F.max("h").alias("edge")).collect()}
+    assert sizes[names[0]] == (100, sorted(r["h"] for r in pool.filter(F.col("lang") == names[0]).select("h").distinct().collect())[99])
+    assert len(sizes) == 70 and all(sizes[x][0] == 2 for x in names[1:])

@@ -171,7 +171,7 @@ def _meet(threshold: float):
                     agree = np.stack([(fine(pivots) == m).mean(axis=1) for m in fine(held)])
                     total = side(held, 5)[:, None] + side(pivots, 5)[None]
                     most = np.minimum(side(held, 6)[:, None], side(pivots, 6)[None])
-                    for i, j in np.argwhere((agree >= least) & (most * (1 + threshold) >= threshold * total)):
+                    for i, j in np.argwhere((agree >= least) & (most * (1 + threshold) >= threshold * total - 1e-9 * total)):
                         m, p = held[i], pivots[j]
                         if m[4] != p[4] and min(set(m[7]).intersection(p[7])) == m[0]:
                             out.append((min(m[3], p[3]), max(m[3], p[3])))

@@ -2,6 +2,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from tables import table
 
 from parcelflow.llm import neardup
@@ -119,3 +120,14 @@ def test_components(spark):
     df = spark.createDataFrame([(bytearray(code(a)), bytearray(code(b))) for a, b in edges], "a binary, b binary")
     got = {int.from_bytes(r["node"], "big"): int.from_bytes(r["label"], "big") for r in neardup.components(df).collect()}
     assert got == {k: v for k, v in label.items() if k != v}
+
+
+def test_strays_at_exactly_the_threshold_meet():
+    """28 of 35 shingles (and 56 of 70, and 28 of 31 and 32) is 0.8: the bound on sizes must not drop such a pair by rounding."""
+    fine = bytes(neardup.FINE)
+    for n, m, both in [(4 * j, 5 * j, 4 * j) for j in range(1, 400)] + [(31, 32, 28)]:
+        rows = [(1, 0, 0, b"p", b"p", n, both, [1], fine), (1, 0, 1, b"q", b"q", m, both, [1], fine)]
+        batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=["band", "salt", "kind", "node", "label", "n", "shared", "bands", "fine"])
+        assert sum(b.num_rows for b in neardup._meet(0.8)([batch])) == 1, (n, m)
+        less = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*[(*r[:6], both - 1, *r[7:]) for r in rows])], names=batch.schema.names)
+        assert sum(b.num_rows for b in neardup._meet(0.8)([less])) == 0, (n, m)

@@ -9,18 +9,24 @@ import shutil
 import tempfile
 import uuid
 import zipfile
+from contextlib import contextmanager
+from contextvars import ContextVar
+from dataclasses import dataclass
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Where intermediate tables go if the session names no shared folder (tests, single machine).
+#: Where intermediate tables go if the session names no shared folder; only for a local master.
 LOCAL_SCRATCH = "file:///tmp/checkpoints/parcelflow"
 ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
-_written: list[str] = []
+#: Lists that take the paths of written tables, the innermost last; see collecting().
+_collectors: ContextVar[tuple[list[str], ...]] = ContextVar("parcelflow_collectors", default=())
 try:
     _LIBC = ctypes.CDLL("libc.so.6")
 except OSError:  # another C library; freed memory then stays with the worker
@@ -29,27 +35,57 @@ except OSError:  # another C library; freed memory then stays with the worker
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of the session as a whole address; a local one only where none is named."""
+def prepare(spark: SparkSession) -> None:
+    """What a session needs before any Python function is made: the package on its workers, and small Arrow batches.
+
+    The one setting of the session that operators change is the byte limit of Arrow batches, and only from Spark's
+    default, which is large for workers that hold several copies of a batch.
+    """
     ship(spark)
     if spark.conf.get(ARROW_BYTES) == "67108864b":
-        spark.conf.set(ARROW_BYTES, "4m")  # Spark's default is large for workers that hold several copies of a batch
-    path = spark._jvm.org.apache.hadoop.fs.Path(spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SCRATCH)
-    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
+        spark.conf.set(ARROW_BYTES, "4m")
+
+
+def _hadoop(spark: SparkSession, path: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def scratch_root(spark: SparkSession) -> str:
+    """The shared folder that the session names, as a whole address; off a local master there must be one."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    path, fs = _hadoop(spark, named or LOCAL_SCRATCH)
+    fs.mkdirs(path)
+    # Mounted addresses (viewfs) become those of the store behind them.
+    return fs.resolvePath(path).toString().rstrip("/")
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder; release() deletes it."""
+    """A new path in the shared folder."""
     path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
-    _written.append(path)
+    for paths in _collectors.get()[-1:]:
+        paths.append(path)
     return path
 
 
-def release(spark: SparkSession) -> None:
-    """Delete everything that operators of this process wrote to the shared folder; for when their results are stored."""
-    while _written:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def delete(spark: SparkSession, path: str) -> None:
+    path, fs = _hadoop(spark, path)
+    fs.delete(path, True)
+
+
+@contextmanager
+def collecting(spark: SparkSession):
+    """Tables that operators write inside, in this thread, are deleted at the end; results must have been stored by then."""
+    paths: list[str] = []
+    token = _collectors.set((*_collectors.get(), paths))
+    try:
+        yield paths
+    finally:
+        _collectors.reset(token)
+        for path in paths:
+            delete(spark, path)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -61,11 +97,67 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def discard(df: DataFrame) -> None:
-    """Delete a table that materialize() wrote, once nothing reads it any more."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df.parcelflow_path)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that materialize() wrote, once nothing reads them any more."""
+    for df in tables:
+        delete(df.sparkSession, df.parcelflow_path)
+
+
+@dataclass(frozen=True)
+class Store:
+    """Files below an address that workers reach without Spark: local ones and every store that pyarrow knows."""
+
+    uri: str
+    options: tuple = ()
+
+    def open(self):
+        """(file system, path of the folder)."""
+        scheme, _, rest = self.uri.partition(":")
+        if scheme == "file":
+            return pafs.LocalFileSystem(), "/" + rest.lstrip("/")
+        if scheme in ("s3", "s3a", "s3n"):
+            return pafs.S3FileSystem(**dict(self.options)), rest.lstrip("/")
+        return pafs.FileSystem.from_uri(self.uri)
+
+    def sink(self, name: str, **options):
+        fs, base = self.open()
+        fs.create_dir(base, recursive=True)
+        return fs.open_output_stream(f"{base}/{name}", **options)
+
+    def source(self, name: str):
+        """(random access file, its size)."""
+        fs, base = self.open()
+        path = f"{base}/{name}"
+        return fs.open_input_file(path), fs.get_file_info(path).size
+
+
+#: Settings of Spark's S3 connector and what they are called here.
+S3_SETTINGS = {"fs.s3a.access.key": "access_key", "fs.s3a.secret.key": "secret_key", "fs.s3a.session.token": "session_token", "fs.s3a.endpoint": "endpoint_override", "fs.s3a.endpoint.region": "region"}
+
+
+def store(spark: SparkSession, path: str) -> Store:
+    """The store at a path, with the session's own settings of it."""
+    path, fs = _hadoop(spark, path)
+    fs.mkdirs(path)
+    uri, conf = fs.resolvePath(path).toString().rstrip("/"), spark._jsc.hadoopConfiguration()
+    found = {ours: conf.get(name) for name, ours in S3_SETTINGS.items()} if uri.startswith("s3") else {}
+    return Store(uri, tuple((k, v) for k, v in found.items() if v))
+
+
+def text_key(text: Column) -> Column:
+    """128-bit digest that stands for a text."""
+    return F.unhex(F.md5(text))
+
+
+def row_key(df: DataFrame) -> Column:
+    """128-bit digest of all columns; nulls are marked, and lengths part one value from the next."""
+    parts = []
+    for f in df.schema.fields:
+        value = F.col(f"`{f.name}`")
+        plain = not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType))
+        value = value.cast("string") if plain else F.to_json(F.struct(value), {"ignoreNullFields": "false"})
+        parts.append(F.coalesce(F.concat(F.length(value).cast("string"), F.lit(":"), value), F.lit("-")))
+    return F.unhex(F.md5(F.concat(*parts)))
 
 
 def ship(spark: SparkSession) -> None:

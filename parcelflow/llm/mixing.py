@@ -1,13 +1,15 @@
 """Mixing sources to target weights by weighted fair queueing.
 
-Every source is a queue in an order shuffled by a seeded hash. The virtual finish time of a document is the words its
-source has sent when it ends, repeats included, divided by the source's target; documents of all sources are ordered by
-it, and the mix ends where the total budget is spent. Targets add up to the budget, so that point is virtual time 1: a
-document that finishes by then is taken whole, and the one a source is sending just then gives only its words before it.
+Every source is a queue in an order shuffled by a seeded hash, sent up to `repeats` times. The virtual finish time of a
+copy is the words its source has sent when it ends, divided by the source's target. Targets add up to the budget, so the
+budget is spent at virtual time 1. The last copies of a queue leave a gap before that point that the next document may
+not fit; then later ones of the queue that fit, among those of the next segments, are sent instead. Copies of all
+sources are range-sorted by virtual finish time and cut where a prefix sum of their words reaches the budget. A copy is
+sent whole or not at all, so a source misses its target by less than the least document it could still send.
 
 Defined results: a null or empty text has size 0 and is never taken; a null source is a source of its own, last in
-order; rows that repeat are documents of their own; rows equal in every column are interchangeable; an empty table gives
-an empty mix. Columns other than those named are ignored.
+order; rows that repeat are documents of their own, and rows equal in every column are interchangeable; an empty table
+gives an empty mix. Columns other than those named only tell rows apart.
 """
 
 from __future__ import annotations
@@ -16,13 +18,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parcelflow.llm.common import materialize, word_count
+from parcelflow.llm.common import materialize, prepare, row_key, word_count
 
 WEIGHTS = (3, 1, 2)
 #: Rows of one queue segment at most, about; segments are cut by hash, so a hot source spreads over many.
-SEGMENT_ROWS = 2_000
-#: A table of sources up to this many rows is broadcast; a longer one is joined by shuffle.
-BROADCAST_SOURCES = 50_000
+SEGMENT_ROWS = 1_000
+#: Equal rows that one task numbers.
+EQUAL_ROWS = 1_000
+#: Segments whose documents may fill the gap that a queue leaves before its target.
+FILLING = 2
+#: Copies up to this many are broadcast (a digest, a number and a time each, so 60 bytes a row and 30 MB in all).
+BROADCAST_COPIES = 500_000
 
 
 def targets(sizes: dict, weights=WEIGHTS, share: float = 1.5, most: float = 2.0) -> dict:
@@ -38,73 +44,122 @@ def targets(sizes: dict, weights=WEIGHTS, share: float = 1.5, most: float = 2.0)
     return out
 
 
-def queues(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, repeats: int = 2, seed: int = 11) -> DataFrame:
-    """doc_id, source, size, source_size, target, shuffle, copies: array of (epoch, virtual_finish, words) that are taken.
+def items(docs: DataFrame, seed: int = 11) -> DataFrame:
+    """key (digest of the whole row), doc_id, source, size, copy (number among equal rows), shuffle: a row per row of docs, written."""
+    rows = docs.select(row_key(docs).alias("key"), "doc_id", F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"))
+    rows = materialize(rows.groupBy("key", "doc_id", "source", "size").agg(F.count(F.lit(1)).alias("n")), "mix-rows")
+    number = F.col("chunk") * EQUAL_ROWS
+    many = rows.filter("n > 1").withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / EQUAL_ROWS))))
+    many = many.repartition("key", "chunk").withColumn("copy", F.explode(F.sequence(number, F.least(F.col("n"), number + EQUAL_ROWS) - 1)))
+    out = rows.filter("n = 1").withColumn("copy", F.lit(0).cast("long")).select("key", "doc_id", "source", "size", "copy")
+    out = out.union(many.select("key", "doc_id", "source", "size", "copy"))
+    return out.withColumn("shuffle", F.xxhash64(F.lit(seed), "key", "copy"))
 
-    Null source and null doc_id are kept. The driver holds one row per source, never per document.
+
+def queues(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, repeats: int = 2, seed: int = 11) -> tuple[DataFrame, DataFrame, float]:
+    """(rows, copies, budget): rows with source_size and target; the copies that fit their queues, each with its virtual finish time.
+
+    The driver holds a row per source, never per document.
     """
     spark = docs.sparkSession
-    sized = materialize(
-        docs.select(
-            F.col("doc_id"),
-            F.col("source").cast("string").alias("source"),
-            word_count(F.col("text")).alias("size"),
-            F.xxhash64(F.lit(seed), "doc_id", "source", "text").alias("shuffle"),
-        ),
-        "mix-sized",
-    )
-    per = {r["source"]: (r["size"], r["n"]) for r in sized.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).collect()}
+    rows = items(docs, seed)
+    per = {r["source"]: (r["size"], r["n"]) for r in rows.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).collect()}
     goal = targets({s: v[0] for s, v in per.items()}, weights, share, float(repeats))
     bits = max(0, (max((v[1] for v in per.values()), default=0) // SEGMENT_ROWS).bit_length())
     kind = T.StructType([T.StructField("t_source", T.StringType()), T.StructField("source_size", T.LongType()), T.StructField("target", T.DoubleType())])
     table = spark.createDataFrame([(s, v[0], goal[s]) for s, v in per.items()], kind)
     segment = (F.shiftrightunsigned("shuffle", 64 - bits) if bits else F.lit(0)).cast("long")
     # shuffle is signed: shifted without sign, segments and the order inside them agree on the unsigned value.
-    rows = sized.withColumn("segment", segment).withColumn("at", F.col("shuffle").bitwiseXOR(F.lit(-(2**63)).cast("long")))
+    rows = rows.withColumn("segment", segment).withColumn("at", F.col("shuffle").bitwiseXOR(F.lit(-(2**63)).cast("long")))
     sums = rows.groupBy("source", "segment").agg(F.sum("size").alias("words"))
     before = F.coalesce(F.sum("words").over(Window.partitionBy("source").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sums = sums.select(F.col("source").alias("s_source"), F.col("segment").alias("s_segment"), before.alias("before"))
-    rows = rows.join(sums, F.col("source").eqNullSafe(F.col("s_source")) & (F.col("segment") == F.col("s_segment")))
-    within = Window.partitionBy("source", "segment").orderBy("at", "size", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(F.col("source").alias("s_source"), F.col("segment").alias("s_segment"), "words", before.alias("before"))
+    # What every segment needs to know of its source: one row a segment.
+    sums = sums.join(table, F.col("s_source").eqNullSafe(F.col("t_source"))).drop("t_source")
+    rows = rows.join(sums, F.col("source").eqNullSafe(F.col("s_source")) & (F.col("segment") == F.col("s_segment"))).drop("s_source", "s_segment")
+    within = Window.partitionBy("source", "segment").orderBy("at", "size", "key", "copy").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("begin", F.col("before") + F.coalesce(F.sum("size").over(within), F.lit(0)))
-    rows = rows.join(F.broadcast(table) if len(per) <= BROADCAST_SOURCES else table, F.col("source").eqNullSafe(F.col("t_source")))
-    copy = F.transform(
-        F.sequence(F.lit(0), F.lit(repeats - 1)),
-        lambda e: F.struct(
-            e.alias("epoch"),
-            F.try_divide(e * F.col("source_size") + F.col("begin") + F.col("size"), F.col("target")).alias("virtual_finish"),
-            F.least(F.col("size"), F.greatest(F.lit(0).cast("long"), F.round("target").cast("long") - e * F.col("source_size") - F.col("begin"))).cast("long").alias("words"),
-        ),
-    )
-    return rows.withColumn("copies", F.filter(copy, lambda c: c["words"] > 0)).select("doc_id", "source", "size", "source_size", "target", "shuffle", "copies")
-
-
-#: Decisions by document up to this many are broadcast (a hash and a few numbers each); beyond it they are joined by shuffle.
-BROADCAST_DECISIONS = 1_000_000
+    rows = materialize(rows.select("key", "doc_id", "copy", "source", "size", "source_size", "target", "segment", "words", "before", "begin"), "mix-queues")
+    epochs = F.sequence(F.lit(0), F.lit(repeats - 1))
+    sent = rows.filter("size > 0").select("*", F.explode(epochs).alias("epoch")).withColumn("end", F.col("epoch") * F.col("source_size") + F.col("begin") + F.col("size"))
+    goal_words = F.round("target").cast("long")
+    fits = sent.filter(F.col("end") <= goal_words)
+    columns = ("key", "copy", "epoch", "size")
+    copies = fits.select(*columns, (F.col("end") / F.col("target")).alias("finish"))
+    # The gap before a queue's target lies in one segment of one epoch; that segment and the next ones may fill it.
+    starts = F.col("epoch") * F.col("source_size") + F.col("before")
+    many = 1 << bits
+    place = F.col("epoch") * many + F.col("segment")
+    gap = sent.filter((starts <= goal_words) & (goal_words < starts + F.col("words"))).groupBy("source").agg(F.first(place).alias("gap_at"))
+    done = fits.groupBy("source").agg(F.max("end").alias("done"))
+    behind = sent.filter(F.col("end") > goal_words).join(gap.withColumnRenamed("source", "g_source"), F.col("source").eqNullSafe(F.col("g_source")))
+    behind = behind.filter((place >= F.col("gap_at")) & (place < F.col("gap_at") + FILLING)).groupBy("source", "target").agg(F.sort_array(F.collect_list(F.struct("end", *columns))).alias("next"))
+    behind = behind.join(done.withColumnRenamed("source", "d_source"), F.col("source").eqNullSafe(F.col("d_source")), "left").withColumn("done", F.coalesce("done", F.lit(0).cast("long")))
+    taken = F.transform(F.array(F.col("next")[0]), lambda x: F.struct(*[x[c].alias(c) for c in columns], (x["end"] / F.col("target")).alias("finish")))
+    state = F.struct(F.col("done").alias("sent"), F.slice(taken, 1, 0).alias("taken"))
+
+    def fill(s, x):
+        upto = s["sent"] + x["size"]
+        copy = F.struct(*[x[c].alias(c) for c in columns], (upto / F.col("target")).alias("finish"))
+        return F.when(upto <= goal_words, F.struct(upto.alias("sent"), F.concat(s["taken"], F.array(copy)).alias("taken"))).otherwise(s)
+
+    filled = behind.select(F.explode(F.aggregate("next", state, fill)["taken"]).alias("x")).select("x.*")
+    return rows, copies.union(filled), float(sum(goal.values()))
+
+
+ORDER = ("finish", "key", "copy", "epoch")
+
+
+def sequence(copies: DataFrame, budget: float) -> DataFrame:
+    """Copies range-sorted by virtual finish time, cut where the prefix sum of their words reaches the budget."""
+    parts = materialize(copies.repartitionByRange(*ORDER).sortWithinPartitions(*ORDER).withColumn("part", F.spark_partition_id()), "mix-order")
+    # One row a partition, of which there are as many as the session shuffles into.
+    sums = {r["part"]: r["words"] for r in parts.groupBy("part").agg(F.sum("size").alias("words")).collect()}
+    left, whole, last = int(round(budget)), [], None
+    for part in sorted(sums):
+        if sums[part] > left:
+            last = part
+            break
+        left -= sums[part]
+        whole.append(part)
+    if last is None:
+        return parts.drop("part")
+    upto = F.sum("size").over(Window.partitionBy("part").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, 0))
+    cut = parts.filter(F.col("part") == last).withColumn("upto", upto).filter(F.col("upto") <= left).drop("upto")
+    return parts.filter(F.col("part") < last).union(cut).drop("part")
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
-    """docs, columns unchanged, as mixed: a row per copy taken, range-sorted by virtual finish time.
-
-    A copy of which at least half is taken comes whole, one of which less is taken not at all; documents of size 0 never.
-    """
-    queue = queues(docs, **options)
-    seed = options.get("seed", 11)
-    copies = F.filter("copies", lambda c: 2 * c["words"] >= F.col("size"))
-    taken = materialize(queue.select("shuffle", copies.alias("copies")).filter(F.size("copies") > 0), "mix-taken")
-    # Rows with one hash are equal rows: their copies are pooled, and one of the rows carries them all.
-    taken = taken.groupBy(F.col("shuffle").alias("__key")).agg(F.flatten(F.collect_list(F.col("copies")["virtual_finish"])).alias("__finish"))
-    rows = docs.select(F.struct(*docs.columns).alias("__row"), F.xxhash64(F.lit(seed), "doc_id", F.col("source").cast("string"), "text").alias("__hash"))
-    repeated = rows.groupBy("__hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("__hash")
+    """docs, columns unchanged, as mixed: a row per copy taken, range-sorted by virtual finish time."""
+    prepare(docs.sparkSession)
+    _, copies, budget = queues(docs, **options)
+    taken = sequence(copies, budget).select(F.col("key").alias("__key"), F.col("copy").alias("__copy"), F.col("finish").alias("__finish"), "epoch")
+    rows = docs.select(F.struct(*docs.columns).alias("__row"), row_key(docs).alias("__hash"))
+    # Equal rows have one key: one of them carries the copies of all.
+    repeated = taken.filter("__copy > 0").select("__key").distinct()
     if not repeated.isEmpty():
-        single = rows.join(repeated, "__hash", "left_semi").groupBy("__hash").agg(F.first("__row").alias("__row")).select("__row", "__hash")
-        rows = rows.join(repeated, "__hash", "left_anti").select("__row", "__hash").union(single)
-    side = F.broadcast(taken) if taken.count() <= BROADCAST_DECISIONS else taken
-    out = rows.join(side, F.col("__hash") == F.col("__key")).select("__row", "__hash", F.explode("__finish").alias("__finish"))
-    return out.repartitionByRange("__finish", "__hash").sortWithinPartitions("__finish", "__hash").select("__row.*")
+        again = rows.join(repeated, F.col("__hash") == F.col("__key"), "left_semi").groupBy("__hash").agg(F.first("__row").alias("__row")).select("__row", "__hash")
+        rows = rows.join(repeated, F.col("__hash") == F.col("__key"), "left_anti").union(again)
+        # ... dealt over chunks of their numbers, so that a text with very many copies meets them in many tasks.
+        numbers = taken.filter("__copy > 0").groupBy("__key").agg(F.max("__copy").alias("most"))
+        rows = rows.join(numbers, F.col("__hash") == F.col("__key"), "left").drop("__key")
+        rows = rows.select("__row", "__hash", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.coalesce("most", F.lit(0)) / EQUAL_ROWS))).alias("__chunk"))
+    else:
+        rows = rows.withColumn("__chunk", F.lit(0).cast("long"))
+    taken = taken.withColumn("__part", F.floor(F.col("__copy") / EQUAL_ROWS))
+    side = F.broadcast(taken) if taken.count() <= BROADCAST_COPIES else taken
+    out = rows.join(side, (F.col("__hash") == F.col("__key")) & (F.col("__chunk") == F.col("__part")))
+    return out.repartitionByRange("__finish", "__key", "__copy", "epoch").sortWithinPartitions("__finish", "__key", "__copy", "epoch").select("__row.*")
+
+
+def mixed_words(docs: DataFrame, **options) -> DataFrame:
+    """doc_id, size, source_size, target, taken: a row per row of docs; taken are the words of it that mix() sends."""
+    prepare(docs.sparkSession)
+    rows, copies, budget = queues(docs, **options)
+    sent = sequence(copies, budget).groupBy(F.col("key").alias("s_key"), F.col("copy").alias("s_copy")).agg(F.sum("size").alias("taken"))
+    out = rows.join(sent, (F.col("key") == F.col("s_key")) & (F.col("copy") == F.col("s_copy")), "left")
+    return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"))
 
 
 def op1_mix_sources(spark, sf_dir: str) -> DataFrame:
-    q = queues(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    taken = F.aggregate("copies", F.lit(0).cast("long"), lambda a, c: a + c["words"])
-    return q.select("doc_id", "size", "source_size", "target", taken.alias("taken"))
+    return mixed_words(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from parcelflow.llm.common import Rolling, materialize, mixed, pieces, trimmed, word_hashes, words_of
+from parcelflow.llm.common import Rolling, discard, materialize, mixed, pieces, prepare, trimmed, word_hashes, words_of
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -270,6 +270,7 @@ def unshared(texts: DataFrame) -> DataFrame:
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, node (text digest), label (node of the class), class_id (least doc_id of the class): one row per row of docs."""
+    prepare(docs.sparkSession)
     rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     id_type = docs.schema["doc_id"].dataType.simpleString()
     signed = rows.withColumn("node", F.unhex(F.md5("text"))).mapInArrow(trimmed(_sign), f"doc_id {id_type}, node binary, n long, bands array<long>, sketch binary")

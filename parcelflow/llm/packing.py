@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parcelflow.llm.common import materialize, mixed, trimmed
+from parcelflow.llm.common import materialize, mixed, prepare, trimmed
 
 LENGTH = 2048
 END_ID = 1
@@ -238,6 +238,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH) ->
         import public_tokenizers
 
         tokenizer = public_tokenizers.path("word_bpe_49k.json")
+    prepare(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
     tokens = materialize(rows.mapInArrow(trimmed(_tokenize(tokenizer)), "doc_id long, tie long, key long, n long, ids binary"), "tokens")
     total = tokens.agg(F.sum("n")).first()[0] or 0

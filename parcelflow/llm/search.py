@@ -28,7 +28,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from parcelflow.llm.common import materialize, mixed, scratch, trimmed, word_hashes, words_of
-from parcelflow.llm.warc import file_system
 
 K1, B = 1.2, 0.75
 TOP = 10

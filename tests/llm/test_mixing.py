@@ -28,46 +28,94 @@ def test_targets():
         assert all(abs(got[s] - want[s]) < 1e-6 for s in sizes)
 
 
-def check(docs):
-    rows = mixing.queues(docs).select("doc_id", "source", "size", "source_size", "target", "copies").collect()
+def check(docs, slack=0.02, **options):
+    """Sums, targets and the mix itself, recomputed; each source comes within `slack` of its target or its longest document."""
+    rows = mixing.mixed_words(docs, **options).collect()
     assert len(rows) == docs.count()
+    size = lambda t: len((t or "").encode().split())
+    want: dict = {}
+    for r in docs.collect():
+        want[r["source"]] = want.get(r["source"], 0) + size(r["text"])
+    goal = mixing.targets(want)
+    assert sorted((r["source_size"], round(r["target"], 6)) for r in rows) == sorted((want[r["source"]], round(goal[r["source"]], 6)) for r in docs.collect())
+    assert all(r["taken"] % max(1, r["size"]) == 0 and r["taken"] <= 2 * r["size"] for r in rows)
+    out = mixing.mix(docs, **options).collect()
+    sent: dict = {}
+    for r in out:
+        sent[r["source"]] = sent.get(r["source"], 0) + size(r["text"])
+    assert sum(r["taken"] for r in rows) == sum(sent.values())
+    for source, words in want.items():
+        longest = max(size(r["text"]) for r in docs.collect() if r["source"] == source)
+        assert sent.get(source, 0) <= goal[source] + 0.5 and goal[source] - sent.get(source, 0) <= max(slack * goal[source], longest)
+    count: dict = {}
+    for r in out:
+        count[r["doc_id"]] = count.get(r["doc_id"], 0) + size(r["text"])
+    by_id: dict = {}
+    for r in rows:
+        by_id[r["doc_id"]] = by_id.get(r["doc_id"], 0) + r["taken"]
+    assert {d: n for d, n in by_id.items() if n} == {d: n for d, n in count.items() if n}
+    return rows, out
+
+
+def brute(docs, repeats=2):
+    """Taken copies by source in finish order: whole queues first, then what fits of the documents behind the gap."""
+    rows = mixing.queues(docs)[0].collect()
+    out = {}
     for source in {r["source"] for r in rows}:
-        own = [r for r in rows if r["source"] == source]
-        assert {r["source_size"] for r in own} == {sum(r["size"] for r in own)}
-        taken = [sum(c["words"] for c in r["copies"]) for r in own]
-        assert abs(sum(taken) - own[0]["target"]) <= 0.5 and all(t <= 2 * r["size"] for t, r in zip(taken, own))
-        # served in order of virtual finish time: what finishes by 1 is whole
-        for r in own:
-            for c in r["copies"]:
-                assert (c["words"] == r["size"]) == (c["virtual_finish"] <= 1 + 0.5 / max(r["target"], 1))
-    return rows
+        own = sorted((r for r in rows if r["source"] == source and r["size"]), key=lambda r: r["begin"])
+        sent, gone, goal = 0, False, round(own[0]["target"]) if own else 0
+        for e in range(repeats):
+            for r in own:
+                gone = gone or sent + r["size"] > goal
+                if sent + r["size"] <= goal:
+                    sent += r["size"]
+                    out[r["doc_id"]] = out.get(r["doc_id"], 0) + 1
+    return out
 
 
 def test_mix(spark, words):
     docs = table(spark, [(i, words(i % 37, i), "en", "abc"[min(2, i % 5)]) for i in range(400)])
-    rows = check(docs)
-    again = mixing.queues(docs.repartition(7)).collect()
-    key = lambda r: (r["doc_id"], [tuple(c) for c in r["copies"]])
-    assert sorted(key(r) for r in rows) == sorted(key(r) for r in again)
+    rows, out = check(docs)
+    again = mixing.mixed_words(docs.repartition(7)).collect()
+    assert sorted(map(tuple, rows)) == sorted(map(tuple, again))
+    assert [r["doc_id"] for r in mixing.mix(docs.repartition(3)).collect()] == [r["doc_id"] for r in out]
+    got = {}
+    for r in out:
+        got[r["doc_id"]] = got.get(r["doc_id"], 0) + 1
+    assert got == brute(docs)
 
 
-def test_segments(spark, words, monkeypatch):
+def test_segments_and_joins(spark, words, monkeypatch):
     monkeypatch.setattr(mixing, "SEGMENT_ROWS", 8)
-    docs = table(spark, [(i, words(5, i), "en", "a" if i % 3 else "b") for i in range(300)])
+    monkeypatch.setattr(mixing, "EQUAL_ROWS", 3)
+    monkeypatch.setattr(mixing, "BROADCAST_COPIES", -1)
+    docs = table(spark, [(i, words(5, i), "en", "a" if i % 3 else "b") for i in range(300)] + [(1, "same words here", "en", "a")] * 50)
     check(docs)
 
 
+def test_rows_that_differ_in_one_column(spark, words):
+    t = words(30, 1)
+    rows = [(1, t, "L1", "a"), (1, t, "L2", "a"), (1, None, "x", t), (1, t, "x", None), (1, t, "x", "a"), (1, t, "x", "a")] + [(9, words(40, i), "en", "b") for i in range(30)]
+    docs = table(spark, rows)
+    _, out = check(docs, slack=1)
+    pool = [tuple(r) for r in docs.collect()]
+    assert all(out.count(r) <= 2 * pool.count(tuple(r)) for r in out)
+    assert {r["lang"] for r in out if r["doc_id"] == 1 and r["source"] == "a"} >= {"L1", "L2"}
+
+
 def test_odd(spark, odd, empty):
-    check(odd)
-    assert mixing.queues(empty).count() == 0 and mixing.mix(empty).count() == 0
+    check(odd, slack=1)
+    assert mixing.mixed_words(empty).count() == 0 and mixing.mix(empty).count() == 0
     got = mixing.mix(odd)
     assert got.columns == odd.columns
     pool = [r[:] for r in odd.collect()]
     assert all(r[:] in pool for r in got.collect())
 
 
-def test_mix_is_ordered_and_counts_copies(spark, words):
+def test_order_and_budget(spark, words):
     docs = table(spark, [(i, words(20, i), "en", "a" if i < 150 else "b") for i in range(200)])
-    taken = {r["doc_id"]: len([c for c in r["copies"] if 2 * c["words"] >= r["size"]]) for r in mixing.queues(docs).collect()}
-    out = [r["doc_id"] for r in mixing.mix(docs).collect()]
-    assert {d: out.count(d) for d in taken} == taken
+    _, copies, budget = mixing.queues(docs)
+    rows = mixing.sequence(copies, budget).collect()
+    assert [r["finish"] for r in rows] == sorted(r["finish"] for r in rows) and sum(r["size"] for r in rows) <= budget + 1
+    cut = mixing.sequence(copies, 1000.0).collect()
+    assert cut == rows[: len(cut)] and sum(r["size"] for r in cut) <= 1000 < sum(r["size"] for r in rows[: len(cut) + 1])

@@ -56,16 +56,45 @@ def test_strip_documents(spark, odd, words):
 def test_index_runs(spark):
     index = substring.FingerprintIndex(spark, 3)
     batch = lambda xs: spark.createDataFrame([(x,) for x in xs], "gram long")
-    index.append(batch([1, 2, 2, 3]))
-    index.append(batch([3, 4]))
-    assert sorted(r["gram"] for r in index.known(batch([4, 4, 9, 1])).collect()) == [1, 4]
+    grams = lambda df: sorted(r["gram"] for r in df.collect())
+    assert grams(index.take(batch([1, 2, 2, 3]))) == [2]
+    found = index.take(batch([4, 4, 9, 1]))
+    joins = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in joins and joins.count("Exchange") == 1  # that of distinct()
+    assert grams(found) == [1, 4]
     plan = index.entries()._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Exchange" not in plan  # runs are merged as they lie
+    assert grams(index.take(batch([9, 3, 5]))) == [3, 9]
     before = sorted(r[:] for r in index.entries().collect())
     index.compact()
-    assert len(index.runs) == 1 and sorted(r[:] for r in index.entries().collect()) == before == [(1, 1), (2, 2), (3, 2), (4, 1)]
-    assert sorted(r["gram"] for r in index.repeated().collect()) == [2, 3]
+    assert len(index.runs) == 1 and sorted(r[:] for r in index.entries().collect()) == before == [(1, 2), (2, 2), (3, 2), (4, 2), (5, 1), (9, 2)]
+    path = index.runs[0][1]
     index.drop()
+    assert not substring.FingerprintIndex(spark).runs and not spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration()).exists(spark._jvm.org.apache.hadoop.fs.Path(path))
+
+
+def test_batches_against_history(spark, words, odd):
+    """Each batch loses what occurs elsewhere in it or in any batch before it."""
+    passage, other = words(50, 70), words(45, 71)
+    batches = [
+        odd,
+        table(spark, [(20, words(40, 1) + " " + passage, "en", "a"), (21, words(90, 2), "en", "a"), (22, words(80, 2), "de", "b"), (23, None, "en", "a")]),
+        table(spark, [(30, passage + " " + words(30, 3), "en", "a"), (31, words(36, 4) + " " + other, "en", "a"), (32, other + " x", "en", "a"), (33, words(90, 2), "en", "z")]),
+    ]
+    index, seen = substring.FingerprintIndex(spark, 3), odd.limit(0)
+    for batch in batches:
+        old, new = [r["text"] for r in seen.collect()], batch.collect()
+        want = brute(old + [r["text"] for r in new])[len(old) :]
+        want = sorted([(r["doc_id"], b[3] if b[1] else r["text"]) for r, b in zip(new, want) if b[3] or not b[1]], key=str)
+        got = substring.strip_batch(batch, seen, index)
+        assert got.columns == batch.columns and sorted([(r["doc_id"], r["text"]) for r in got.collect()], key=str) == want
+        seen = seen.unionByName(batch)
+    index.drop()
+
+
+def test_joins_by_shuffle(spark, odd, monkeypatch):
+    monkeypatch.setattr(substring, "BROADCAST_KEYS", -1)
+    check(spark, odd)
 
 
 def test_anchors_cover_every_window(words):

@@ -2,9 +2,11 @@ import base64
 import hashlib
 import io
 
+import pytest
 import zstandard
 
 from parcelflow.llm import warc
+from parcelflow.llm.common import store
 
 PAGES = "page_id long, url string, html string, first long, same string, refers_to int, bundle string"
 
@@ -38,17 +40,20 @@ def test_round_trip(spark):
     got = warc.read_archives(manifest, root).drop("url").collect()
     assert sorted([r[:] for r in got], key=str) == expected(ROWS)
     assert manifest.select("bundle").distinct().count() > 3
-    fs, base = warc.file_system(root)
-    urls = {}
+    urls, idents = {}, []
     for name in {r["bundle"] for r in manifest.collect()}:
-        raw = fs.open_input_file(f"{base}/{name}").read()
+        raw = root.source(name)[0].read()
         # any reader of Zstandard unpacks the whole bundle, the seek table being a frame to skip
         whole = zstandard.ZstdDecompressor().stream_reader(io.BytesIO(raw), read_across_frames=True).read()
         at = 0
         while at < len(whole):
             fields, block, at = warc.parse(whole, at)
             urls[fields["Page-ID"]] = fields["WARC-Target-URI"]
+            idents.append(fields["WARC-Record-ID"])
             assert fields["WARC-Block-Digest"] == "sha1:" + warc.digest32(block)
+    assert len(set(idents)) == len(idents) - 2  # those of the response repeated whole
+    big = manifest.filter("page_id = 1000").first()
+    assert manifest.filter((manifest.bundle == big["bundle"]) & (manifest.frame == big["frame"])).count() == 1
     assert urls["1001"] == "http://h/%0D%0AX: y" and urls["1003"] == "http://h/é"
 
 
@@ -58,20 +63,36 @@ def test_least_bytes_and_fetch(spark):
     got = [r[:] for r in warc.read_archives(manifest, root).drop("url").collect()]
     assert sorted(got, key=str) == expected(ROWS, 4)
     texts = {p: h for p, _, h in ROWS}
-    found = dict(warc.fetch(manifest, root, [1, 1000, 1001]))
+    found = dict(warc.fetch(manifest, root, [r["record_id"] for r in manifest.filter("page_id in (1, 1000, 1001)").collect()]))
     assert found == {p: (texts[p] or "").encode() for p in (1, 1000, 1001)}
 
 
 def test_damage_is_found(spark):
-    raw = warc.record(1, "u", b"payload", None)
+    raw = warc.record("<urn:x>", 1, "u", b"payload", None)
     fields, block, end = warc.parse(raw)
     assert end == len(raw) and warc._record_row(fields, block)[2] == 7
-    import pytest
-
     with pytest.raises(ValueError):
         warc._record_row(fields, block.replace(b"pay", b"pax"))
     with pytest.raises(ValueError):
         warc.parse(raw[:-6])
+    with pytest.raises(ValueError):
+        warc._record_at(raw, 0, len(raw), "<urn:y>")
+
+
+def test_mounted_address_and_shuffled_digests(spark, tmp_path, monkeypatch):
+    spark._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.depot.link./shared", f"file://{tmp_path}")
+    monkeypatch.setattr(warc, "BROADCAST_DIGESTS", -1)
+    root = store(spark, "viewfs://depot/shared/warc")
+    manifest = warc.write_archives(table(spark, ROWS), root)
+    assert sorted([r[:] for r in warc.read_archives(manifest, root).drop("url").collect()], key=str) == expected(ROWS)
+
+
+def test_oracle(spark, tmp_path):
+    rows = [r for r in ROWS if r[0] is not None]
+    duckdb = pytest.importorskip("duckdb").connect()
+    table(spark, rows).write.parquet(f"{tmp_path}/pages.parquet")
+    duckdb.sql(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    assert sorted(duckdb.sql(warc.ORACLE).fetchall(), key=str) == expected(rows)
 
 
 def test_empty(spark):

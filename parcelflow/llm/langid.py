@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parcelflow.llm.common import discard, give_back, materialize, trimmed
+from parcelflow.llm.common import discard, give_back, materialize, prepare, trimmed
 
 CELLS = 1 << 15
 TRAIN_ROWS = 6_000
@@ -210,7 +210,7 @@ def _smoothed(sums: Column, parent: Column, weight: float) -> Column:
 def host_priors(scored: DataFrame, model: Model) -> tuple[DataFrame, list[float]]:
     """host, prior by host; and the corpus's prior. scored: host, p (posterior of text alone)."""
     n = len(model.languages)
-    hosts = materialize(_sums(scored.filter("p is not null"), ["host"], n), "hosts")
+    hosts = materialize(_sums(scored, ["host"], n), "hosts")
     total = hosts.agg(*[F.sum(F.col("sums")[i]) for i in range(n)]).first()
     whole = [(x or 0.0) + 1.0 for x in total]
     whole = [x / sum(whole) for x in whole]
@@ -220,37 +220,34 @@ def host_priors(scored: DataFrame, model: Model) -> tuple[DataFrame, list[float]
     return materialize(named.join(domains, "domain").select("host", _smoothed(F.col("sums"), F.col("d"), HOST_WEIGHT).alias("prior")), "priors"), whole
 
 
-def identify(docs: DataFrame, text: Column | None = None, declared: Column | None = None, host: Column | None = None, suffix: Column | None = None, train_rows: int = TRAIN_ROWS) -> DataFrame:
-    """docs as struct `row`, with language, posterior, kept. By default text, lang and source are the evidence of docs.
+def identify(docs: DataFrame, text: Column | None = None, declared: Column | None = None, host: Column | None = None, suffix: Column | None = None, train_rows: int = TRAIN_ROWS, carry: list[str] | None = None) -> DataFrame:
+    """docs as struct `row` (of the columns in `carry`; all by default), with language, posterior, kept. By default text, lang and source are the evidence.
 
     Pages: identify(pages, text_of(html), declared_in(html), host_of(url), suffix_of(host_of(url))).
+    Texts are judged once: rows are written with their likelihoods, and priors and posteriors come from there.
     """
+    prepare(docs.sparkSession)
     text = (F.col("text") if text is None else text).cast("string")
     declared = code(F.col("lang") if declared is None else declared)
     host = (F.col("source") if host is None else host).cast("string")
     suffix = F.lit(None).cast("string") if suffix is None else suffix
-    base = docs.select(F.struct(*docs.columns).alias("row"), text.alias("text"), declared.alias("declared"), host.alias("host"), suffix.alias("suffix"))
+    base = docs.select(F.struct(*(docs.columns if carry is None else carry)).alias("row"), text.alias("text"), declared.alias("declared"), host.alias("host"), suffix.alias("suffix"))
     model = fit(base.select("text", "declared"), train_rows)
     n = len(model.languages)
     if not n:
         nothing = F.lit(None)
         return base.select("row", nothing.cast("string").alias("language"), nothing.cast("double").alias("posterior"), F.lit(False).alias("kept"))
-    likelihood = model.likelihood()
-
-    def of_text(*kept: str) -> DataFrame:
-        """ll, above: log-likelihoods and gains above the floors."""
-        got = base.select(*kept, likelihood("text").alias("both"))
-        return got.select(*kept, F.slice("both", 1, n).alias("ll"), F.slice("both", n + 1, n).alias("above"))
+    both = base.withColumn("both", model.likelihood()("text")).drop("text")
+    judged = materialize(both.withColumn("ll", F.slice("both", 1, n)).withColumn("above", F.slice("both", n + 1, n)).drop("both"), "judged")
 
     def first_of(p: Column) -> Column:
         return F.array_position(p, F.array_max(p)).cast("int")
 
-    alone = of_text("host").select("host", "above", F.when(F.col("ll").isNotNull(), _softmax(F.col("ll"))).alias("p"))
-    scored = materialize(alone.select("host", F.when(F.element_at("above", first_of(F.col("p"))) >= 0, F.col("p")).alias("p")), "texts")
-    priors, whole = host_priors(scored, model)
+    alone = judged.filter("ll is not null").select("host", "above", _softmax(F.col("ll")).alias("p"))
+    priors, whole = host_priors(alone.filter(F.element_at("above", first_of(F.col("p"))) >= 0).select("host", "p"), model)
     prior = priors.select(F.col("host").alias("p_host"), "prior")
     small = priors.count() <= BROADCAST_HOSTS
-    rows = base.join(F.broadcast(prior) if small else prior, F.col("host") == F.col("p_host"), "left")
+    rows = judged.join(F.broadcast(prior) if small else prior, F.col("host") == F.col("p_host"), "left")
 
     def points_to(language: Column, right: float) -> Column:
         """Log-probability of this evidence under each language; 0 where it names none of them."""
@@ -261,12 +258,12 @@ def identify(docs: DataFrame, text: Column | None = None, declared: Column | Non
     country = F.element_at(F.create_map(*[F.lit(x) for kv in SUFFIXES.items() for x in kv]), F.coalesce("suffix", F.lit("")))
     rows = rows.select(
         "row",
-        likelihood("text").alias("both"),
+        "ll",
+        "above",
         points_to(F.col("declared"), DECLARED_RIGHT).alias("of_markup"),
         points_to(country, SUFFIX_RIGHT).alias("of_suffix"),
         F.transform(F.coalesce("prior", F.array(*map(F.lit, whole))), lambda p: F.log(p)).alias("of_host"),
     )
-    rows = rows.select("row", F.slice("both", 1, n).alias("ll"), F.slice("both", n + 1, n).alias("above"), "of_markup", "of_suffix", "of_host")
     added = F.col("ll")
     for x in ("of_markup", "of_suffix", "of_host"):
         added = F.zip_with(added, F.col(x), lambda a, b: a + b)
@@ -277,7 +274,13 @@ def identify(docs: DataFrame, text: Column | None = None, declared: Column | Non
     return rows.withColumn("kept", F.coalesce(F.col("posterior") >= LEAST_POSTERIOR, F.lit(False)))
 
 
+def identify_pages(pages: DataFrame, **options) -> DataFrame:
+    """identify() of web pages (url, html): the markup's language, the address's suffix and the host are the evidence beside the text."""
+    host = host_of(F.col("url"))
+    return identify(pages, text_of(F.col("html")), declared_in(F.col("html")), host, suffix_of(host), **options)
+
+
 def op10_language_id(spark, sf_dir: str) -> DataFrame:
     """Every document; its `lang` stands for the declared language and its `source` for the host."""
-    found = identify(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    found = identify(spark.read.parquet(f"{sf_dir}/documents.parquet"), carry=["doc_id", "lang", "source"])
     return found.select("row.doc_id", "row.lang", "row.source", "language", "posterior", "kept")

@@ -1,14 +1,16 @@
 """Near-duplicate classes by BagMinHash signatures, banding and exact verification.
 
-A text is the multiset of its shingles (five consecutive words; the whole text if it is shorter). Weights are split at
-powers of two; every block (2**(k-1), 2**k] of a shingle's weight runs a Poisson process of its own, seeded by the shingle and the block, whose
-points carry a signature component and a unit of weight. Points at units the text doesn't have are thinned out. A component
-keeps its earliest point, so two texts agree in it with probability equal to their weighted Jaccard similarity; the points come in
-order of time, and a process stops once it is later than every component.
+A text is the multiset of its shingles (five consecutive words; the whole text if it is shorter). Every block (2**(k-1), 2**k]
+of a shingle's weight runs a Poisson process of its own, seeded by the shingle and the block, whose points carry a
+signature component. After its first point a process splits into one for each half of its interval: the point belongs to one of them, the
+other starts afresh at that time; halves beyond the text's weight are dropped, and units of weight run on by themselves. A component
+keeps its earliest point in the intervals that the text has whole, so two texts agree in it with probability equal to their weighted Jaccard similarity;
+processes stop once they are later than every component, so a great weight costs little more than a small one.
 
 Equal texts are one node. Nodes that agree in a band meet in a bucket. A bucket's first pivot is compared with all its
 members; it is the hub, the member whose buckets are largest in all. Where a bucket then still holds several classes, its strays, the members outside its largest class, become pivots
-in growing batches until each was one: any pair of different classes has a stray, so no link is lost. Two bounds spare pairs
+in growing batches, drawn by hash, until each was one: any pair of different classes has a stray, so no link is lost.
+Pivots of a bucket meet its members in groups, CHUNK of the ones with MEET of the others, so no task holds a bucket. Two bounds spare pairs
 that can't be similar: a shingle that no other text in open buckets has is in no overlap, and the rest of either text bounds it. Pairs whose signatures agree too little to be similar
 (SURE standard deviations below the threshold) are dropped; the rest are verified on the whole multisets.
 
@@ -23,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from parcelflow.llm.common import Rolling, discard, materialize, mixed, pieces, prepare, trimmed, word_hashes, words_of
+from parcelflow.llm.common import Rolling, discard, materialize, mixed, pieces, prepare, text_key, trimmed, word_hashes, words_of
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -32,11 +34,13 @@ SIZE = ROWS * BANDS
 SURE = 5.0
 STEP_WORDS = 300_000
 #: Nodes up to this many are broadcast by id (16 bytes each); beyond it the join shuffles.
-BROADCAST_IDS = 1_000_000
+BROADCAST_IDS = 500_000
 #: Shared bands up to this many are broadcast (16 bytes each); beyond it the join shuffles.
-BROADCAST_BANDS = 1_000_000
-#: Pivots of a bucket in the second round, and how much more there are in each later one.
+BROADCAST_BANDS = 500_000
+#: Pivots of a bucket in the second round, about, and how much more there are in each later one.
 FIRST_BATCH, GROWTH = 1024, 16
+#: Pivots that meet one group of members, about: what a task holds at once.
+CHUNK = 1024
 #: Components of the finer signature that nodes of open buckets get, and members that meet pivots in one group, about.
 FINE, MEET = 1024, 800
 #: Members that one verifying group of a pivot holds at most, about.
@@ -69,24 +73,57 @@ def signatures(owner: np.ndarray, items: np.ndarray, weights: np.ndarray, docs:
     if not seed:
         return out.reshape(docs, size)
     seed, doc, width, limit = map(np.concatenate, (seed, doc, width, limit))
-    time, step, latest = np.zeros(len(seed)), np.zeros(len(seed), np.uint64), np.full(docs, np.inf)
-    while len(seed):
-        k = int(max(1, min(64, 20_000 // len(seed))))
-        steps = step[:, None] + np.arange(1, k + 1, dtype=np.uint64)
-        bits = mixed(seed[:, None] + steps * _GOLD)
-        more = mixed(bits ^ _GOLD)
-        wait = -np.log1p(-(bits >> np.uint64(11)).astype(np.float64) * 2.0**-53) / (size * width[:, None])
-        wait[:, 0] += time
-        # cumsum adds in order, so a point's time doesn't depend on how many points are made at once.
-        times = np.cumsum(wait, axis=1)
-        component = ((more >> np.uint64(32)) % np.uint64(size)).astype(np.int64)
-        unit = ((more & np.uint64(0xFFFFFFFF)) % width[:, None].astype(np.uint64)).astype(np.int64)
-        use = (unit < limit[:, None]) & (times < latest[doc][:, None])
-        np.minimum.at(out, (doc[:, None] * size + component)[use], times[use])
+    latest = np.full(docs, np.inf)
+
+    def point(seeds, steps):
+        """Waiting time of a process of rate 1 in each component, and the point's own hash."""
+        bits = mixed(seeds + steps * _GOLD)
+        return -np.log1p(-(bits >> np.uint64(11)).astype(np.float64) * 2.0**-53) / size, mixed(bits ^ _GOLD)
+
+    def component(points):
+        return ((points >> np.uint64(32)) % np.uint64(size)).astype(np.int64)
+
+    wide = width > 1
+    # Processes to split, each with the time and hash of its first point; those of one unit of weight, with their times and points so far.
+    first, mark = point(seed[wide], np.uint64(1))
+    split = [seed[wide], doc[wide], width[wide], limit[wide], first / width[wide], mark]
+    seed, doc = seed[~wide], doc[~wide]
+    time, step = np.zeros(len(seed)), np.zeros(len(seed), np.uint64)
+    while len(seed) or len(split[0]):
+        if len(split[0]):
+            s, d, w, m, t, h = split
+            whole = (m == w) & (t < latest[d])
+            np.minimum.at(out, d[whole] * size + component(h[whole]), t[whole])
+            s, d, w, m, t, h = (x[t < latest[d]] for x in split)
+            half, upper = w >> 1, (mixed(h + w.astype(np.uint64)) >> np.uint64(63)).astype(bool)
+            kids = []
+            for place, own in ((0, np.minimum(m, half)), (1, m - half)):
+                has = own > 0
+                child, holds = mixed(s[has] + np.uint64((place + 1) * int(_GOLD) & 0xFFFFFFFFFFFFFFFF)), (upper == place)[has]
+                wait, fresh = point(child, np.uint64(1))
+                # A unit's next points come from its own steps, whether it holds this one or not.
+                later = np.where(holds | (half[has] == 1), t[has], t[has] + wait / half[has])
+                kids.append((child, d[has], half[has], own[has], later, np.where(holds, h[has], fresh), holds))
+            s, d, w, m, t, h, holds = (np.concatenate(x) for x in zip(*kids))
+            unit = w == 1
+            # The point that a unit holds counts here, since its parent may not have been whole.
+            np.minimum.at(out, d[unit & holds] * size + component(h[unit & holds]), t[unit & holds])
+            seed, doc, time = np.concatenate((seed, s[unit])), np.concatenate((doc, d[unit])), np.concatenate((time, t[unit]))
+            step = np.concatenate((step, np.zeros(int(unit.sum()), np.uint64)))
+            split = [x[~unit] for x in (s, d, w, m, t, h)]
+        if len(seed):
+            k = int(max(1, min(64, 20_000 // len(seed))))
+            steps = step[:, None] + np.arange(1, k + 1, dtype=np.uint64)
+            wait, marks = point(seed[:, None], steps)
+            wait[:, 0] += time
+            # cumsum adds in order, so a point's time doesn't depend on how many points are made at once.
+            times = np.cumsum(wait, axis=1)
+            use = times < latest[doc][:, None]
+            np.minimum.at(out, (doc[:, None] * size + component(marks))[use], times[use])
+            time, step = times[:, -1], step + np.uint64(k)
         latest = out.reshape(docs, size).max(axis=1)
-        time, step = times[:, -1], step + np.uint64(k)
         go = time < latest[doc]
-        seed, doc, width, limit, time, step = seed[go], doc[go], width[go], limit[go], time[go], step[go]
+        seed, doc, time, step = seed[go], doc[go], time[go], step[go]
     return out.reshape(docs, size)
 
 
@@ -150,12 +187,12 @@ def _fine(batches):
             yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in part], pa.binary()), pa.array([x.tobytes() for x in (points & np.uint64(255)).astype(np.uint8)], pa.binary())], names=["node", "fine"])
 
 
-def _meet(threshold: float):
+def _meet(threshold: float, sure: float = SURE):
     """Pairs of a pivot and a member of another class that may be similar, once each: in the least band that they share.
 
     Rows come by band and salt, pivots first. Pairs stay in memory, as products of a few members with the pivots.
     """
-    least = threshold - SURE * (threshold * (1 - threshold) / FINE) ** 0.5
+    least = max(0.0, threshold - sure * (threshold * (1 - threshold) / FINE) ** 0.5)
     least = least + (1 - least) / 256  # by chance a byte agrees
 
     def run(batches):
@@ -222,7 +259,7 @@ def _verify(threshold: float):
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, label: the smallest node of each connected component, by alternating large and small stars."""
+    """node, label: the smallest node of each connected component, by alternating large and small stars; written."""
     edges = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a != b").distinct(), "edges")
     while True:
         ends = edges.select(F.explode(F.array(F.struct(F.col("a").alias("x"), F.lit(1).alias("up")), F.struct(F.col("b").alias("x"), F.lit(0).alias("up")))).alias("e"))
@@ -235,7 +272,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).filter("a != b").distinct()
         down = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(down, "a").select(F.explode(F.array(F.col("a"), F.col("b"))).alias("a"), F.col("m").alias("b")).filter("a != b").distinct()
-        edges = materialize(small, "edges")
+        old, edges = edges, materialize(small, "edges")
+        discard(old)
 
 
 def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -268,45 +306,51 @@ def unshared(texts: DataFrame) -> DataFrame:
     return single.groupBy("id").agg(F.sum("times").alias("own"))
 
 
-def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, node (text digest), label (node of the class), class_id (least doc_id of the class): one row per row of docs."""
+def classes(docs: DataFrame, threshold: float = THRESHOLD, sure: float = SURE) -> DataFrame:
+    """doc_id, node (text digest), label (node of the class), class_id (least doc_id of the class): one row per row of docs.
+
+    sure: a pair that shares a band is verified unless its signatures agree this many standard deviations too little; infinity verifies all.
+    """
     prepare(docs.sparkSession)
     rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    signed = rows.withColumn("node", F.unhex(F.md5("text"))).mapInArrow(trimmed(_sign), f"doc_id {id_type}, node binary, n long, bands array<long>, sketch binary")
+    signed = rows.withColumn("node", text_key(F.col("text"))).mapInArrow(trimmed(_sign), f"doc_id {id_type}, node binary, n long, bands array<long>, sketch binary")
     signed = materialize(signed, "signed")
     # Bands that one row alone has are dropped before any digest moves; copies of a text collapse with the rest.
     cells = signed.select("node", F.explode("bands").alias("band"))
     crowded = materialize(cells.groupBy("band").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "crowded")
-    met = cells.join(F.broadcast(crowded) if crowded.count() <= BROADCAST_BANDS else crowded, "band").distinct()
-    met = materialize(met, "met")
-    mixed_bands = met.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low != high").select("band")
-    met = materialize(met.join(mixed_bands, "band"), "met")
+    cells = materialize(cells.join(F.broadcast(crowded) if crowded.count() <= BROADCAST_BANDS else crowded, "band").distinct(), "met")
+    mixed_bands = cells.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low != high").select("band")
+    met = materialize(cells.join(mixed_bands, "band"), "met")
     # A text that others were made from shares large buckets in every band: such hubs are the first pivots.
     score = materialize(met.groupBy("node").agg(F.sum("size").alias("score")), "score")
     members = materialize(met.select("band", "node").join(score, "node"), "members")
+    discard(crowded, cells, met)
     hubs = materialize(members.groupBy("band").agg(F.max(F.struct("score", "node")).alias("hub")), "hubs")
     ids = score.select("node")
     few = ids.count() <= BROADCAST_IDS
-    texts = rows.withColumn("node", F.unhex(F.md5("text"))).join(F.broadcast(ids) if few else ids, "node", "left_semi")
+    texts = rows.withColumn("node", text_key(F.col("text"))).join(F.broadcast(ids) if few else ids, "node", "left_semi")
     texts = materialize(texts.groupBy("node").agg(F.first("text").alias("text")), "texts")
     nodes = signed.select("node", "n", "bands", "sketch").join(F.broadcast(ids) if few else ids, "node", "left_semi").groupBy("node")
     nodes = materialize(nodes.agg(F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "nodes")
     sketches = nodes.select("node", "n", "sketch")
     # Agreement of a pair at the threshold is binomial; this many deviations below it none is missed in practice.
-    least = threshold - SURE * (threshold * (1 - threshold) / SIZE) ** 0.5
+    least = threshold - sure * (threshold * (1 - threshold) / SIZE) ** 0.5
     a, b = (sketches.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}")) for x in "ab")
     stars = members.select("band", "node").join(hubs, "band").filter(F.col("node") != F.col("hub.node")).select(F.col("hub.node").alias("a"), F.col("node").alias("b")).distinct()
     near = stars.join(b, "b").join(a, "a").filter(F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b"))
     near = materialize(near.select("a", "b", "sketch_a", "sketch_b").mapInArrow(trimmed(_agree(least)), "a binary, b binary"), "near")
     labels = components(_verified(near, texts, threshold))
     state = members.select("band", "node").join(hubs, "band").select("band", "node", (F.col("node") == F.col("hub.node")).alias("done"))
-    batch, facts = FIRST_BATCH, None
+    batch, facts, used = FIRST_BATCH, None, [members, hubs, score, near]
     while True:
         labelled = materialize(state.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "labelled")
         parts = labelled.groupBy("band", "label").agg(F.count(F.lit(1)).alias("n"))
         open_ = parts.groupBy("band").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count(F.lit(1)).alias("labels"), F.sum("n").alias("size")).filter("labels > 1").drop("labels")
-        state = materialize(labelled.join(materialize(open_, "open"), "band"), "state")
+        open_ = materialize(open_, "open")
+        state = materialize(labelled.join(open_, "band"), "state")
+        discard(labelled, open_, *used)
+        used = [state]
         if facts is None:
             left = materialize(state.select("node").distinct(), "left")
             some = texts.join(left, "node", "left_semi")
@@ -314,23 +358,32 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
             facts = facts.select("node", "n", "bands", "fine", (F.col("n") - F.coalesce("own", F.lit(0))).alias("shared"))
             # No text overlaps with more of another than it shares with any.
             facts = materialize(facts.filter(F.col("shared") >= threshold * F.col("n")), "facts")
+            discard(left, nodes)
         strays = state.join(facts.select("node"), "node", "left_semi").filter("label != main and not done")
-        strays = strays.withColumn("rank", F.row_number().over(Window.partitionBy("band").orderBy("node")))
-        pivots = materialize(strays.filter(F.col("rank") <= batch).select("band", "node", "label", "size"), "pivots")
+        # About `batch` pivots of every bucket's members, by hash; all strays once the bucket has no more members than that.
+        share = F.least(F.lit(1.0), F.lit(float(batch)) / F.col("size"))
+        drawn = F.when(share < 1, F.xxhash64("node", F.lit(17)) < (share * 2.0**64 - 2.0**63).cast("long")).otherwise(True)
+        pivots = materialize(strays.select("band", "node", "label", "size", drawn.alias("drawn")), "pivots")
+        used.append(pivots)
         if pivots.isEmpty():
             break
-        # Every group of a bucket's members meets all of its pivots of this round; a member that was a pivot before needn't.
-        groups = F.ceil(F.col("size") / MEET).cast("int")
-        asked = pivots.select("band", "node", "label", F.lit(0).alias("kind"), F.explode(F.sequence(F.lit(0), groups - 1)).alias("salt"))
+        pivots = pivots.filter("drawn")
+        # Every group of a bucket's members meets each chunk of its pivots of this round; a member that was a pivot before needn't.
+        groups, chunks = F.ceil(F.col("size") / MEET).cast("int"), F.ceil(F.least(F.lit(batch), F.col("size")) / CHUNK).cast("int")
+        asked = pivots.select("band", "node", "label", F.lit(0).alias("kind"), F.pmod(F.xxhash64("node"), chunks).cast("int").alias("chunk"), F.explode(F.sequence(F.lit(0), groups - 1)).alias("salt"))
         others = state.filter("not done").join(pivots.select("band").distinct(), "band", "left_semi")
-        others = others.select("band", "node", "label", F.lit(1).alias("kind"), F.pmod(F.xxhash64("node"), groups).cast("int").alias("salt"))
-        met = asked.union(others).join(facts, "node").repartition("band", "salt").sortWithinPartitions("band", "salt", "kind")
-        near = materialize(met.select("band", "salt", "kind", "node", "label", "n", "shared", "bands", "fine").mapInArrow(trimmed(_meet(threshold)), "a binary, b binary").distinct(), "near")
+        others = others.select("band", "node", "label", F.lit(1).alias("kind"), F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk"), F.pmod(F.xxhash64("node"), groups).cast("int").alias("salt"))
+        met = asked.union(others).withColumn("salt", F.col("salt").cast("long") * (1 << 31) + F.col("chunk")).join(facts, "node").repartition("band", "salt").sortWithinPartitions("band", "salt", "kind")
+        near = materialize(met.select("band", "salt", "kind", "node", "label", "n", "shared", "bands", "fine").mapInArrow(trimmed(_meet(threshold, sure)), "a binary, b binary").distinct(), "near")
+        used.append(near)
         if not near.isEmpty():
-            labels = merged(labels, materialize(_verified(near, texts, threshold), "links"))
+            links = materialize(_verified(near, texts, threshold), "links")
+            labels = merged(labels, links)
+            discard(links)
         was = pivots.select("band", "node", F.lit(True).alias("now"))
         state = state.select("band", "node", "done").join(was, ["band", "node"], "left").select("band", "node", (F.col("done") | F.coalesce("now", F.lit(False))).alias("done"))
         batch *= GROWTH
+    discard(facts, texts, *used)
     out = signed.select("doc_id", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least_id = materialize(out.groupBy("label").agg(F.min("doc_id").alias("class_id")), "class-ids")
     return out.join(least_id, "label").select("doc_id", "node", "label", "class_id")
@@ -344,7 +397,7 @@ def keepers(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     kind = classes(docs, threshold)
     chosen = kind.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("best"))
     chosen = materialize(chosen.select(F.col("best.doc_id").alias("__id"), F.col("best.node").alias("__node")), "keepers")
-    marked = docs.withColumn("__text_node", F.unhex(F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")))))
+    marked = docs.withColumn("__text_node", text_key(F.coalesce(F.col("text").cast("string"), F.lit(""))))
     side = F.broadcast(chosen) if chosen.count() <= BROADCAST_IDS else chosen
     kept = marked.join(side, (F.col("__text_node") == F.col("__node")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
     # Rows repeated whole, or with one id and one text, leave one.

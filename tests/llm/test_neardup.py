@@ -45,7 +45,7 @@ def same(rows, want):
 def test_signature_estimates_weighted_jaccard():
     rng = np.random.default_rng(3)
     items = rng.integers(0, 2**63, 300).astype(np.uint64)
-    for low, high in ((1, 2), (1, 9)):
+    for low, high in ((1, 2), (1, 9), (1, 300), (900, 1100)):
         a, b = rng.integers(low, high, 300), rng.integers(low, high, 300)
         a[:60], b[200:] = 0, 0
         want = np.minimum(a, b).sum() / np.maximum(a, b).sum()
@@ -61,6 +61,43 @@ def test_signature_does_not_depend_on_neighbours():
     assert (neardup.signatures(owner, items, weights, 2)[0] == alone[0]).all()
 
 
+def test_great_weights_cost_little():
+    """A word repeated two million times: processes split only as far as points are early enough to count."""
+    import time
+
+    began = time.perf_counter()
+    a, b = (neardup.signatures(np.zeros(2, int), np.array([5, 6], np.uint64), np.array([w, 3]), 1, 4000)[0] for w in (2_000_000, 1_500_000))
+    assert abs((a == b).mean() - 0.75) < 0.035 and time.perf_counter() - began < 20
+
+
+def test_rounds_and_groups(spark, words, monkeypatch):
+    """Tiny batches, chunks and groups, and joins by shuffle: many strays of one bucket, met over several rounds."""
+    for name, value in {"FIRST_BATCH": 2, "GROWTH": 2, "CHUNK": 3, "MEET": 4, "GROUP": 2, "BROADCAST_IDS": -1, "BROADCAST_BANDS": -1}.items():
+        monkeypatch.setattr(neardup, name, value)
+    base = words(300, 31)
+    texts = [edited(base, s, i) for i, s in enumerate([0.004, 0.01, 0.02, 0.03, 0.035] * 9)]
+    docs = table(spark, [(i, t, "en", "a") for i, t in enumerate(texts)])
+    want = classes(texts)
+    assert len(set(want)) > 3
+    same(sorted((r["doc_id"], r["class_id"]) for r in neardup.classes(docs).collect()), want)
+    same(sorted((r["doc_id"], r["class_id"]) for r in neardup.classes(docs, sure=float("inf")).collect()), want)
+
+
+def test_recall_of_links(spark, words):
+    """Of planted pairs at 0.8 and above, one in a thousand at most is lost: banding and sketches miss next to none."""
+    texts, pairs = [], []
+    for i in range(400):
+        base = words(150, 1000 + i)
+        other = edited(base, 0.01 + 0.0001 * i, i)
+        texts += [base, other]
+        if jaccard(bag(base), bag(other)) >= 0.8:
+            pairs.append((2 * i, 2 * i + 1))
+    docs = table(spark, [(i, t, "en", "a") for i, t in enumerate(texts)])
+    got = {r["doc_id"]: r["class_id"] for r in neardup.classes(docs).collect()}
+    assert len(pairs) > 150 and sum(got[a] == got[b] for a, b in pairs) == len(pairs)
+    assert all(jaccard(bag(texts[c]), bag(texts[d])) >= 0.8 for d, c in got.items() if c != d)
+
+
 def test_against_brute_force(spark, words):
     texts = []
     for g in range(12):

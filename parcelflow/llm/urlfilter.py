@@ -1,38 +1,33 @@
 """URL filters: rules first, then a path-template tree per host judged by smoothed labelled purity.
 
-Addresses that a rule decides are the labels. Path segments are generalised lexically (digits become #), then the tree
-of each host turns a level into a wildcard where its children are many and thin. Sibling branches whose share of blocked
-labels doesn't differ significantly from that of all siblings together are merged with them. A template's block purity
-is its share of blocked labels, smoothed towards its parent: path prefix, host, domain, suffix, all. Templates whose
-purity reaches REJECT block; all else is allowed.
+Addresses that a rule decides are the labels. Path segments are generalised lexically (digits become #). Then, in the
+tree of each host, every branch is compared with its siblings together: where its share of blocked labels doesn't differ from
+theirs significantly (a test of two shares with a pooled variance), or one of the two has no labels, it is merged with the others like it
+into the wildcard *, subtrees and all. A template's block purity is its share of blocked labels, smoothed towards its
+parent: template prefix, host, domain, suffix, all; a template that holds all of its parent's labels takes the parent's. Templates whose purity reaches
+REJECT block; all else is allowed.
 
 Everything is built-in column functions. Counting comes before every join, so a hot host is a few pre-aggregated rows.
+All levels of all paths are counted at once, under digests of their prefixes, so a path of any depth is judged by all of its segments.
 
 Defined results: null addresses and those without `://` have empty host and path, are labelled by no rule and allowed by
-the method as a host of their own (the empty one); repeated rows are judged alike and count as labels each; paths of any
-length are used, levels below DEPTH being one wildcard; an empty table gives an empty result; other columns are ignored.
+the method as a host of their own (the empty one) unless most labels of all block; repeated rows are judged alike and count as labels each; paths of any
+length are used whole; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parcelflow.llm.common import materialize
 
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
-DEPTH = 4
-#: A level is variable if it has so many children or more, with fewer pages than THIN each on average.
-BRANCHES, THIN = 16, 4.0
 #: Labels that a parent counts for, standard deviations under which siblings are alike, purity from which to block.
 PRIOR, ALIKE, REJECT = 5.0, 1.96, 0.8
-#: Templates up to this many are broadcast; beyond it pages are joined by shuffle.
-BROADCAST_TEMPLATES = 50_000
+#: Paths up to this many are broadcast (a digest of 32 letters and a number each); beyond it pages are joined by shuffle.
+BROADCAST_PATHS = 200_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-LEVELS = [f"s{i}" for i in range(1, DEPTH + 1)]
-NODES = [f"t{i}" for i in range(1, DEPTH + 1)]
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -51,45 +46,54 @@ def rule_for(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return rule, verdict
 
 
-def segments(path: Column) -> list[Column]:
-    """Generalised segments by level; '' where the path has ended, ** in the last for all that lies deeper."""
+def segments(path: Column) -> Column:
+    """Array of the generalised segments."""
     parts = F.filter(F.split(path, "/"), lambda x: x != "")
-    plain = F.transform(parts, lambda x: F.regexp_replace(F.regexp_replace(x, r"^(?=.*[0-9])[0-9A-Fa-f-]{8,}(?=\.|$)", "#"), r"[0-9]+", "#"))
-    out = [F.coalesce(F.get(plain, F.lit(i)), F.lit("")) for i in range(DEPTH)]
-    out[-1] = F.when(F.size(parts) > DEPTH, "**").otherwise(out[-1])
-    return out
-
-
-def wildcards(paths: DataFrame) -> DataFrame:
-    """Add t1.. to host, s1.., n: s with variable levels replaced by *."""
-    for i, level in enumerate(LEVELS):
-        above = ["host", *NODES[:i]]
-        kids = paths.filter(F.col(level) != "").groupBy(*above, level).agg(F.sum("n").alias("n"))
-        wide = kids.groupBy(*above).agg(F.count(F.lit(1)).alias("kids"), F.sum("n").alias("pages")).filter((F.col("kids") >= BRANCHES) & (F.col("pages") < THIN * F.col("kids")))
-        paths = paths.join(wide.select(*above, F.lit(True).alias("variable")), above, "left")
-        paths = paths.withColumn(NODES[i], F.when(F.col("variable") & (F.col(level) != ""), "*").otherwise(F.col(level))).drop("variable")
-    return paths
-
-
-def purities(paths: DataFrame) -> DataFrame:
-    """Add purity (of blocking) to host, t1.., allowed, blocked: smoothed and merged from the root down."""
-    domain, suffix = F.substring_index("host", ".", -2), F.substring_index("host", ".", -1)
-    paths = paths.withColumn("suffix", suffix).withColumn("domain", domain)
-    total = paths.agg(F.sum("blocked").alias("b"), F.sum("allowed").alias("a")).select(((F.coalesce("b", F.lit(0)) + PRIOR * 0.5) / (F.coalesce("b", F.lit(0)) + F.coalesce("a", F.lit(0)) + PRIOR)).alias("purity"), F.lit(0).alias("up_a"), F.lit(0).alias("up_b"))
-    out = paths.join(F.broadcast(total))
-    chains = [["suffix"], ["suffix", "domain"], ["suffix", "domain", "host"], *(["suffix", "domain", "host", *NODES[: i + 1]] for i in range(DEPTH))]
-    for by in chains:
-        own = paths.groupBy(*by).agg(F.sum("allowed").alias("a"), F.sum("blocked").alias("b"))
-        out = out.join(own, by)
-        n, up_n = F.col("a") + F.col("b"), F.col("up_a") + F.col("up_b")
-        smooth = (F.col("b") + PRIOR * F.col("purity")) / (n + PRIOR)
-        if len(by) > 3:
-            # A branch like its siblings together takes their purity; the test is of two shares with a pooled variance.
-            share, up = F.try_divide("b", n), F.try_divide("up_b", up_n)
-            z = F.abs(share - up) / F.sqrt(F.greatest(F.lit(1e-12), up * (1 - up) * (1.0 / n + 1.0 / up_n)))
-            smooth = F.when((n == 0) | (up_n == 0), F.col("purity")).when(F.try_add(z, F.lit(0.0)) < ALIKE, F.col("purity")).otherwise(smooth)
-        out = out.withColumn("purity", smooth).drop("up_a", "up_b").withColumnsRenamed({"a": "up_a", "b": "up_b"})
-    return out.drop("up_a", "up_b", "suffix", "domain")
+    return F.transform(parts, lambda x: F.regexp_replace(F.regexp_replace(x, r"^(?=.*[0-9])[0-9A-Fa-f-]{8,}(?=\.|$)", "#"), r"[0-9]+", "#"))
+
+
+def chain(host: Column, parts: Column) -> Column:
+    """Digests that stand for the host and for each prefix of its path."""
+    return F.aggregate(parts, F.array(F.md5(host)), lambda up, x: F.concat(up, F.array(F.md5(F.concat(F.element_at(up, -1), F.lit("/"), x)))))
+
+
+def merge(paths: DataFrame) -> DataFrame:
+    """leaf, host, parts, allowed, blocked with the segments of merged branches replaced by *."""
+    linked = paths.withColumn("chain", chain(F.col("host"), F.col("parts")))
+    pairs = F.arrays_zip(F.expr("slice(chain, 1, size(chain) - 1)").alias("up"), F.expr("slice(chain, 2, size(chain))").alias("node"))
+    steps = linked.select("leaf", "n", "allowed", "blocked", F.posexplode(pairs).alias("level", "step")).select("leaf", "n", "allowed", "blocked", "level", F.col("step.up").alias("up"), F.col("step.node").alias("node"))
+    own = steps.groupBy("up", "node").agg(F.sum("allowed").alias("a"), F.sum("blocked").alias("b"))
+    together = own.groupBy("up").agg(F.count(F.lit(1)).alias("kids"), F.sum("a").alias("all_a"), F.sum("b").alias("all_b"))
+    n, n_rest = F.col("a") + F.col("b"), F.col("all_a") + F.col("all_b") - F.col("a") - F.col("b")
+    pooled = F.try_divide("all_b", F.col("all_a") + F.col("all_b"))
+    z = F.abs(F.try_divide("b", n) - F.try_divide(F.col("all_b") - F.col("b"), n_rest)) / F.sqrt(F.greatest(F.lit(1e-12), pooled * (1 - pooled) * (1.0 / F.greatest(n, F.lit(1)) + 1.0 / F.greatest(n_rest, F.lit(1)))))
+    alike = (F.col("kids") > 1) & ((n == 0) | (n_rest == 0) | (z < ALIKE))
+    marks = own.join(together, "up").select("node", F.coalesce(alike, F.lit(True)).alias("alike"))
+    found = steps.select("leaf", "level", "node").join(marks, "node").groupBy("leaf").agg(F.sort_array(F.collect_list(F.struct("level", "alike"))).alias("marks"))
+    out = paths.join(found, "leaf", "left")
+    parts = F.when(F.col("marks").isNull(), F.col("parts")).otherwise(F.zip_with("parts", "marks", lambda x, m: F.when(m["alike"], "*").otherwise(x)))
+    return out.select("leaf", "host", parts.alias("parts"), "allowed", "blocked")
+
+
+def purities(templates: DataFrame) -> DataFrame:
+    """host, parts, purity (of blocking) of each template. templates: host, parts, allowed, blocked; a row each."""
+    labels = F.struct(F.col("allowed").alias("a"), F.col("blocked").alias("b"))
+    host = F.col("host")
+    above = F.array(F.concat(F.lit(".."), F.substring_index(host, ".", -1)), F.concat(F.lit("."), F.substring_index(host, ".", -2)))
+    linked = templates.withColumn("chain", chain(host, F.col("parts"))).withColumn("whole", F.element_at("chain", -1)).withColumn("nodes", F.concat(above, "chain"))
+    steps = linked.select("whole", labels.alias("own"), F.posexplode("nodes").alias("level", "node"))
+    counts = steps.groupBy("node").agg(F.sum("own.a").alias("a"), F.sum("own.b").alias("b"))
+    total = templates.agg(F.coalesce(F.sum("allowed"), F.lit(0)).alias("all_a"), F.coalesce(F.sum("blocked"), F.lit(0)).alias("all_b"))
+    ways = steps.select("whole", "level", "node").join(counts, "node").groupBy("whole").agg(F.sort_array(F.collect_list(F.struct("level", "a", "b"))).alias("way"))
+    n_all = F.col("all_a") + F.col("all_b")
+    start = F.struct(((F.col("all_b") + PRIOR * 0.5) / (n_all + PRIOR)).alias("purity"), n_all.alias("n"))
+
+    def down(up, x):
+        n = x["a"] + x["b"]
+        return F.struct(F.when(n == up["n"], up["purity"]).otherwise((x["b"] + PRIOR * up["purity"]) / (n + PRIOR)).alias("purity"), n.alias("n"))
+
+    judged = ways.crossJoin(F.broadcast(total)).select("whole", F.aggregate("way", start, down)["purity"].alias("purity"))
+    return linked.select("host", "parts", "whole").join(judged, "whole").select("host", "parts", "purity")
 
 
 def judge(pages: DataFrame, rules=RULES) -> DataFrame:
@@ -97,13 +101,15 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     host, path = host_and_path(F.col("url"))
     rows = pages.select("page_id", host.alias("host"), path.alias("path"))
     rule, verdict = rule_for(F.col("host"), F.col("path"), rules)
-    rows = rows.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("ruled"), *[s.alias(x) for s, x in zip(segments(F.col("path")), LEVELS)])
-    paths = rows.groupBy("host", *LEVELS).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("ruled") == "allow").alias("allowed"), F.count_if(F.col("ruled") == "block").alias("blocked"))
-    tree = materialize(wildcards(materialize(paths, "paths")), "templates")
-    nodes = purities(materialize(tree.groupBy("host", *NODES).agg(F.sum("allowed").alias("allowed"), F.sum("blocked").alias("blocked")), "nodes"))
-    known = materialize(tree.select("host", *LEVELS, *NODES).join(nodes.select("host", *NODES, "purity"), ["host", *NODES]).select("host", *LEVELS, "purity"), "purities")
-    side = F.broadcast(known) if known.count() <= BROADCAST_TEMPLATES else known
-    found = rows.join(side, ["host", *LEVELS], "left")
+    rows = rows.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("ruled"), segments(F.col("path")).alias("parts"))
+    rows = rows.withColumn("leaf", F.element_at(chain(F.col("host"), F.col("parts")), -1))
+    counted = (F.count(F.lit(1)).alias("n"), F.count_if(F.col("ruled") == "allow").alias("allowed"), F.count_if(F.col("ruled") == "block").alias("blocked"))
+    paths = materialize(rows.groupBy("leaf", "host", "parts").agg(*counted), "paths")
+    tree = materialize(merge(paths), "templates")
+    nodes = purities(materialize(tree.groupBy("host", "parts").agg(F.sum("allowed").alias("allowed"), F.sum("blocked").alias("blocked")), "nodes"))
+    known = materialize(tree.select("leaf", "host", "parts").join(nodes, ["host", "parts"]).select("leaf", "purity"), "purities")
+    side = F.broadcast(known) if known.count() <= BROADCAST_PATHS else known
+    found = rows.join(side, "leaf", "left")
     method = F.when(F.col("purity") >= REJECT, "block").otherwise("allow")
     return found.select("page_id", "host", "path", "rule", F.coalesce("ruled", method).alias("verdict"), F.when(F.col("ruled").isNull(), F.col("purity")).alias("purity"))
 

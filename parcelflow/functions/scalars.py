@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import datetime as dt
-from calendar import monthrange
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -40,21 +39,26 @@ def to_number(x: Column) -> Column:
     return F.when(text.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"), text.try_cast("double"))
 
 
+def _iso_day(ten: Column) -> Column:
+    """The date of text of the shape 2026-03-01; the shape is tested first, since parsing that fails is slow. There is no year 0."""
+    return F.when(ten.rlike(r"^(?!0000)[0-9]{4}-[0-9]{2}-[0-9]{2}$"), ten).try_cast("date")
+
+
 def to_day(x: Column) -> Column:
-    """Text to date: a whole timestamp with blank or T, else the first ten characters year or day first; else null."""
-    text = strip(x)
-    ten = F.substring(text, 1, 10)
-    shapes = ((text, "yyyy-MM-dd HH:mm:ss"), (text, "yyyy-MM-dd'T'HH:mm:ss"), (ten, "yyyy-MM-dd"), (ten, "dd-MM-yyyy"), (ten, "dd/MM/yyyy"))
-    return F.coalesce(*[F.try_to_timestamp(t, F.lit(shape)).cast("date") for t, shape in shapes])
+    """Text to date: the first ten characters, year or day first, whatever time follows; else null."""
+    ten = F.substring(strip(x), 1, 10)
+    day_first = F.when(ten.rlike(r"^[0-9]{2}([-/])[0-9]{2}\1[0-9]{4}$"), F.concat_ws("-", F.substring(ten, 7, 4), F.substring(ten, 4, 2), F.substring(ten, 1, 2)))
+    return _iso_day(F.coalesce(day_first, ten))
 
 
 def day_text(day: Column) -> Column:
     return F.date_format(day, "yyyy-MM-dd")
 
 
-def day_of(text: Column) -> Column:
-    """The date of canonical date text, of which the first ten characters count; null if it is none."""
-    return F.try_to_timestamp(F.substring(text, 1, 10), F.lit("yyyy-MM-dd")).cast("date")
+def day_of(text: Column, strict: bool = False) -> Column:
+    """The date of canonical date text, of which the first ten characters count; null if it is none, or an error if strict (null stays null)."""
+    day = _iso_day(F.substring(text, 1, 10))
+    return F.when(text.isNotNull() & day.isNull(), F.raise_error(F.concat(F.lit("not a date: "), text)).cast("date")).otherwise(day) if strict else day
 
 
 def week_of(day: Column) -> Column:
@@ -95,14 +99,17 @@ def same_month_last_year(day: Column) -> Column:
     return F.trunc(F.add_months(day, -12), "month")
 
 
-def months_before(end: dt.date, months: int) -> dt.date:
-    """months_earlier() for the driver."""
+def same_day_ago(day: dt.date, months: int) -> dt.date:
+    """months_earlier() for the driver: back from one month's first day to the one before, then as far into it as it goes."""
     if months < 0:
         raise ValueError("months must not be negative")
-    years, month = divmod(end.year * 12 + end.month - 1 - months, 12)
-    return dt.date(years, month + 1, min(end.day, monthrange(years, month + 1)[1]))
+    first, one = day.replace(day=1), dt.timedelta(days=1)
+    for _ in range(months):
+        first = (first - one).replace(day=1)
+    following = (first + 31 * one).replace(day=1)
+    return min(first + (day.day - 1) * one, following - one)
 
 
 def last_months(months: int = 4, as_of: dt.date | None = None) -> tuple[dt.date, dt.date]:
     end = as_of or dt.date.today()
-    return months_before(end, months), end
+    return same_day_ago(end, months), end

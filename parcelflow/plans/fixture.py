@@ -37,6 +37,7 @@ def transactions(spark: SparkSession, sf_dir: str, area: str = "nation", zero_ar
         (F.col("l_quantity") - (1.0 if zero_areas else 0.0)).alias("ACTUAL_AREA"),
         F.when(F.col("l_linenumber") == 1, "Studio").otherwise(F.concat((F.col("l_linenumber") - 1).cast("string"), F.lit(" B/R"))).alias("ROOMS_EN"),
         procedure.alias("PROCEDURE_EN"),
+        F.when(F.col("l_linenumber") == 2, F.lit(None)).when(F.col("l_linenumber") % 2 == 0, "Non Free Hold").otherwise(" Free Hold").alias("IS_FREE_HOLD_EN"),
     )
 
 
@@ -63,6 +64,19 @@ def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def records(spark: SparkSession, sf_dir: str) -> list[dict]:
+    """Suppliers as raw records of a service: what the stand-in serves. A driver holds them, as it holds any service's test records."""
+    rows = spark.read.parquet(f"{sf_dir}/supplier.parquet").orderBy("s_suppkey").collect()
+    return [
+        {
+            "transaction_id": r["s_suppkey"], "instance_date": f"2026-03-{1 + r['s_suppkey'] % 28:02d} 10:{r['s_suppkey'] // 60 % 60:02d}:{r['s_suppkey'] % 60:02d}", "trans_group_en": "Sales" if r["s_suppkey"] % 4 else "Mortgage",
+            "reg_type_en": "Ready", "area_name_en": f" {r['s_name']}", "property_sub_type_en": "Flat" if r["s_suppkey"] % 5 else "Shop", "actual_worth": f"AED {r['s_suppkey']},000.5",
+            "procedure_area": r["s_nationkey"], "rooms_en": str(r["s_suppkey"] % 3 + 1), "note": [1, "a"] if r["s_suppkey"] % 2 else None,
+        }
+        for r in rows
+    ]
+
+
 def tiers(spark: SparkSession) -> DataFrame:
     """Nations 0 to 19 in five tiers; 20 to 24 in none."""
     rows = [(f"NATION_{i}", TIER_NAMES[i // 4], i // 4) for i in range(20)]

@@ -22,10 +22,10 @@ class AreaPrices(NamedTuple):
     rolling: DataFrame
 
 
-def base(tx: DataFrame, kind: str = filters.ALL) -> DataFrame:
-    """Flats of a transaction type, with a typed date."""
+def base(tx: DataFrame, kind: str = filters.ALL, strict: bool = False) -> DataFrame:
+    """Flats of a transaction type, with a typed date. strict: a canonical date that is none is an error, not null."""
     rows = filters.transaction_type(filters.property_type(tx), kind)
-    return rows if "date" in rows.columns else rows.withColumn("date", S.day_of(F.col("INSTANCE_DATE")))
+    return rows if "date" in rows.columns else rows.withColumn("date", S.day_of(F.col("INSTANCE_DATE"), strict))
 
 
 def daily_area_bedroom(tx: DataFrame, kind: str = filters.ALL) -> DataFrame:

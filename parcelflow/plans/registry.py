@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import datetime as dt
+import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -12,6 +14,9 @@ from parcelflow.functions import scalars as S
 from parcelflow.functions import windows as W
 from parcelflow.operators import filters, normalize
 from parcelflow.plans import fixture, market, report, views
+from parcelflow.sinks import writers
+from parcelflow.sources import files, paged, snapshot
+from parcelflow.sources.standin import Standin
 
 START, END = dt.date(1996, 1, 1), dt.date(1998, 12, 31)
 PICKED = ["NATION_0", "NATION_3", "NATION_7", "NATION_22"]
@@ -27,6 +32,7 @@ def _sql(area: str = "upper(n_name)", zero: str = "l_quantity") -> str:
   CASE p_type WHEN 'ECONOMY' THEN 'Flat' ELSE p_type END AS kind, l_extendedprice AS value, {zero} AS size,
   CASE l_linenumber WHEN 1 THEN 'Studio' ELSE (l_linenumber - 1)::VARCHAR || ' B/R' END AS rooms,
   CASE l_linenumber WHEN 1 THEN 'Studio' ELSE (l_linenumber - 1)::VARCHAR || 'BR' END AS bed,
+  CASE WHEN l_linenumber <> 2 THEN l_linenumber % 2 = 1 END AS free,
   CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'Sale On Payment Plan' WHEN '2' THEN 'Development Registration' WHEN '5' THEN NULL ELSE 'Sale' END AS proc
  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey)"""
 
@@ -136,7 +142,7 @@ _add("tier_lines", lambda s, d: views.tier_lines(market.tier_daily(_tx(s, d), ti
 _add("area_price_lines", lambda s, d: views.area_price_lines(market.area_prices(_tx0(s, d)), PICKED).rolling, TX0, FLAT, PSF, f"SELECT area, date, daily_median_psf, rolling_median_psf, list_position({PICKED!r}, area) - 1 AS area_order FROM roll WHERE area IN ({', '.join(repr(p) for p in PICKED)})")
 
 # Sections of the report
-_add("price_quantiles", lambda s, d: report.structure(_tx0(s, d)), TX0, FLAT, f"SELECT count(value) AS txns, {_round('median(value)')} AS median, {_round('avg(value)')} AS mean, {_round('avg(value) / median(value)', 2)} AS ratio, {_round('median(CASE WHEN size > 0 THEN value / size END)')} AS median_psf, {_round('quantile_cont(value, 0.1)')} AS p10, {_round('quantile_cont(value, 0.25)')} AS p25, {_round('quantile_cont(value, 0.75)')} AS p75 FROM flat")
+_add("price_quantiles", lambda s, d: report.structure(_tx0(s, d)), TX0, FLAT, f"SELECT count(value) AS txns, {_round('median(value)')} AS median, {_round('avg(value)')} AS mean, {_round('avg(value) / median(value)', 2)} AS ratio, {_round('median(CASE WHEN size > 0 THEN value / size END)')} AS median_psf, {_round('quantile_cont(value, 0.1)')} AS p10, {_round('quantile_cont(value, 0.25)')} AS p25, {_round('quantile_cont(value, 0.75)')} AS p75, {_round('100.0 * count(*) FILTER (free) / count(free)', 1)} AS freehold_pct, {_round('median(value) FILTER (free)')} AS freehold_median, {_round('median(value) FILTER (NOT free)')} AS leasehold_median FROM flat")
 _add("concentration_topn", lambda s, d: report.concentration(_tx(s, d)), TX, FLAT, f"g AS (SELECT area, count(value) AS txns FROM flat GROUP BY area), r AS (SELECT row_number() OVER (ORDER BY txns DESC, area) AS rank, area, txns, {_round('sum(txns) OVER (ORDER BY txns DESC, area ROWS UNBOUNDED PRECEDING)::DOUBLE / sum(txns) OVER () * 100', 1)} AS cumulative_pct FROM g)", "SELECT * FROM r WHERE rank <= 10")
 _add("tier_prices", lambda s, d: report.tier_prices(_tx0(s, d), tiers=fixture.tiers(s)), TX0, FLAT, TIERS, f"SELECT tier_order, tier, {_round('median(value / size)')} AS median_psf, count(value) AS txns FROM flat JOIN tiers ON area = tier_area WHERE size > 0 GROUP BY ALL")
 MOVES = f"""mw AS (SELECT area, CAST(date_trunc('week', date) AS DATE) AS week, count(value) AS txns, {_round('median(value)')} AS median, {_round('median(CASE WHEN size > 0 THEN value / size END)')} AS psf FROM src GROUP BY 1, 2),
@@ -207,3 +213,108 @@ _add(
     f"FROM (SELECT unnest([{', '.join(repr(c) for c in schema.REQUIRED)}]) AS c)",
 )
 _add("date_bounds", lambda s, d: normalize.date_bounds(_normal(s, d)), _RAW, "SELECT min(day) AS first_date, max(day) AS last_date FROM raw WHERE n <> 5")
+_add("strict_dates", lambda s, d: market.base(_tx(s, d).drop("date"), strict=True).groupBy("date").agg(F.count(F.lit(1)).alias("n")), TX, FLAT, "SELECT date, count(*) AS n FROM flat GROUP BY date")
+_add("raw_coverage", lambda s, d: normalize.raw_coverage(fixture.raw(s, d).withColumnRenamed("Instance Date", "instance_date")), _RAW, "SELECT min(substr(t, 1, 10)) AS first_text, max(substr(t, 1, 10)) AS last_text FROM (SELECT CASE n WHEN 1 THEN strftime(day, '%Y-%m-%d 00:00:00') WHEN 2 THEN strftime(day, '%Y-%m-%dT00:00:00') WHEN 3 THEN strftime(day, '%d-%m-%Y') WHEN 4 THEN strftime(day, '%d/%m/%Y') WHEN 5 THEN 'not a date' ELSE ' ' || strftime(day, '%Y-%m-%d') || chr(9) END AS t FROM raw)")
+
+
+def _mapping(s: SparkSession, d: str) -> DataFrame:
+    found = normalize.resolve_columns(fixture.raw(s, d).columns)
+    return s.createDataFrame([(k, i, c) for k, v in found.items() for i, c in enumerate(v)], "target string, place int, source string")
+
+
+_add(
+    "column_mapping", _mapping,
+    "SELECT * FROM (VALUES ('INSTANCE_DATE', 0, 'Instance Date'), ('GROUP_EN', 0, 'trans_group_en'), ('IS_OFFPLAN_EN', 0, 'reg_type_en'), ('AREA_EN', 0, 'area_name_en'), ('PROP_SB_TYPE_EN', 0, 'property_sub_type_en'), ('TRANS_VALUE', 0, 'actual_worth'), "
+    "('ACTUAL_AREA', 0, 'actual_area'), ('ACTUAL_AREA', 1, 'procedure_area'), ('ROOMS_EN', 0, 'rooms_en'), ('TRANSACTION_NUMBER', 0, 'transaction-id'), ('PROCEDURE_AREA', 0, 'procedure_area')) t(target, place, source)",
+)
+_add("table_shape", lambda s, d: s.createDataFrame([(_tx(s, d).count(), len(_tx(s, d).columns), schema.empty(s).isEmpty())], "rows long, columns int, empty_is_empty boolean"), TX, "SELECT count(*) AS rows, 11 AS columns, true AS empty_is_empty FROM tx")
+_add("area_membership_long", lambda s, d: filters.members(_txc(s, d), "AREA_EN", [str(i) for i in range(1, 1401, 2)]).select(_PLAIN), TXC, f"SELECT {_SPLAIN} FROM tx WHERE CAST(area AS INT) % 2 = 1 AND CAST(area AS INT) BETWEEN 1 AND 1400")
+_D = lambda *x: dt.date(2026, *x)
+_RANGES = [(_D(1, 1), _D(2, 1)), (_D(1, 20), _D(3, 20)), (_D(1, 1), _D(1, 31)), (_D(2, 10), _D(2, 20)), (_D(3, 1), _D(2, 1)), (_D(5, 1), _D(6, 1))]
+_add(
+    "range_clamp", lambda s, d: s.createDataFrame([(*r, *filters.clamp(*r, _D(1, 15), _D(3, 15))) for r in _RANGES], "first date, last date, from_day date, to_day date"),
+    f"r AS (SELECT * FROM (VALUES {', '.join(f'(DATE {str(a)!r}, DATE {str(b)!r})' for a, b in _RANGES)}) t(first, last)), c AS (SELECT *, greatest(first, DATE '2026-01-15') AS a, least(last, DATE '2026-03-15') AS b FROM r)",
+    "SELECT first, last, CASE WHEN a <= b THEN a ELSE DATE '2026-01-15' END AS from_day, CASE WHEN a <= b THEN b ELSE DATE '2026-03-15' END AS to_day FROM c",
+)
+_ENDS = [dt.date(2026, 3, 31), dt.date(2024, 2, 29), dt.date(2025, 12, 31), dt.date(2026, 1, 1)]
+_add("last_months", lambda s, d: s.createDataFrame([(n, *S.last_months(n, e)) for e in _ENDS for n in (0, 1, 4, 13)], "months int, from_day date, to_day date"), f"SELECT n AS months, CAST(e - n * INTERVAL 1 MONTH AS DATE) AS from_day, e AS to_day FROM (VALUES {', '.join(f'(DATE {str(e)!r})' for e in _ENDS)}) t(e), (VALUES (0), (1), (4), (13)) m(n)")
+
+# Sinks
+_PULSE = f"pulse AS (SELECT week, median, median_pct_chg, {_round('(median - f) / f * 100', 1)} AS period_pct, median - f AS period_delta, {_round('(median - peak) / peak * 100', 1)} AS from_peak_pct, median - peak AS from_peak_delta, mean_median_ratio FROM l, a)"
+_add(
+    "pulse_cards", lambda s, d: writers.pulse_cards(market.market_pulse(market.weekly_momentum(_tx(s, d)))),
+    TX, FLAT, WEEKS, "a AS (SELECT arg_min(median, week) AS f, max(median) AS peak FROM weeks), l AS (SELECT * FROM weeks ORDER BY week DESC LIMIT 1)", _PULSE,
+    "SELECT 'AED ' || format('{:,.0f}', median) AS median, format('{:+.1f}% vs prev wk', median_pct_chg) AS weekly, format('{:+.1f}%', period_pct) AS period, 'AED ' || if(period_delta < 0, '-', '+') || format('{:,.0f}', abs(period_delta)) AS period_delta, "
+    "format('{:+.1f}%', from_peak_pct) AS from_peak, 'AED ' || if(from_peak_delta < 0, '-', '+') || format('{:,.0f}', abs(from_peak_delta)) AS from_peak_delta, format('{:.2f}x', mean_median_ratio) AS ratio FROM pulse",
+)
+_add(
+    "kpi_cards", lambda s, d: writers.kpi_cards(market.headline(market.filtered_daily(_tx(s, d), [*fixture.AREA_NAMES], filters.ALL, dt.date(1996, 1, 1), dt.date(1997, 12, 15)))),
+    TX, FLAT, DAILY, "sel AS (SELECT * FROM daily WHERE date BETWEEN DATE '1996-01-01' AND DATE '1997-12-15')",
+    "k AS (SELECT date, avg(avg_price_aed) AS p, avg(price_per_sqft_aed) AS q, CAST(sum(transaction_count) AS BIGINT) AS n FROM sel GROUP BY date), m AS (SELECT * FROM k ORDER BY date DESC LIMIT 1)",
+    f"SELECT 'AED ' || format('{{:,.0f}}', {_round('m.p', 2)}) AS avg_price, 'AED ' || format('{{:,.0f}}', {_round('m.q', 2)}) AS avg_psf, format('{{:,}}', m.n) AS transactions, coalesce(format('{{:+.1f}}%', {_round('(m.p - b.p) / b.p * 100', 1)}), 'N/A') AS yoy, strftime(m.date, '%b %Y') AS as_of "
+    "FROM m LEFT JOIN k b ON b.date = CAST(date_trunc('month', m.date - INTERVAL 12 MONTH) AS DATE)",
+)
+
+
+def _folder(s: SparkSession, name: str) -> str:
+    """A new folder that all executors reach."""
+    return f"{s.conf.get('spark.checkpoint.dir', None) or 'file:///tmp/checkpoints/parcelflow'}/{name}-{uuid.uuid4().hex}"
+
+
+def _csv(s: SparkSession, d: str) -> DataFrame:
+    path = _folder(s, "csv")
+    writers.to_csv(market.raw_table(_daily(s, d)).select("date", "neighborhood", "bedroom_type", "transaction_count"), path)
+    return files.read(s, path, "csv")
+
+
+def _table(s: SparkSession, d: str) -> DataFrame:
+    path = _folder(s, "table")
+    writers.to_table(_tx(s, d).drop("date"), path)
+    return files.read(s, path).filter("month = '1996-05'").select("INSTANCE_DATE", "AREA_EN", "TRANS_VALUE")
+
+
+_add("csv_export", _csv, TX, FLAT, DAILY, SELECTED, "SELECT strftime(date, '%Y-%m-%d') AS date, neighborhood, bedroom_type, transaction_count::VARCHAR AS transaction_count FROM sel")
+_add("table_sink", _table, TX, "SELECT strftime(date, '%Y-%m-%d') AS \"INSTANCE_DATE\", area AS \"AREA_EN\", value AS \"TRANS_VALUE\" FROM tx WHERE strftime(date, '%Y-%m') = '1996-05'")
+
+# Sources, over a stand-in of the service that serves the suppliers
+_SERVED = """served AS (SELECT s_suppkey AS k, printf('2026-03-%02d 10:%02d:%02d', 1 + s_suppkey % 28, s_suppkey // 60 % 60, s_suppkey % 60) AS t, s_name, s_nationkey,
+ CASE WHEN s_suppkey % 4 > 0 THEN 'Sales' ELSE 'Mortgage' END AS grp, CASE WHEN s_suppkey % 5 > 0 THEN 'Flat' ELSE 'Shop' END AS kind, 'AED ' || s_suppkey || ',000.5' AS worth FROM supplier)"""
+_services: dict[str, Standin] = {}
+
+
+def _service(s: SparkSession, d: str) -> Standin:
+    if d not in _services:
+        _services[d] = Standin(fixture.records(s, d)).start()
+    return _services[d]
+
+
+_FIELDS = ["transaction_id", "instance_date", "actual_worth"]
+_SFIELDS = "CAST(k AS VARCHAR) AS transaction_id, t AS instance_date, worth AS actual_worth"
+_add("paged_scan", lambda s, d: paged.scan(s, _service(s, d).config, page_size=30, max_records=None).select(_FIELDS), _SERVED, f"SELECT {_SFIELDS} FROM served")
+_add("paged_scan_offset", lambda s, d: paged.scan(s, _service(s, d).config, {"order_by": "instance_date", "offset": 7}, page_size=4, max_records=None).limit(30).select(_FIELDS).distinct(), _SERVED, f"SELECT {_SFIELDS} FROM (SELECT * FROM served ORDER BY t LIMIT 30 OFFSET 7)")
+_add("paged_scan_capped", lambda s, d: paged.scan(s, _service(s, d).config, paged.query(flat_only=False, newest_first=True), page_size=4, max_records=10).select(_FIELDS), _SERVED, f"SELECT {_SFIELDS} FROM (SELECT * FROM served ORDER BY t DESC LIMIT 10)")
+_add("paged_scan_filtered", lambda s, d: paged.scan(s, _service(s, d).config, paged.query(_D(3, 5), _D(3, 20)), page_size=30, max_records=None).filter("instance_date >= '2026-03-07'").select(_FIELDS), _SERVED, f"SELECT {_SFIELDS} FROM served WHERE kind = 'Flat' AND t >= '2026-03-07' AND t <= '2026-03-20'")
+_add("paged_scan_ranges", lambda s, d: paged.scan(s, _service(s, d).config, page_size=30, max_records=None, dates=[("2026-03-01", "2026-03-09"), ("2026-03-15", "2026-03-31")]).select(_FIELDS), _SERVED, f"SELECT {_SFIELDS} FROM served WHERE t BETWEEN '2026-03-01' AND '2026-03-09' OR t BETWEEN '2026-03-15' AND '2026-03-31'")
+_CANON = ["INSTANCE_DATE", "GROUP_EN", "AREA_EN", "TRANS_VALUE", "ACTUAL_AREA", "ROOMS_EN"]
+_SCANON = "substr(t, 1, 10) AS \"INSTANCE_DATE\", grp AS \"GROUP_EN\", upper(s_name) AS \"AREA_EN\", k * 1000 + 0.5::DOUBLE AS \"TRANS_VALUE\", s_nationkey::DOUBLE AS \"ACTUAL_AREA\", (k % 3 + 1)::VARCHAR || ' B/R' AS \"ROOMS_EN\""
+_add("snapshot_load", lambda s, d: snapshot.load(s, _service(s, d).config, as_of=_D(3, 25)).transactions.select(_CANON), _SERVED, f"SELECT {_SCANON} FROM served WHERE kind = 'Flat' AND t <= '2026-03-25'")
+_add("snapshot_meta", lambda s, d: s.createDataFrame([(lambda x: (*x.window, *x.bounds, json.dumps(x.mapping["ACTUAL_AREA"])))(snapshot.load(s, _service(s, d).config, as_of=_D(3, 25)))], "window_from date, window_to date, first_date date, last_date date, area_columns string"), _SERVED, "SELECT DATE '2025-11-25' AS window_from, DATE '2026-03-25' AS window_to, min(CAST(substr(t, 1, 10) AS DATE)) AS first_date, max(CAST(substr(t, 1, 10) AS DATE)) AS last_date, '[\"actual_area\", \"procedure_area\"]' AS area_columns FROM served WHERE kind = 'Flat' AND t <= '2026-03-25'")
+_add("empty_source", lambda s, d: snapshot.transactions(None, s), 'SELECT \'\' AS "INSTANCE_DATE", \'\' AS "GROUP_EN", \'\' AS "IS_OFFPLAN_EN", \'\' AS "AREA_EN", \'\' AS "PROP_SB_TYPE_EN", \'\' AS "PROCEDURE_EN", 0.0::DOUBLE AS "TRANS_VALUE", 0.0::DOUBLE AS "ACTUAL_AREA", \'\' AS "ROOMS_EN" WHERE false')
+_add("column_probe", lambda s, d: snapshot.probe(s, _service(s, d).config)[0].select(_CANON), _SERVED, f"SELECT {_SCANON} FROM (SELECT * FROM served ORDER BY t DESC LIMIT 10)")
+_add("legacy_scan", lambda s, d: paged.scan_legacy(s, _service(s, d).config, _D(3, 1), _D(3, 31)).select("TRANSACTION_NUMBER", "INSTANCE_DATE", "TRANS_VALUE", "ACTUAL_AREA"), _SERVED, 'SELECT CAST(k AS VARCHAR) AS "TRANSACTION_NUMBER", t AS "INSTANCE_DATE", worth AS "TRANS_VALUE", CAST(s_nationkey AS VARCHAR) AS "ACTUAL_AREA" FROM served WHERE kind = \'Flat\' AND grp = \'Sales\'')
+_add("records_to_frame", lambda s, d: files.from_records(s, fixture.records(s, d)).select(*_FIELDS, "note"), _SERVED, f"SELECT {_SFIELDS}, CASE WHEN k % 2 = 1 THEN '[1, \"a\"]' END AS note FROM served")
+
+
+def _envelopes(s: SparkSession, d: str) -> DataFrame:
+    """A file for each nation, in one of five envelopes; non-objects among the records are dropped."""
+    path, row = _folder(s, "envelopes"), F.to_json(F.struct("s_suppkey", "s_name"))
+    rows = s.read.parquet(f"{d}/supplier.parquet").groupBy("s_nationkey").agg(F.array_join(F.sort_array(F.collect_list(row)), ", ").alias("x"))
+    shapes = [("[", "]"), ('{"results": [', "]}"), ('{"result": {"records": [7, ', "]}}"), ('{"data": [', ', "z"]}'), ('{"result": {}, "items": [', "]}")]
+    text = F.lit(None)
+    for i, (before, after) in enumerate(shapes):
+        text = F.when(F.col("s_nationkey") % len(shapes) == i, F.concat(F.lit(before), "x", F.lit(after))).otherwise(text)
+    rows.repartitionByRange(25, "s_nationkey").select("s_nationkey", text.alias("value")).write.partitionBy("s_nationkey").text(path)
+    return files.read_envelopes(s, path, ["s_suppkey", "s_name"])
+
+
+_add("envelopes", _envelopes, "SELECT CAST(s_suppkey AS VARCHAR) AS s_suppkey, s_name FROM supplier")

@@ -13,13 +13,33 @@ from parcelflow.operators.distribution import describe
 from parcelflow.plans.market import LEAST_TRANSACTIONS, area_change, base
 
 
+#: Optional column of tenure, and what it says of freehold property.
+TENURE, FREEHOLD = "IS_FREE_HOLD_EN", "free hold"
+
+
 def structure(tx: DataFrame, kind: str = filters.ALL) -> DataFrame:
-    """One row: volume, median, mean, their ratio, median price per area, and the 10th, 25th and 75th percentiles."""
-    rows = base(tx, kind).withColumn("psf", F.when(F.col("ACTUAL_AREA") > 0, S.divide(F.col("TRANS_VALUE"), F.col("ACTUAL_AREA"))))
-    one = describe(rows, [], F.col("TRANS_VALUE"), [0.1, 0.25, 0.5, 0.75]).withColumnsRenamed({"n": "txns", "q": "p"})
-    one = one.crossJoin(describe(rows, [], F.col("psf"), [0.5]).select(F.col("q")[0].alias("psf")))  # one row each
-    p = [S.round_to(F.col("p")[i]) for i in range(4)]
-    return one.select("txns", p[2].alias("median"), S.round_to(F.col("mean")).alias("mean"), S.round_to(S.divide(F.col("mean"), F.col("p")[2]), 2).alias("ratio"), S.round_to(F.col("psf")).alias("median_psf"), p[0].alias("p10"), p[1].alias("p25"), p[3].alias("p75"))
+    """One row: volume, median, mean, their ratio, median price per area, the 10th, 25th and 75th percentiles, and the share and medians of freehold.
+
+    Tenure isn't a canonical column; without one the last three are null. All values are read in one scan.
+    """
+    price, psf = F.col("TRANS_VALUE"), F.when(F.col("ACTUAL_AREA") > 0, S.divide(F.col("TRANS_VALUE"), F.col("ACTUAL_AREA")))
+    free = F.lower(S.strip(F.col(TENURE))) == FREEHOLD if TENURE in tx.columns else F.lit(None).cast("boolean")
+    wanted = {"price": price, "psf": psf, "freehold": F.when(free, price), "leasehold": F.when(~free, price)}
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("what"), v.cast("double").alias("x")) for k, v in wanted.items()])).alias("e")
+    found = describe(base(tx, kind).select(each).select("e.*"), ["what"], F.col("x"), [0.1, 0.25, 0.5, 0.75])
+    one = found.groupBy().agg(*[F.max(F.when(F.col("what") == k, F.struct("n", "mean", "q"))).alias(k) for k in wanted])
+
+    def q(what: str, i: int):
+        return S.round_to(F.col(what)["q"][i])
+
+    count = {k: F.coalesce(F.col(k)["n"], F.lit(0)) for k in wanted}
+    mean = F.col("price")["mean"]
+    share = S.divide(count["freehold"], count["freehold"] + count["leasehold"]) * 100
+    return one.select(
+        count["price"].cast("long").alias("txns"), q("price", 2).alias("median"), S.round_to(mean).alias("mean"), S.round_to(S.divide(mean, F.col("price")["q"][2]), 2).alias("ratio"), q("psf", 2).alias("median_psf"),
+        q("price", 0).alias("p10"), q("price", 1).alias("p25"), q("price", 3).alias("p75"),
+        F.when(count["freehold"] + count["leasehold"] > 0, S.round_to(share, 1)).alias("freehold_pct"), q("freehold", 2).alias("freehold_median"), q("leasehold", 2).alias("leasehold_median"),
+    )
 
 
 def concentration(tx: DataFrame, kind: str = filters.ALL, top: int = 10) -> DataFrame:

@@ -44,10 +44,11 @@ def area_cards(cheapest: DataFrame) -> DataFrame:
 
 
 def to_markdown(sections: dict[str, DataFrame], rows: int = 40) -> str:
-    """A report as Markdown: the first rows of each section, collected."""
+    """A report as Markdown: the first rows of each section, collected; a section that has more says so."""
     out = []
     for title, df in sections.items():
         out += [f"## {title}", "", "| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]
-        out += ["| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in df.limit(rows).collect()]
-        out.append("")
+        shown = df.limit(rows + 1).collect()
+        out += ["| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in shown[:rows]]
+        out += ["", f"Only the first {rows} rows are shown."] * (len(shown) > rows) + [""]
     return "\n".join(out)

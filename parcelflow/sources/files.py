@@ -19,10 +19,15 @@ def read(spark: SparkSession, path: str, format: str = "parquet", **options) ->
     return reader.format(format).load(path)
 
 
-def read_envelopes(spark: SparkSession, path: str) -> DataFrame:
+def _leaf(value) -> str | None:
+    return value if value is None or isinstance(value, str) else json.dumps(value)
+
+
+def read_envelopes(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
     """Records of JSON files that each hold one answer of a service: a list, or an object with records under a usual name.
 
-    A file is parsed whole by the executor that reads it.
+    A file is parsed whole by the executor that reads it; all values are text. Without `columns` the files are read once
+    more, for the names that occur.
     """
     from parcelflow.sources.paged import unwrap
 
@@ -30,18 +35,19 @@ def read_envelopes(spark: SparkSession, path: str) -> DataFrame:
         import pandas as pd
 
         for batch in batches:
-            yield pd.DataFrame({"value": [json.dumps(r) for text in batch["value"] for r in unwrap(json.loads(text))]}, dtype=object)
+            yield pd.DataFrame({"r": [{k: _leaf(v) for k, v in r.items()} for text in batch["value"] for r in unwrap(json.loads(text))]}, dtype=object)
 
-    lines = spark.read.option("wholetext", True).text(path).mapInPandas(rows, "value string")
-    return spark.read.option("primitivesAsString", True).json(lines.rdd.map(lambda r: r[0]))
+    records = spark.read.option("wholetext", True).text(path).mapInPandas(rows, "r map<string,string>")
+    if columns is None:
+        columns = sorted(r[0] for r in records.select(F.explode(F.map_keys("r"))).distinct().collect())  # a row per column
+    return records.select(*[F.try_element_at("r", F.lit(c)).alias(c) for c in columns])
 
 
 def from_records(spark: SparkSession, records: list[dict]) -> DataFrame:
     """Records held by the driver: all keys of all records become text columns, in order of appearance."""
     names = list(dict.fromkeys(k for r in records for k in r))
-    text = lambda v: v if v is None or isinstance(v, str) else json.dumps(v)
     kind = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    return spark.createDataFrame([tuple(text(r.get(n)) for n in names) for r in records], kind)
+    return spark.createDataFrame([tuple(_leaf(r.get(n)) for n in names) for r in records], kind)
 
 
 # Names that the older loader gives to raw columns.

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import http.client
 import json
 import ssl
 import urllib.error
@@ -11,12 +12,39 @@ from typing import Any
 
 from parcelflow.sources.config import OAUTH_TOKEN_PATH, SECURE_TOKEN_PATH, ServiceConfig, ServiceError
 
-TIMEOUT_S = 60
+#: To connect, and to wait for each part of an answer.
+CONNECT_S, READ_S = 10, 60
 #: Answers of the secure endpoint that mean "no token here", so that the other one is tried.
 NO_TOKEN = {401, 403, 404, 405, 500}
 IDENTIFIER = "x-DDA-SecurityApplicationIdentifier"  # fixed value: header of the service
 
 
+class _Patient:
+    """A connection that may wait longer for an answer than for being made."""
+
+    def connect(self):
+        super().connect()
+        self.sock.settimeout(READ_S)
+
+
+class _Plain(_Patient, http.client.HTTPConnection):
+    pass
+
+
+class _Secure(_Patient, http.client.HTTPSConnection):
+    pass
+
+
+class _PlainHandler(urllib.request.HTTPHandler):
+    def http_open(self, req):
+        return self.do_open(_Plain, req)
+
+
+class _SecureHandler(urllib.request.HTTPSHandler):
+    def https_open(self, req):
+        return self.do_open(_Secure, req, context=self._context)
+
+
 def send(url: str, what: str, *, params=None, headers=None, form=None, body=None, verify: bool = True, forgive=frozenset()) -> Any:
     """The JSON answer; {} for a status that is forgiven."""
     if params:
@@ -26,9 +54,10 @@ def send(url: str, what: str, *, params=None, headers=None, form=None, body=None
         data, headers["Content-Type"] = json.dumps(body).encode(), "application/json"
     elif form is not None:
         data = urllib.parse.urlencode(form).encode()
-    context = None if verify else ssl._create_unverified_context()
+    context = ssl.create_default_context() if verify else ssl._create_unverified_context()
+    opener = urllib.request.build_opener(_PlainHandler(), _SecureHandler(context=context))
     try:
-        with urllib.request.urlopen(urllib.request.Request(url, data=data, headers=headers), timeout=TIMEOUT_S, context=context) as answer:
+        with opener.open(urllib.request.Request(url, data=data, headers=headers), timeout=CONNECT_S) as answer:
             return json.loads(answer.read())
     except urllib.error.HTTPError as e:
         if e.code in forgive:

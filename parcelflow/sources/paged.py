@@ -3,7 +3,7 @@
 Paging ends where a page is short or empty, so one partition reads the pages in turn and yields rows as they come. With
 option `dates` (a list of first,last pairs) each range is a partition of its own and ranges are read side by side.
 Filters on the service's own columns are pushed into its filter text if spark.sql.python.filterPushdown.enabled is set.
-Options: the fields of ServiceConfig; columns, page_size, max_records, offset, filter, order_by, order_dir, dates.
+Options: the settings of a service; columns, page_size, max_records, offset, filter, order_by, order_dir, dates, push (whether the session pushes filters).
 """
 
 from __future__ import annotations
@@ -17,7 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThanOrEqual, InputPartition, LessThanOrEqual
 
 from parcelflow.sources import http
-from parcelflow.sources.config import ServiceConfig, as_bool
+from parcelflow.sources.config import SETTINGS, ServiceConfig, parse
+from parcelflow.sources.files import LEGACY_NAMES, rename_legacy
 
 PAGE_SIZE, MAX_RECORDS = 1000, 100_000
 # Raw columns of the service.
@@ -69,20 +70,13 @@ class _Reader(DataSourceReader):
     def __init__(self, options: dict[str, str], columns: list[str]):
         self.options, self.columns, self.tests = options, columns, []
 
-    def pushFilters(self, filters):
-        signs = {EqualTo: "=", GreaterThanOrEqual: ">=", LessThanOrEqual: "<="}
-        for f in filters:
-            if type(f) in signs and len(f.attribute) == 1 and f.attribute[0] in self.columns and isinstance(f.value, str) and "'" not in f.value:
-                self.tests.append(f"{f.attribute[0]}{signs[type(f)]}'{f.value}'")
-            yield f  # Spark tests them again: the service's comparisons may be looser
-
     def partitions(self):
         ranges = json.loads(self.options.get("dates", "null"))
         return [InputPartition(r) for r in (ranges or [None])]
 
     def read(self, partition):
         o = self.options
-        config = ServiceConfig(**{k: as_bool(o[k.lower()]) if k in ("verify_ssl", "oauth_only") else o[k.lower()] for k in ServiceConfig.__dataclass_fields__ if k.lower() in o})
+        config = parse(o)
         params = {k: o[k] for k in ("order_by", "order_dir", "offset") if k in o}
         tests = [*([o["filter"]] if "filter" in o else []), *self.tests]
         if partition.value:
@@ -95,6 +89,17 @@ class _Reader(DataSourceReader):
                 yield tuple(_text(record.get(c)) for c in self.columns)
 
 
+class _PushingReader(_Reader):
+    """Spark refuses readers that take filters in sessions that don't push any, so this one is for sessions that do."""
+
+    def pushFilters(self, filters):
+        signs = {EqualTo: "=", GreaterThanOrEqual: ">=", LessThanOrEqual: "<="}
+        for f in filters:
+            if type(f) in signs and len(f.attribute) == 1 and f.attribute[0] in self.columns and isinstance(f.value, str) and "'" not in f.value:
+                self.tests.append(f"{f.attribute[0]}{signs[type(f)]}'{f.value}'")
+            yield f  # Spark tests them again: the service's comparisons may be looser
+
+
 class PagedJson(DataSource):
     @classmethod
     def name(cls):
@@ -104,14 +109,26 @@ class PagedJson(DataSource):
         return ", ".join(f"`{c}` string" for c in json.loads(self.options.get("columns", json.dumps(COLUMNS))))
 
     def reader(self, schema):
-        return _Reader(dict(self.options), [f.name for f in schema.fields])
+        kind = _PushingReader if self.options.get("push") == "true" else _Reader
+        return kind(dict(self.options), [f.name for f in schema.fields])
 
 
 def scan(spark: SparkSession, config: ServiceConfig, params: dict[str, Any] | None = None, *, page_size: int = PAGE_SIZE, max_records: int | None = MAX_RECORDS, columns=COLUMNS, dates=None) -> DataFrame:
     """The service's records, all columns as text. max_records holds for each of the date ranges."""
     spark.dataSource.register(PagedJson)
-    reader = spark.read.format("paged_json").options(**{k: str(v) for k, v in vars(config).items()}).options(**{k: str(v) for k, v in (params or {}).items() if k != "limit"})
+    reader = spark.read.format("paged_json").options(**{s.name: str(getattr(config, s.name)) for s in SETTINGS}).options(**{k: str(v) for k, v in (params or {}).items() if k != "limit"})
     reader = reader.options(page_size=str(page_size), max_records="none" if max_records is None else str(max_records), columns=json.dumps(list(columns)))
+    reader = reader.option("push", spark.conf.get("spark.sql.python.filterPushdown.enabled"))
     if dates:
         reader = reader.option("dates", json.dumps([[str(a), str(b)] for a, b in dates]))
     return reader.load()
+
+
+LEGACY_PAGE_SIZE = 500
+
+
+def scan_legacy(spark: SparkSession, config: ServiceConfig, start: dt.date | None = None, end: dt.date | None = None, **options) -> DataFrame:
+    """The older loader's scan: sales of flats in pages of 500, columns renamed but not cleaned."""
+    params = query(start, end)
+    params["filter"] = f"{params['filter']} AND trans_group_en='Sales'"
+    return rename_legacy(scan(spark, config, params, **({"page_size": LEGACY_PAGE_SIZE, "max_records": None, "columns": tuple(LEGACY_NAMES)} | options)))

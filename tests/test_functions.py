@@ -35,6 +35,16 @@ def test_to_day(spark):
     assert column(spark, good + ["2026-02-30", "", None, "soon"], "string", S.to_day) == [dt.date(2026, 3, 1)] * 7 + [None] * 4
 
 
+def test_day_of_strictly(spark):
+    texts = ["2026-03-01", "2026-03-01 10:00", None, "2026-02-30", "0000-01-01", "01-03-2026"]
+    want = [dt.date(2026, 3, 1)] * 2 + [None] * 4
+    assert column(spark, texts, "string", S.day_of) == want
+    assert column(spark, texts[:3], "string", lambda x: S.day_of(x, strict=True)) == want[:3]
+    for bad in texts[3:]:
+        with pytest.raises(Exception, match="not a date"):
+            column(spark, [bad], "string", lambda x: S.day_of(x, strict=True))
+
+
 def test_labels(spark):
     assert column(spark, ["STUDIO", "2", "3 B/R", " Office ", None, "٣"], "string", S.room_label) == ["Studio", "2 B/R", "3 B/R", "Office", None, "٣ B/R"]
     assert column(spark, ["2 B/R", "2 B/R B/R", "Studio", None], "string", S.bedroom) == ["2BR", "2BR B/R", "Studio", None]
@@ -48,10 +58,10 @@ def test_dates(spark):
     assert column(spark, days, "date", lambda x: S.months_earlier(x, 1)) == [dt.date(2026, 2, 28), dt.date(2024, 1, 29), None]
     assert column(spark, days, "date", S.same_month_last_year) == [dt.date(2025, 3, 1), dt.date(2023, 2, 1), None]
     assert column(spark, [dt.date(2026, 3, 19), dt.date(2026, 3, 16)], "date", S.week_of) == [dt.date(2026, 3, 16)] * 2
-    assert S.months_before(dt.date(2026, 3, 31), 1) == dt.date(2026, 2, 28) and S.months_before(dt.date(2024, 2, 29), 12) == dt.date(2023, 2, 28)
+    assert S.same_day_ago(dt.date(2026, 3, 31), 1) == dt.date(2026, 2, 28) and S.same_day_ago(dt.date(2024, 2, 29), 12) == dt.date(2023, 2, 28)
     assert S.last_months(4, dt.date(2026, 3, 19)) == (dt.date(2025, 11, 19), dt.date(2026, 3, 19))
     with pytest.raises(ValueError):
-        S.months_before(dt.date(2026, 1, 1), -1)
+        S.same_day_ago(dt.date(2026, 1, 1), -1)
     with pytest.raises(ValueError):
         S.months_earlier(F.lit(None), -1)
 

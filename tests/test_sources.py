@@ -1,5 +1,6 @@
 import datetime as dt
 import json
+import socket
 import threading
 from http.server import BaseHTTPRequestHandler, HTTPServer
 from urllib.parse import parse_qs, urlparse
@@ -8,7 +9,7 @@ import pytest
 
 from parcelflow import cli
 from parcelflow.sources import config as settings
-from parcelflow.sources import files, http, paged, snapshot
+from parcelflow.sources import files, http, paged, snapshot, standin
 
 
 class Service(BaseHTTPRequestHandler):
@@ -91,6 +92,42 @@ def test_scan_pushes_filters(spark, service):
     assert paged.scan(spark, service, dates=ranges).rdd.getNumPartitions() == 2
 
 
+def test_scan_where_nothing_is_pushed(spark, service):
+    name = "spark.sql.python.filterPushdown.enabled"
+    spark.conf.set(name, "false")
+    try:
+        assert paged.scan(spark, service, paged.query(), page_size=2).filter("instance_date >= '2026-03-03'").count() == 3
+        assert ">=" not in Service.asked[-1][1]["filter"]
+    finally:
+        spark.conf.set(name, "true")
+
+
+def test_legacy_scan(spark, service):
+    got = paged.scan_legacy(spark, service, dt.date(2026, 3, 2))
+    assert got.count() == 4 and {"TRANSACTION_NUMBER", "TRANS_VALUE", "ACTUAL_AREA"} <= set(got.columns)
+    asked = Service.asked[-1][1]
+    assert asked["limit"] == "500" and asked["filter"] == "property_sub_type_en='Flat' AND instance_date>='2026-03-02' AND trans_group_en='Sales'"
+
+
+def test_connecting_and_reading_wait_differently(service, monkeypatch):
+    waits = []
+    class Socket(socket.socket):
+        def settimeout(self, seconds):
+            waits.append(seconds)
+            super().settimeout(seconds)
+
+    monkeypatch.setattr(socket, "socket", Socket)
+    assert http.access_token(service) == "secure"
+    assert waits[0] == http.CONNECT_S == 10 and http.READ_S == 60 and 60 in waits
+
+
+def test_standin():
+    server = standin.Standin([{"a": str(i), "b": i} for i in range(7)]).start()
+    got = [r["b"] for p in paged.pages(server.config, {"filter": "a>='2' AND a<='5'", "order_by": "a", "order_dir": "desc"}, 3) for r in p]
+    assert got == [5, 4, 3, 2] and [q["offset"] for q in server.asked] == ["0", "3"]
+    server.shutdown()
+
+
 def test_snapshot(spark, service):
     got = snapshot.load(spark, service, as_of=dt.date(2026, 3, 19))
     assert got.transactions.count() == 5 and got.bounds == (dt.date(2026, 3, 1), dt.date(2026, 3, 5)) and got.window[0] == dt.date(2025, 11, 19)

@@ -21,6 +21,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from parcelflow.llm.common import materialize, mixed, prepare, trimmed
 
@@ -44,10 +45,12 @@ _tokenizers: dict = {}
 class ChunkTokenizer:
     """Ids of the tokenizer for whole texts, put together from remembered ids of their white-space-free chunks.
 
-    Valid for tokenizers that never join across white space and drop it (word_bpe_49k). Texts are parted at ASCII white
-    space; a chunk with any other goes through the tokenizer as it is.
+    Valid for tokenizers that never join across white space and drop it (word_bpe_49k); others are refused, as far as probes
+    show. Texts are parted at ASCII white space; a chunk with any other goes through the tokenizer as it is.
     """
 
+    PROBES = ("a b", " Two  words.\nA line, and\tmore ", "x.y z , w", "ÉÀ ñ — 日本 e\u0301\u2003q")
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -61,6 +64,11 @@ class ChunkTokenizer:
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
 
+        for text in self.PROBES:
+            whole = self.tokenizer.encode(text, add_special_tokens=False).ids
+            if self.encode(pa.array([text]), END_ID)[0][:-1].tolist() != whole:
+                raise ValueError(f"{path} joins words or keeps white space, so texts can't be encoded word by word")
+
     def forget(self) -> None:
         self.known = dict(islice(self.known.items(), FIRST))
 
@@ -233,7 +241,9 @@ def _pack(length: int, wide: bool):
 
 
 def pack(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH) -> DataFrame:
-    """Pieces: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset. doc_id must be a number."""
+    """Pieces: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset. doc_id is a number; one that isn't is an error."""
+    if not isinstance(docs.schema["doc_id"].dataType, T.IntegralType):
+        raise TypeError("pack() numbers pieces by a whole doc_id")
     if tokenizer is None:
         import public_tokenizers
 

@@ -2,9 +2,13 @@ import random
 import re
 
 import corpus_pipeline
+import public_tokenizers
 from tables import table
+from tokenizers import Tokenizer
 
 import __spark_entry__ as entry
+from parcelflow.llm import mixing
+from parcelflow.llm.common import collecting
 
 
 def test_registered():
@@ -44,5 +48,35 @@ def test_pipeline_by_stage(spark, words, tmp_path):
     assert {r["doc_id"]: r["text"] for r in frames[3].collect()} == {d: t for d, t in want.items() if t}
     assert set(ids[4]) <= set(ids[3]) and max(ids[4].count(d) for d in ids[4]) <= 2
     check(frames[4])
-    key = lambda df: sorted((r["doc_id"], r["start"], r["length"], r["ids_crc32"]) for r in df.collect())
-    assert len(key(corpus_pipeline.run(spark, str(tmp_path)))) >= len(set(ids[4]))
+    assert len(ids[4]) == len(mixing.mix(frames[3]).collect())
+    key = lambda df: sorted(tuple(r) for r in df.drop("sequence_id").collect())
+    with collecting(spark) as paths:
+        assert key(corpus_pipeline.run(spark, str(tmp_path))) == key(frames[5])
+        assert not paths
+
+
+def test_run_over_odd_and_empty_tables(spark, odd, empty, words, tmp_path):
+    """Nulls, repeated rows, a very long text and clashing names; what is packed is what the rules by themselves leave."""
+    from test_neardup import classes
+    from test_substring import brute
+
+    more = odd.unionByName(table(spark, [(50, words(30_000, 60) + " end", "en", "a"), (51, words(200, 61), "en", None)] + [(52, words(90, 62), "en", "a")] * 3))
+    more.write.parquet(f"{tmp_path}/odd/documents.parquet")
+    got = corpus_pipeline.run(spark, f"{tmp_path}/odd").collect()
+    texts = [(r["doc_id"], r["text"]) for r in more.collect() if r["text"] and any(c.isalpha() for c in r["text"])]
+    label = classes([t for _, t in texts])
+    firsts = {}
+    for (d, t), c in zip(texts, label):
+        firsts[c] = min(firsts.get(c, (True, 1, "")), (d is None, d or 0, t))
+    kept = list(firsts.values())
+    stripped = [(d if not none else None, b[3] if b[1] else t) for (none, d, t), b in zip(kept, brute([t for _, _, t in kept])) if b[3] or not b[1]]
+    assert {r["doc_id"] for r in got} <= {d for d, _ in stripped} and {50, 51, 52} <= {r["doc_id"] for r in got}
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    size = {}
+    for d, t in stripped:
+        size.setdefault(d, set()).add(len(tokenizer.encode(t, add_special_tokens=False).ids) + 1)
+    assert {(r["doc_id"], r["doc_tokens"]) for r in got} <= {(d, n) for d, ns in size.items() for n in ns}
+    empty.write.parquet(f"{tmp_path}/empty/documents.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/empty").count() == 0
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, str(tmp_path)).count() == 0

@@ -1,35 +1,59 @@
-"""The corpus pipeline: five stages over documents, each reading what the one before wrote."""
+"""The corpus pipeline: five stages over documents, each reading what the one before wrote.
+
+Every stage takes any table with the columns of documents, further ones included, and says below what becomes of nulls,
+empty and very long texts, ties and repeated rows. An empty table gives an empty result in every stage.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from parcelflow.llm import langid, mixing, neardup, packing, substring
-from parcelflow.llm.common import materialize
+from parcelflow.llm.common import collecting, discard, materialize
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is identified stay."""
+    """Documents whose language is identified stay, as they are.
+
+    Null and empty texts, and those without letters, go; a null lang or source is no evidence; texts of any length are judged
+    whole; languages that tie are told by code point; repeated rows are judged alike and all stay or go.
+    """
     return langid.identify(docs).filter("kept").select("row.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class stays."""
+    """One document of each near-duplicate class stays, as it is: that of the least doc_id, null last.
+
+    Null and empty texts are equal and form one class; texts of any length are compared whole; of rows that tie (equal id and
+    equal text) the least row stays, so of repeated rows one does.
+    """
     return neardup.keepers(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages that repeat are cut from the texts."""
+    """Passages that repeat are cut from the texts; a document that keeps no word goes, one that loses none stays as it is.
+
+    Null and empty texts have no words to lose and stay; passages are found in texts of any length, in the same one too; repeated
+    rows of 35 words or more repeat each other and go, shorter ones stay.
+    """
     return substring.strip_documents(docs)
 
 
 def mixing_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each time the mix takes a document."""
+    """A row for each time the mix takes a document, as it is.
+
+    Null and empty texts have no words and are never taken; a null source is a source of its own; a document of any length is taken
+    whole or not; documents whose finish times tie come by digest; repeated rows are documents of their own.
+    """
     return mixing.mix(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the token sequences."""
+    """Pieces of the token sequences: see packing.pack().
+
+    A null or empty text is its end id alone; a long one is cut over many sequences; equal keys come by doc_id (null first) and
+    text; repeated rows are packed each on their own.
+    """
     return packing.pack(docs)
 
 
@@ -45,7 +69,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The last stage's rows, written. What a stage wrote on its way is deleted when its output is, and that when the next one's is."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        with collecting(spark) as paths:
+            docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+            paths.remove(docs.parcelflow_path)
+        if before is not None:
+            discard(before)
+        before = docs
     return docs

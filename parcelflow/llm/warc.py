@@ -245,7 +245,7 @@ def read_archives(manifest: DataFrame, root: Store) -> DataFrame:
     count, size = ends.agg(F.count(F.lit(1)), F.sum("size")).first()
     tasks = max(1, min(count, max(2 * manifest.sparkSession.sparkContext.defaultParallelism, (size or 0) // TASK_BYTES)))
     frames = manifest.groupBy("bundle", "frame_start").agg(F.collect_list(F.struct("offset", "length", "record_id")).alias("records"))
-    dealt = frames.repartition(tasks, "bundle").sortWithinPartitions("bundle", "frame_start")
+    dealt = frames.repartitionByRange(tasks, "bundle").sortWithinPartitions("bundle", "frame_start")
     return dealt.mapInArrow(trimmed(_read(root)), _READ)
 
 

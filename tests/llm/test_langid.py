@@ -1,3 +1,4 @@
+import math
 import random
 
 from tables import table
@@ -46,8 +47,7 @@ def test_pages(spark):
     rows.append((500, "http://shop.example.fr/a", "<html><p>x q</p>", "fr"))
     rows.append((501, None, None, None))
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, truth string")
-    host = langid.host_of(F.col("url"))
-    got = langid.identify(pages, langid.text_of(F.col("html")), langid.declared_in(F.col("html")), host, langid.suffix_of(host)).select("row.page_id", "row.truth", "language", "kept").collect()
+    got = langid.identify_pages(pages).select("row.page_id", "row.truth", "language", "kept").collect()
     assert sum(r["language"] == r["truth"] for r in got if r["truth"]) >= 199
     assert [r["kept"] for r in got if r["page_id"] == 501] == [False]
 
@@ -90,6 +90,24 @@ def test_posteriors_by_hand(spark):
         assert abs(got[r["doc_id"]] - x.max() / x.sum()) < 1e-9
 
 
+def test_multinomials_by_hand(spark):
+    """Counts of hashed byte trigrams of all rows, with half a count for each of the cells, recomputed without the operator's code."""
+    docs, truth = corpus(spark)
+    rows = docs.collect()
+    model = langid.fit(docs.select("text", langid.code(F.col("lang")).alias("declared")), len(rows))
+    counts = {x: {} for x in SYLLABLES}
+    for t, lang in {(r["text"], r["lang"]) for r in rows}:
+        plain = b" " + b" ".join(b"".join(bytes([b]) if 97 <= b <= 122 or b >= 128 else b" " for b in t.lower().encode()).split()) + b" "
+        for a, b, c in zip(plain, plain[1:], plain[2:]):
+            cell = (((a << 16 | b << 8 | c) * 0x9E3779B97F4A7C15) % 2**64) >> 49
+            counts[lang][cell] = counts[lang].get(cell, 0) + 1
+    assert model.languages == sorted(SYLLABLES)
+    for lang, logs in zip(model.languages, model.logs):
+        total = sum(counts[lang].values()) + 0.5 * langid.CELLS
+        assert all(abs(logs[cell] - math.log((n + 0.5) / total)) < 1e-9 for cell, n in counts[lang].items())
+        assert abs(sum(math.exp(x) for x in logs) - 1) < 1e-9
+
+
 FOREIGN = [
     "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью",
     "すべての人間は、生まれながらにして自由であり、かつ、尊厳と権利とについて平等である。",

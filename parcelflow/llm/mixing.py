@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 from parcelflow.llm.common import materialize, prepare, row_key, word_count
 
 WEIGHTS = (3, 1, 2)
+SHUFFLE_BITS = 60
 #: Rows of one queue segment at most, about; segments are cut by hash, so a hot source spreads over many.
 SEGMENT_ROWS = 1_000
 #: Equal rows that one task numbers.
@@ -45,7 +46,7 @@ def targets(sizes: dict, weights=WEIGHTS, share: float = 1.5, most: float = 2.0)
 
 
 def items(docs: DataFrame, seed: int = 11) -> DataFrame:
-    """key (digest of the whole row), doc_id, source, size, copy (number among equal rows), shuffle: a row per row of docs, written."""
+    """key (digest of the whole row), doc_id, source, size, copy (number among equal rows), shuffle (60 bits of a digest of key and copy): a row per row of docs."""
     rows = docs.select(row_key(docs).alias("key"), "doc_id", F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"))
     rows = materialize(rows.groupBy("key", "doc_id", "source", "size").agg(F.count(F.lit(1)).alias("n")), "mix-rows")
     number = F.col("chunk") * EQUAL_ROWS
@@ -53,7 +54,8 @@ def items(docs: DataFrame, seed: int = 11) -> DataFrame:
     many = many.repartition("key", "chunk").withColumn("copy", F.explode(F.sequence(number, F.least(F.col("n"), number + EQUAL_ROWS) - 1)))
     out = rows.filter("n = 1").withColumn("copy", F.lit(0).cast("long")).select("key", "doc_id", "source", "size", "copy")
     out = out.union(many.select("key", "doc_id", "source", "size", "copy"))
-    return out.withColumn("shuffle", F.xxhash64(F.lit(seed), "key", "copy"))
+    mark = F.md5(F.concat_ws(":", F.lit(str(seed)), F.lower(F.hex("key")), F.col("copy").cast("string")))
+    return out.withColumn("shuffle", F.conv(F.substring(mark, 1, SHUFFLE_BITS // 4), 16, 10).cast("long"))
 
 
 def queues(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, repeats: int = 2, seed: int = 11) -> tuple[DataFrame, DataFrame, float]:
@@ -68,16 +70,14 @@ def queues(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, repeats: int =
     bits = max(0, (max((v[1] for v in per.values()), default=0) // SEGMENT_ROWS).bit_length())
     kind = T.StructType([T.StructField("t_source", T.StringType()), T.StructField("source_size", T.LongType()), T.StructField("target", T.DoubleType())])
     table = spark.createDataFrame([(s, v[0], goal[s]) for s, v in per.items()], kind)
-    segment = (F.shiftrightunsigned("shuffle", 64 - bits) if bits else F.lit(0)).cast("long")
-    # shuffle is signed: shifted without sign, segments and the order inside them agree on the unsigned value.
-    rows = rows.withColumn("segment", segment).withColumn("at", F.col("shuffle").bitwiseXOR(F.lit(-(2**63)).cast("long")))
+    rows = rows.withColumn("segment", F.shiftright("shuffle", SHUFFLE_BITS - bits).cast("long"))
     sums = rows.groupBy("source", "segment").agg(F.sum("size").alias("words"))
     before = F.coalesce(F.sum("words").over(Window.partitionBy("source").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     sums = sums.select(F.col("source").alias("s_source"), F.col("segment").alias("s_segment"), "words", before.alias("before"))
     # What every segment needs to know of its source: one row a segment.
     sums = sums.join(table, F.col("s_source").eqNullSafe(F.col("t_source"))).drop("t_source")
     rows = rows.join(sums, F.col("source").eqNullSafe(F.col("s_source")) & (F.col("segment") == F.col("s_segment"))).drop("s_source", "s_segment")
-    within = Window.partitionBy("source", "segment").orderBy("at", "size", "key", "copy").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("source", "segment").orderBy("shuffle", "key", "copy").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("begin", F.col("before") + F.coalesce(F.sum("size").over(within), F.lit(0)))
     rows = materialize(rows.select("key", "doc_id", "copy", "source", "size", "source_size", "target", "segment", "words", "before", "begin"), "mix-queues")
     epochs = F.sequence(F.lit(0), F.lit(repeats - 1))
@@ -163,3 +163,31 @@ def mixed_words(docs: DataFrame, **options) -> DataFrame:
 
 def op1_mix_sources(spark, sf_dir: str) -> DataFrame:
     return mixed_words(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+#: The same mix over the whole table, with a row's digest, its place in the shuffle, prefix sums and the filling of gaps spelt out.
+ORACLE = rf"""
+WITH d AS (SELECT doc_id, source, len(coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), [])) AS size,
+  md5(concat({", ".join(f"coalesce(length({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')" for c in ("doc_id", "text", "lang", "source", "n_chars"))})) AS key FROM documents),
+q AS (SELECT *, row_number() OVER (PARTITION BY key) - 1 AS copy FROM d),
+p AS (SELECT source, sum(size) AS words, count(*) AS n, {list(WEIGHTS)}[(row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(WEIGHTS)} + 1] AS weight FROM d GROUP BY source),
+g AS (SELECT *, 2.0::DOUBLE * words AS cap, 1.5::DOUBLE * sum(words) OVER () - coalesce(sum(2.0::DOUBLE * words) OVER o, 0) AS left_, sum(weight) OVER () - coalesce(sum(weight) OVER o, 0) AS rest
+  FROM p WINDOW o AS (ORDER BY words / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+a AS (SELECT *, first_value(left_ / rest) OVER (ORDER BY cap <= left_ * weight / rest, words / weight, source NULLS LAST) AS level, cap <= left_ * weight / rest AS is_full FROM g),
+t AS (SELECT source, words, CASE WHEN is_full THEN cap ELSE level * weight END AS target, CAST(round(CASE WHEN is_full THEN cap ELSE level * weight END) AS BIGINT) AS goal,
+  CASE WHEN max(n) OVER () < {SEGMENT_ROWS} THEN 0 ELSE CAST(floor(log2(max(n) OVER () // {SEGMENT_ROWS})) AS INT) + 1 END AS bits FROM a),
+s AS (SELECT q.*, words, target, goal, bits, CAST('0x' || substr(md5('11:' || key || ':' || copy), 1, 15) AS BIGINT) AS shuffle FROM q JOIN t ON q.source IS NOT DISTINCT FROM t.source),
+w AS (SELECT *, shuffle >> ({SHUFFLE_BITS} - bits) AS segment, coalesce(sum(size) OVER (PARTITION BY source ORDER BY shuffle, key, copy ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM s),
+c AS (SELECT *, epoch * (1 << bits) + segment AS place, epoch * words + before + size AS upto FROM w, (SELECT unnest([0, 1]) AS epoch) WHERE size > 0),
+f AS (SELECT *, max(upto) FILTER (upto <= goal) OVER (PARTITION BY source) AS done FROM c),
+j AS (SELECT *, min(place) FILTER (upto > goal) OVER (PARTITION BY source) AS gap FROM f),
+b AS (SELECT source, goal, coalesce(any_value(done), 0) AS done, list({{'sent': CAST(size AS HUGEINT), 'took': [key || ':' || copy || ':' || epoch]}} ORDER BY upto, key, copy, epoch) AS next
+  FROM j WHERE upto > goal AND place < gap + {FILLING} GROUP BY source, goal),
+l AS (SELECT source, unnest(list_reduce(list_concat([{{'sent': CAST(done AS HUGEINT), 'took': CAST([] AS VARCHAR[])}}], next),
+  lambda u, x: CASE WHEN u.sent + x.sent <= goal THEN {{'sent': u.sent + x.sent, 'took': list_concat(u.took, x.took)}} ELSE u END).took) AS id FROM b),
+k AS (SELECT j.key, j.copy, j.epoch, j.size, upto / target AS finish FROM j WHERE upto <= goal
+  UNION ALL SELECT j.key, j.copy, j.epoch, j.size, (coalesce(done, 0) + sum(size) OVER (PARTITION BY j.source ORDER BY upto, j.key, j.copy, j.epoch)) / target FROM j JOIN l ON l.id = key || ':' || copy || ':' || epoch),
+e AS (SELECT *, sum(size) OVER (ORDER BY finish, key, copy, epoch ROWS UNBOUNDED PRECEDING) AS spent FROM k),
+z AS (SELECT key, copy, sum(size) AS taken FROM e WHERE spent <= (SELECT round(sum(target)) FROM t) GROUP BY ALL)
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(words AS BIGINT) AS source_size, target, CAST(coalesce(taken, 0) AS BIGINT) AS taken FROM s LEFT JOIN z USING (key, copy)
+"""

@@ -410,3 +410,17 @@ def keepers(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 def op2_minhash_neardup(spark, sf_dir: str) -> DataFrame:
     return classes(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "class_id")
+
+
+#: All pairs that share a shingle, by brute force; a class is what its links reach.
+ORACLE = r"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+s AS (SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS sh FROM d),
+t AS (SELECT doc_id, sh, count(*) AS c FROM s GROUP BY ALL),
+n AS (SELECT doc_id, sum(c) AS n FROM t GROUP BY doc_id),
+o AS (SELECT a.doc_id AS x, b.doc_id AS y, sum(least(a.c, b.c)) AS shared FROM t a JOIN t b ON a.sh = b.sh AND a.doc_id <> b.doc_id GROUP BY ALL),
+e AS (SELECT x, y FROM o JOIN n p ON x = p.doc_id JOIN n q ON y = q.doc_id WHERE shared * 1.0::DOUBLE / (p.n + q.n - shared) >= 0.8
+  UNION SELECT a.doc_id, b.doc_id FROM d a JOIN d b ON a.text = b.text AND a.doc_id <> b.doc_id),
+r(doc_id, reached) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.doc_id, e.y FROM r JOIN e ON r.reached = e.x)
+SELECT doc_id, min(reached) AS class_id FROM r GROUP BY doc_id
+"""

@@ -16,4 +16,12 @@ QUERIES = {
     "op9_substring_dedup": substring.op9_substring_dedup,
     "op10_language_id": langid.op10_language_id,
 }
-ORACLES = {"op3_license_scan": licenses.oracle(), "op4_warc": warc.ORACLE, "op8_bm25_topk": search.ORACLE, "op9_substring_dedup": substring.ORACLE}
+ORACLES = {
+    "op1_mix_sources": mixing.ORACLE,
+    "op2_minhash_neardup": neardup.ORACLE,
+    "op3_license_scan": licenses.oracle(),
+    "op4_warc": warc.ORACLE,
+    "op5_url_filter": urlfilter.oracle(),
+    "op8_bm25_topk": search.ORACLE,
+    "op9_substring_dedup": substring.ORACLE,
+}

@@ -116,3 +116,30 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
 
 def op5_url_filter(spark, sf_dir: str) -> DataFrame:
     return judge(spark.read.parquet(f"{sf_dir}/pages.parquet")).drop("purity")
+
+
+def oracle(rules=RULES) -> str:
+    cases = sorted(rules, key=lambda r: (-len(r[1]) - len(r[2]), -len(r[1]), r[0] != "block"))
+    fits = [f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')" for _, h, p in cases]
+    rule = " ".join(f"WHEN {f} THEN '{h}{p}'" for f, (_, h, p) in zip(fits, cases))
+    ruled = " ".join(f"WHEN {f} THEN '{what}'" for f, (what, _, _) in zip(fits, cases))
+    return rf"""
+WITH u AS (SELECT page_id, CASE WHEN strpos(coalesce(url, ''), '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), '{UPPER}', '{LOWER}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+r AS (SELECT *, CASE {rule} END AS rule, CASE {ruled} END AS ruled, list_transform(list_filter(string_split(path, '/'), lambda x: x <> ''), lambda x: regexp_replace(
+  CASE WHEN regexp_matches(x, '[0-9]') AND regexp_matches(x, '^[0-9A-Fa-f-]{{8,}}(\.|$)') THEN regexp_replace(x, '^[0-9A-Fa-f-]+', '#') ELSE x END, '[0-9]+', '#', 'g')) AS parts FROM h),
+p AS (SELECT host, parts, count(*) FILTER (ruled = 'allow') AS a, count(*) FILTER (ruled = 'block') AS b FROM r GROUP BY ALL),
+s AS (SELECT *, parts[1:i - 1] AS up, parts[1:i] AS node FROM (SELECT *, unnest(range(1, len(parts) + 1)) AS i FROM p)),
+o AS (SELECT host, up, node, sum(a) AS a, sum(b) AS b FROM s GROUP BY ALL),
+t AS (SELECT *, count(*) OVER w AS kids, sum(a) OVER w AS all_a, sum(b) OVER w AS all_b FROM o WINDOW w AS (PARTITION BY host, up)),
+z AS (SELECT *, a + b AS n, all_a + all_b - a - b AS n_rest, all_b / (all_a + all_b) AS pooled FROM t),
+m AS (SELECT host, node, kids > 1 AND (n = 0 OR n_rest = 0 OR abs(b / n - (all_b - b) / n_rest) / sqrt(greatest(1e-12, pooled * (1 - pooled) * (1.0 / greatest(n, 1) + 1.0 / greatest(n_rest, 1)))) < {ALIKE}) AS alike FROM z),
+k AS (SELECT s.host, parts, list(CASE WHEN alike THEN '*' ELSE parts[i] END ORDER BY i) AS tree FROM s JOIN m ON s.host = m.host AND s.node = m.node GROUP BY ALL),
+g AS (SELECT p.*, coalesce(tree, []) AS tree FROM p LEFT JOIN k USING (host, parts)),
+v AS (SELECT *, CASE i WHEN 0 THEN ['..' || regexp_extract(host, '[^.]*$')] WHEN 1 THEN ['.' || regexp_extract(host, '([^.]*\.)?[^.]*$')] ELSE list_concat([host, '/'], tree[1:i - 2]) END AS spot FROM (SELECT host, tree, sum(a) AS a, sum(b) AS b, unnest(range(0, len(tree) + 3)) AS i FROM g GROUP BY host, tree)),
+c AS (SELECT spot, sum(a) AS a, sum(b) AS b FROM v GROUP BY spot),
+e AS (SELECT sum(a) AS a, sum(b) AS b FROM p),
+y AS (SELECT v.host, v.tree, list({{'p': c.b::DOUBLE, 'n': c.a + c.b}} ORDER BY i) AS way FROM v JOIN c ON v.spot = c.spot GROUP BY ALL),
+x AS (SELECT host, tree, list_reduce(list_concat([{{'p': (e.b + {PRIOR} * 0.5) / (e.a + e.b + {PRIOR}), 'n': e.a + e.b}}], way), lambda up, q: {{'p': CASE WHEN q.n = up.n THEN up.p ELSE (q.p + {PRIOR} * up.p) / (q.n + {PRIOR}) END, 'n': q.n}}).p AS purity FROM y, e)
+SELECT page_id, r.host, path, rule, coalesce(ruled, CASE WHEN purity >= {REJECT} THEN 'block' ELSE 'allow' END) AS verdict FROM r JOIN g ON r.host = g.host AND r.parts = g.parts JOIN x ON g.host = x.host AND g.tree = x.tree
+"""

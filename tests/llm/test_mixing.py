@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from tables import table
 
 from parcelflow.llm import mixing
@@ -112,6 +113,19 @@ def test_odd(spark, odd, empty):
     assert all(r[:] in pool for r in got.collect())
 
 
+def test_oracle(spark, odd, words, tmp_path):
+    """Also with segments, gaps that several documents fill, nulls and rows that repeat."""
+    duckdb = pytest.importorskip("duckdb").connect()
+    some = odd.select("doc_id", "text", "lang", "source", "n_chars")
+    more = spark.createDataFrame([(i, words(1 + i * i % 90, i % 1900), "en", f"s{min(2, i % 7)}", 1) for i in range(6000)], some.schema)
+    some.unionByName(more).write.parquet(f"{tmp_path}/documents.parquet")
+    duckdb.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = duckdb.sql(mixing.ORACLE)
+    flat = lambda r: tuple(round(x, 4) if isinstance(x, float) else x for x in r)
+    got = mixing.op1_mix_sources(spark, str(tmp_path)).select(*want.columns).collect()
+    assert sorted(map(flat, got), key=str) == sorted(map(flat, want.fetchall()), key=str)
+
+
 def test_order_and_budget(spark, words):
     docs = table(spark, [(i, words(20, i), "en", "a" if i < 150 else "b") for i in range(200)])
     _, copies, budget = mixing.queues(docs)

@@ -1,6 +1,7 @@
 import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from parcelflow.llm import urlfilter
@@ -111,6 +112,19 @@ def test_tree_by_hand(spark, monkeypatch):
     assert {v for _, v in unruled} == {"allow", "block"} and any("deep" in u and v == "block" for u, v in unruled)
 
 
+def test_oracle(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb").connect()
+    rng = random.Random(9)
+    urls = ODD[:-2] + [f"http://{rng.choice(['a.com', 'b.a.com', 'c.com', 'd.net', 'x.example.org', 'e.org'])}/{rng.choice(['de', 'fr', 'en', 'es', 'en/1', 'deadbeef01.x', 'it.2'])}/{rng.choice('12k')}{rng.choice('abc')}" for _ in range(600)] + [f"http://bad.com/de/{i}" for i in range(40)] + ["http://bad.com/en/x"]
+    table(spark, urls).write.parquet(f"{tmp_path}/pages.parquet")
+    duckdb.sql(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    want = duckdb.sql(urlfilter.oracle())
+    got = urlfilter.op5_url_filter(spark, str(tmp_path))
+    assert sorted(want.columns) == sorted(got.columns)
+    assert sorted((tuple(r[c] for c in want.columns) for r in got.collect()), key=str) == sorted(want.fetchall(), key=str)
+    assert got.filter("rule is null and verdict = 'block'").count() > 0
+
+
 def test_alike_branches_merge(spark):
     rng = random.Random(1)
     name = lambda: "".join(rng.choice("abcdef") for _ in range(8))

@@ -251,7 +251,8 @@ def _dealt(shards: DataFrame, count: int) -> DataFrame:
     """shard, part, parts: a task for each shard, or several for each (a part of the queries each) where that would leave cores idle."""
     parts = max(1, min(8, 2 * shards.sparkSession.sparkContext.defaultParallelism // max(1, count)))
     rows = shards.select("shard", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.lit(parts).alias("parts"))
-    return rows.repartition(max(1, min(MOST_TASKS, count * parts)))
+    # By range, since few rows dealt by hash or in turn would meet in some tasks and leave others empty.
+    return rows.repartitionByRange(max(1, min(MOST_TASKS, count * parts)), "shard", "part")
 
 
 def search(docs: DataFrame, queries: DataFrame, k: int = TOP) -> DataFrame:
@@ -267,7 +268,7 @@ def search(docs: DataFrame, queries: DataFrame, k: int = TOP) -> DataFrame:
     asked = asked.withColumn("query", F.monotonically_increasing_id())
     terms = materialize(asked.mapInArrow(trimmed(_query_terms), "query long, query_id long, term long, times long"), "query-terms")
     wanted = terms.select("term").distinct()
-    df = shards.select("shard").repartition(max(1, min(MOST_TASKS, count))).mapInArrow(trimmed(_frequencies(root)), "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).join(wanted, "term", "left_semi")
+    df = shards.select("shard").repartitionByRange(max(1, min(MOST_TASKS, count)), "shard").mapInArrow(trimmed(_frequencies(root)), "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).join(wanted, "term", "left_semi")
     idf = F.log(1 + (F.lit(float(n or 0)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weighted = terms.join(materialize(df, "frequencies"), "term").groupBy("query", "query_id").agg(F.collect_list(F.struct("term", (F.col("times") * idf).alias("weight"))).alias("terms"))
     written = materialize(weighted.withColumn("floor", F.lit(0.0)), "queries")

@@ -284,3 +284,38 @@ def op10_language_id(spark, sf_dir: str) -> DataFrame:
     """Every document; its `lang` stands for the declared language and its `source` for the host."""
     found = identify(spark.read.parquet(f"{sf_dir}/documents.parquet"), carry=["doc_id", "lang", "source"])
     return found.select("row.doc_id", "row.lang", "row.source", "language", "posterior", "kept")
+
+
+#: The whole model and its fusion over documents, byte trigrams included. No row is left out of the sample here, so it holds while each language has TRAIN_ROWS rows at most.
+ORACLE = rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, text, lang, source, nullif(lower(regexp_extract(trim(coalesce(lang, '')), '^([A-Za-z]{{2,3}})(?:[-_].*)?$', 1)), '') AS declared FROM documents),
+x AS (SELECT rid, hex(encode(lower(text))) AS h FROM d WHERE text IS NOT NULL),
+b AS (SELECT rid, i, CAST('0x' || substr(h, 2 * i + 1, 2) AS INT) AS b FROM (SELECT rid, h, unnest(range(length(h) // 2)) AS i FROM x)),
+k AS (SELECT rid, i, b BETWEEN 97 AND 122 OR b >= 128 AS letter, CASE WHEN b BETWEEN 97 AND 122 OR b >= 128 THEN b ELSE 32 END AS c FROM b),
+j AS (SELECT rid, i, c FROM (SELECT *, lag(letter, 1, false) OVER (PARTITION BY rid ORDER BY i) AS before FROM k) WHERE letter OR before),
+s AS (SELECT rid, i, c FROM j UNION ALL SELECT rid, -1, 32 FROM j GROUP BY rid UNION ALL SELECT rid, max(i) + 1, 32 FROM j GROUP BY rid),
+t AS (SELECT rid, c AS c0, lead(c) OVER o AS c1, lead(c, 2) OVER o AS c2 FROM s WINDOW o AS (PARTITION BY rid ORDER BY i)),
+g AS (SELECT rid, CAST(CAST(c0 * 65536 + c1 * 256 + c2 AS HUGEINT) * 11400714819323198485 % 18446744073709551616 // 562949953421312 AS INT) AS cell, count(*) AS n FROM t WHERE c2 IS NOT NULL GROUP BY ALL),
+m AS (SELECT rid, sum(n)::DOUBLE AS len FROM g GROUP BY rid),
+f AS (SELECT min(rid) AS rid, declared AS language FROM d WHERE text IS NOT NULL AND declared IS NOT NULL GROUP BY text, declared),
+c AS (SELECT language, cell, sum(n)::DOUBLE AS n FROM f JOIN g USING (rid) GROUP BY ALL),
+a AS (SELECT f.rid, f.language, sum(g.n * ln(c.n - g.n + {SMOOTHING})) / any_value(len) - ln({SMOOTHING}) AS gain FROM f JOIN g USING (rid) JOIN m USING (rid) JOIN c ON c.language = f.language AND c.cell = g.cell GROUP BY f.rid, f.language),
+y AS (SELECT language, sum(n) + {SMOOTHING} * {CELLS} AS total, greatest({LEAST_GAIN} * any_value(usual), {LEAST_SEEN} * ln((1 + {SMOOTHING}) / {SMOOTHING})) AS floor, count(*) OVER () AS many
+  FROM c JOIN (SELECT language, median(gain) AS usual FROM a GROUP BY language) USING (language) GROUP BY language),
+v AS (SELECT g.rid, c.language, sum(g.n * ln(c.n + {SMOOTHING})) AS s, sum(g.n) AS seen FROM g JOIN c USING (cell) GROUP BY ALL),
+u AS (SELECT m.rid, y.language, least(len, {TEMPER}) AS n, floor, total, (coalesce(s, 0) + (len - coalesce(seen, 0)) * ln({SMOOTHING})) / len - ln(total) AS mean FROM m CROSS JOIN y LEFT JOIN v ON v.rid = m.rid AND v.language = y.language),
+l AS (SELECT rid, language, mean * n AS ll, mean - ln({SMOOTHING} / total) - floor * greatest(0, n - {FEW}) / ({TEMPER} - {FEW}) + 1e-9 AS above FROM u),
+p AS (SELECT rid, language, ll, above, exp(ll - max(ll) OVER w) AS e FROM l WINDOW w AS (PARTITION BY rid)),
+o AS (SELECT *, e / sum(e) OVER (PARTITION BY rid) AS p, first_value(above) OVER (PARTITION BY rid ORDER BY e DESC, language) AS best FROM p),
+h AS (SELECT source AS host, language, sum(p) AS s FROM o JOIN d USING (rid) WHERE best >= 0 GROUP BY ALL),
+w AS (SELECT language, whole / sum(whole) OVER () AS whole FROM (SELECT language, coalesce(sum(s), 0) + 1.0 AS whole FROM y LEFT JOIN h USING (language) GROUP BY language)),
+n AS (SELECT host, regexp_extract(host, '([^.]*\.)?[^.]*$') AS domain, language, s FROM h WHERE host IS NOT NULL),
+z AS (SELECT domain, language, (sum(s) + {DOMAIN_WEIGHT} * any_value(whole)) / (sum(sum(s)) OVER (PARTITION BY domain) + {DOMAIN_WEIGHT}) AS up FROM n JOIN w USING (language) GROUP BY domain, language),
+r AS (SELECT host, n.language, (s + {HOST_WEIGHT} * up) / (sum(s) OVER (PARTITION BY host) + {HOST_WEIGHT}) AS prior FROM n JOIN z USING (domain, language)),
+q AS (SELECT rid, o.language, above, ll + ln(coalesce(prior, whole)) + CASE WHEN declared NOT IN (SELECT language FROM y) OR declared IS NULL THEN 0
+  WHEN declared = o.language THEN ln({DECLARED_RIGHT}) ELSE ln(greatest((1 - {DECLARED_RIGHT}) / greatest(1, many - 1), 1e-9)) END AS fused
+  FROM o JOIN d USING (rid) JOIN w ON w.language = o.language JOIN y ON y.language = o.language LEFT JOIN r ON r.host = d.source AND r.language = o.language),
+i AS (SELECT rid, language, above, exp(fused - max(fused) OVER (PARTITION BY rid)) AS e FROM q),
+e AS (SELECT rid, arg_max(language, e) FILTER (e = 1) AS language, 1 / sum(e) AS posterior, min(CASE WHEN e = 1 THEN above END) AS above FROM i GROUP BY rid)
+SELECT doc_id, lang, source, CASE WHEN above >= 0 THEN language END AS language, CASE WHEN above >= 0 THEN posterior END AS posterior, coalesce(above >= 0 AND posterior >= {LEAST_POSTERIOR}, false) AS kept FROM d LEFT JOIN e USING (rid)
+"""

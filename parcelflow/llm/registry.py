@@ -24,4 +24,5 @@ ORACLES = {
     "op5_url_filter": urlfilter.oracle(),
     "op8_bm25_topk": search.ORACLE,
     "op9_substring_dedup": substring.ORACLE,
+    "op10_language_id": langid.ORACLE,
 }

@@ -1,6 +1,7 @@
 import math
 import random
 
+import pytest
 from tables import table
 from pyspark.sql import functions as F
 
@@ -108,6 +109,19 @@ def test_multinomials_by_hand(spark):
         assert abs(sum(math.exp(x) for x in logs) - 1) < 1e-9
 
 
+def test_oracle(spark, odd, tmp_path):
+    duckdb = pytest.importorskip("duckdb").connect()
+    names = ("doc_id", "text", "lang", "source")
+    docs = corpus(spark, 0.2)[0].select(*names).union(odd.withColumn("text", F.when(F.length("text") < 9000, F.col("text"))).select(*names))
+    docs = docs.union(spark.createDataFrame([(900 + i, t, None, "x.y.example") for i, t in enumerate(FOREIGN)] + [(950, "the x q", "EN_us", None)], docs.schema))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    duckdb.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = duckdb.sql(langid.ORACLE)
+    flat = lambda r: tuple(round(x, 8) if isinstance(x, float) else x for x in r)
+    got = langid.op10_language_id(spark, str(tmp_path)).select(*want.columns).collect()
+    assert sorted(map(flat, got), key=str) == sorted(map(flat, want.fetchall()), key=str) and not all(r["kept"] for r in got)
+
+
 FOREIGN = [
     "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью",
     "すべての人間は、生まれながらにして自由であり、かつ、尊厳と権利とについて平等である。",

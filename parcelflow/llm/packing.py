@@ -249,12 +249,13 @@ def pack(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH) ->
 
         tokenizer = public_tokenizers.path("word_bpe_49k.json")
     prepare(docs.sparkSession)
+    wide = tokenizer_at(tokenizer).wide  # here too, so that an unfit one is refused before any work
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
     tokens = materialize(rows.mapInArrow(trimmed(_tokenize(tokenizer)), "doc_id long, tie long, key long, n long, ids binary"), "tokens")
     total = tokens.agg(F.sum("n")).first()[0] or 0
     ranges = max(1, -(-total // RANGE_TOKENS))
     spread = tokens.repartitionByRange(ranges, "key", "doc_id", "tie").sortWithinPartitions("key", "doc_id", "tie")
-    return spread.select("doc_id", "n", "ids").mapInArrow(trimmed(_pack(length, tokenizer_at(tokenizer).wide)), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return spread.select("doc_id", "n", "ids").mapInArrow(trimmed(_pack(length, wide)), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
 
 def op6_pack_sequences(spark, sf_dir: str) -> DataFrame:

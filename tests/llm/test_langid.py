@@ -53,6 +53,13 @@ def test_pages(spark):
     assert [r["kept"] for r in got if r["page_id"] == 501] == [False]
 
 
+def test_priors_joined_by_shuffle(spark, monkeypatch):
+    docs, _ = corpus(spark)
+    want = sorted(map(tuple, langid.identify(docs, carry=["doc_id"]).select("row.doc_id", "language", "kept").collect()))
+    monkeypatch.setattr(langid, "BROADCAST_HOSTS", -1)
+    assert sorted(map(tuple, langid.identify(docs, carry=["doc_id"]).select("row.doc_id", "language", "kept").collect())) == want
+
+
 def test_odd(spark, odd, empty):
     got = langid.identify(odd).select("row.*", "language", "posterior", "kept").collect()
     assert len(got) == odd.count()

@@ -4,6 +4,7 @@ from collections import defaultdict
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pytest
 from tables import table
 from tokenizers import Tokenizer
 
@@ -50,6 +51,20 @@ def test_pack(spark, words):
     check(docs, 64)
 
 
+def test_many_ranges(spark, words, monkeypatch):
+    monkeypatch.setattr(packing, "RANGE_TOKENS", 3000)
+    pieces, padding = check(table(spark, [(i, words(7 * (i % 90), i), "en", "a") for i in range(200)]))
+    assert padding == 0 and len({p["sequence_id"] >> 40 for p in pieces}) > 8
+
+
+def test_other_tokenizers_are_refused(spark, words):
+    docs = table(spark, [(1, words(9, 1), "en", "a")])
+    with pytest.raises(ValueError, match="word by word"):
+        packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json")).collect()
+    with pytest.raises(TypeError):
+        packing.pack(docs.withColumn("doc_id", docs["text"]))
+
+
 def test_odd(spark, odd, empty):
     pieces, _ = check(odd)
     assert any(p["doc_tokens"] == 1 for p in pieces) and packing.pack(empty).count() == 0

@@ -22,6 +22,7 @@ ORACLES = {
     "op3_license_scan": licenses.oracle(),
     "op4_warc": warc.ORACLE,
     "op5_url_filter": urlfilter.oracle(),
+    "op7_quality_rules": quality.ORACLE,
     "op8_bm25_topk": search.ORACLE,
     "op9_substring_dedup": substring.ORACLE,
     "op10_language_id": langid.ORACLE,

@@ -23,7 +23,8 @@ def value_range(v: Column) -> Column:
 
     far = F.lit(10_000 * RANGES).cast("long")
     plain = F.when(v > 0, of(F.when(v > 0, v))).when(v < 0, -of(F.when(v < 0, -v))).otherwise(F.lit(0).cast("long"))
-    return F.when(v.isNull(), -2 * far).when(F.isnan(v), 2 * far).when(v == float("inf"), far).when(v == float("-inf"), -far).otherwise(plain)
+    # Never null, and seen to be: a test for null would make this plan's two uses of the counts differ, and count twice.
+    return F.coalesce(F.when(v.isNull(), -2 * far).when(F.isnan(v), 2 * far).when(v == float("inf"), far).when(v == float("-inf"), -far).otherwise(plain), F.lit(0).cast("long"))
 
 
 def describe(rows: DataFrame, keys: list[str], value: Column, quantiles: list[float]) -> DataFrame:

@@ -65,9 +65,13 @@ def scratch_root(spark: SparkSession) -> str:
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
     path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    note(path)
+    return path
+
+
+def note(path: str) -> None:
     for paths in _collectors.get()[-1:]:
         paths.append(path)
-    return path
 
 
 def delete(spark: SparkSession, path: str) -> None:
@@ -76,16 +80,36 @@ def delete(spark: SparkSession, path: str) -> None:
 
 
 @contextmanager
-def collecting(spark: SparkSession):
-    """Tables that operators write inside, in this thread, are deleted at the end; results must have been stored by then."""
+def noting():
+    """Paths of the tables that operators write inside, in this thread."""
     paths: list[str] = []
     token = _collectors.set((*_collectors.get(), paths))
     try:
         yield paths
     finally:
         _collectors.reset(token)
-        for path in paths:
-            delete(spark, path)
+
+
+@contextmanager
+def collecting(spark: SparkSession):
+    """noting(); all of them are deleted at the end, but for those that are taken off the list. Results must have been stored by then."""
+    with noting() as paths:
+        try:
+            yield paths
+        finally:
+            for path in paths:
+                delete(spark, path)
+
+
+def reads(df: DataFrame, paths: list[str]) -> bool:
+    """Whether df's plan reads files below any of these paths."""
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+    for i in range(leaves.size()):
+        leaf = leaves.apply(i)
+        roots = leaf.relation().location().rootPaths().mkString("\n") if leaf.getClass().getSimpleName() == "LogicalRelation" else ""
+        if any(path.rpartition("/")[2] in roots for path in paths):
+            return True
+    return False
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -153,7 +177,7 @@ def row_key(df: DataFrame) -> Column:
     """128-bit digest of all columns; nulls are marked, and lengths part one value from the next."""
     parts = []
     for f in df.schema.fields:
-        value = F.col(f"`{f.name}`")
+        value = F.col("`" + f.name.replace("`", "``") + "`")
         plain = not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType))
         value = value.cast("string") if plain else F.to_json(F.struct(value), {"ignoreNullFields": "false"})
         parts.append(F.coalesce(F.concat(F.length(value).cast("string"), F.lit(":"), value), F.lit("-")))

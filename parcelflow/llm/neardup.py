@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from parcelflow.llm.common import Rolling, discard, materialize, mixed, pieces, prepare, text_key, trimmed, word_hashes, words_of
+from parcelflow.llm.common import Rolling, collecting, discard, materialize, mixed, note, pieces, prepare, text_key, trimmed, word_hashes, words_of
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -351,6 +351,8 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, sure: float = SURE) -
         state = materialize(labelled.join(open_, "band"), "state")
         discard(labelled, open_, *used)
         used = [state]
+        if state.isEmpty():
+            break
         if facts is None:
             left = materialize(state.select("node").distinct(), "left")
             some = texts.join(left, "node", "left_semi")
@@ -383,7 +385,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, sure: float = SURE) -
         was = pivots.select("band", "node", F.lit(True).alias("now"))
         state = state.select("band", "node", "done").join(was, ["band", "node"], "left").select("band", "node", (F.col("done") | F.coalesce("now", F.lit(False))).alias("done"))
         batch *= GROWTH
-    discard(facts, texts, *used)
+    discard(*([facts] if facts else [nodes]), texts, *used)
     out = signed.select("doc_id", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least_id = materialize(out.groupBy("label").agg(F.min("doc_id").alias("class_id")), "class-ids")
     return out.join(least_id, "label").select("doc_id", "node", "label", "class_id")
@@ -394,9 +396,12 @@ def keepers(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     Kept texts are found by their digests; the rest of a row takes no part in the shuffles.
     """
-    kind = classes(docs, threshold)
-    chosen = kind.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("best"))
-    chosen = materialize(chosen.select(F.col("best.doc_id").alias("__id"), F.col("best.node").alias("__node")), "keepers")
+    with collecting(docs.sparkSession) as paths:
+        kind = classes(docs, threshold)
+        chosen = kind.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("best"))
+        chosen = materialize(chosen.select(F.col("best.doc_id").alias("__id"), F.col("best.node").alias("__node")), "keepers")
+        paths.remove(chosen.parcelflow_path)
+    note(chosen.parcelflow_path)
     marked = docs.withColumn("__text_node", text_key(F.coalesce(F.col("text").cast("string"), F.lit(""))))
     side = F.broadcast(chosen) if chosen.count() <= BROADCAST_IDS else chosen
     kept = marked.join(side, (F.col("__text_node") == F.col("__node")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")

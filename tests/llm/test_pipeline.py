@@ -8,7 +8,7 @@ from tokenizers import Tokenizer
 
 import __spark_entry__ as entry
 from parcelflow.llm import mixing
-from parcelflow.llm.common import collecting
+from parcelflow.llm.common import _hadoop, noting
 
 
 def test_registered():
@@ -50,9 +50,22 @@ def test_pipeline_by_stage(spark, words, tmp_path):
     check(frames[4])
     assert len(ids[4]) == len(mixing.mix(frames[3]).collect())
     key = lambda df: sorted(tuple(r) for r in df.drop("sequence_id").collect())
-    with collecting(spark) as paths:
-        assert key(corpus_pipeline.run(spark, str(tmp_path))) == key(frames[5])
-        assert not paths
+    with noting() as paths:
+        out = corpus_pipeline.run(spark, str(tmp_path))
+    assert key(out) == key(frames[5])
+    there = lambda p: (lambda path, fs: fs.exists(path))(*_hadoop(spark, p))
+    assert len(paths) == 5 and [there(p) for p in paths] == [False] * 4 + [True]
+
+
+def test_stages_keep_what_their_input_reads(spark, words, tmp_path):
+    """Chained without writing, against the contract: what the plan still reads stays; what it doesn't goes with the next stage."""
+    docs = table(spark, [(i, words(40 + i, i), "en", "ab"[i % 2]) for i in range(20)])
+    (_, first), (_, second), (_, third) = corpus_pipeline.STAGES[:3]
+    lazy = second(spark, first(spark, docs, ""), "")
+    assert lazy.count() == 20
+    lazy.write.parquet(f"{tmp_path}/two")
+    assert third(spark, spark.read.parquet(f"{tmp_path}/two"), "").count() == 20
+    assert set(corpus_pipeline._written.__dict__) == {"2"}
 
 
 def test_run_over_odd_and_empty_tables(spark, odd, empty, words, tmp_path):

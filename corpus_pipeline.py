@@ -6,12 +6,46 @@ empty and very long texts, ties and repeated rows. An empty table gives an empty
 
 from __future__ import annotations
 
+import functools
+import threading
+
 from pyspark.sql import DataFrame, SparkSession
 
 from parcelflow.llm import langid, mixing, neardup, packing, substring
-from parcelflow.llm.common import collecting, discard, materialize
+from parcelflow.llm.common import delete, discard, materialize, noting, reads
+
+
+#: What stages of this thread wrote on their way, by their place.
+_written = threading.local()
+
+
+def _forget(spark: SparkSession, before: int, docs: DataFrame | None = None) -> None:
+    """Delete what stages before a place wrote on their way, unless docs still reads it."""
+    held = _written.__dict__
+    for place in [p for p in held if int(p) < before]:
+        if docs is None or not reads(docs, held[place]):
+            for path in held.pop(place):
+                delete(spark, path)
+
+
+def _stage(place: int):
+    """A stage that begins by deleting what the stages before it wrote on their way: their output, its input, is written by then."""
+
+    def made(work):
+        @functools.wraps(work)
+        def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+            _forget(spark, place, docs)
+            with noting() as paths:
+                out = work(spark, docs, sf_dir)
+            _written.__dict__.setdefault(str(place), []).extend(paths)
+            return out
+
+        return stage
+
+    return made
 
 
+@_stage(0)
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is identified stay, as they are.
 
@@ -21,6 +55,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return langid.identify(docs).filter("kept").select("row.*")
 
 
+@_stage(1)
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate class stays, as it is: that of the least doc_id, null last.
 
@@ -30,6 +65,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return neardup.keepers(docs)
 
 
+@_stage(2)
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that repeat are cut from the texts; a document that keeps no word goes, one that loses none stays as it is.
 
@@ -39,6 +75,7 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return substring.strip_documents(docs)
 
 
+@_stage(3)
 def mixing_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each time the mix takes a document, as it is.
 
@@ -48,6 +85,7 @@ def mixing_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return mixing.mix(docs)
 
 
+@_stage(4)
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the token sequences: see packing.pack().
 
@@ -69,13 +107,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows, written. What a stage wrote on its way is deleted when its output is, and that when the next one's is."""
+    """The last stage's rows, written. What a stage wrote on its way is deleted when the next one begins, its output when that of the next one is written."""
     docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        with collecting(spark) as paths:
-            docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
-            paths.remove(docs.parcelflow_path)
+        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
         if before is not None:
             discard(before)
         before = docs
+    _forget(spark, len(STAGES))
     return docs

@@ -281,9 +281,9 @@ def identify_pages(pages: DataFrame, **options) -> DataFrame:
 
 
 def op10_language_id(spark, sf_dir: str) -> DataFrame:
-    """Every document; its `lang` stands for the declared language and its `source` for the host."""
+    """Every document; its `lang` stands for the declared language and its `source` for the host. Posteriors are given to six digits."""
     found = identify(spark.read.parquet(f"{sf_dir}/documents.parquet"), carry=["doc_id", "lang", "source"])
-    return found.select("row.doc_id", "row.lang", "row.source", "language", "posterior", "kept")
+    return found.select("row.doc_id", "row.lang", "row.source", "language", F.round("posterior", 6).alias("posterior"), "kept")
 
 
 #: The whole model and its fusion over documents, byte trigrams included. No row is left out of the sample here, so it holds while each language has TRAIN_ROWS rows at most.
@@ -317,5 +317,5 @@ q AS (SELECT rid, o.language, above, ll + ln(coalesce(prior, whole)) + CASE WHEN
   FROM o JOIN d USING (rid) JOIN w ON w.language = o.language JOIN y ON y.language = o.language LEFT JOIN r ON r.host = d.source AND r.language = o.language),
 i AS (SELECT rid, language, above, exp(fused - max(fused) OVER (PARTITION BY rid)) AS e FROM q),
 e AS (SELECT rid, arg_max(language, e) FILTER (e = 1) AS language, 1 / sum(e) AS posterior, min(CASE WHEN e = 1 THEN above END) AS above FROM i GROUP BY rid)
-SELECT doc_id, lang, source, CASE WHEN above >= 0 THEN language END AS language, CASE WHEN above >= 0 THEN posterior END AS posterior, coalesce(above >= 0 AND posterior >= {LEAST_POSTERIOR}, false) AS kept FROM d LEFT JOIN e USING (rid)
+SELECT doc_id, lang, source, CASE WHEN above >= 0 THEN language END AS language, CASE WHEN above >= 0 THEN round(posterior, 6) END AS posterior, coalesce(above >= 0 AND posterior >= {LEAST_POSTERIOR}, false) AS kept FROM d LEFT JOIN e USING (rid)
 """

@@ -162,7 +162,8 @@ def mixed_words(docs: DataFrame, **options) -> DataFrame:
 
 
 def op1_mix_sources(spark, sf_dir: str) -> DataFrame:
-    return mixed_words(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    """mixed_words() of all documents, targets to a millionth of a word."""
+    return mixed_words(spark.read.parquet(f"{sf_dir}/documents.parquet")).withColumn("target", F.round("target", 6))
 
 
 #: The same mix over the whole table, with a row's digest, its place in the shuffle, prefix sums and the filling of gaps spelt out.
@@ -189,5 +190,5 @@ k AS (SELECT j.key, j.copy, j.epoch, j.size, upto / target AS finish FROM j WHER
   UNION ALL SELECT j.key, j.copy, j.epoch, j.size, (coalesce(done, 0) + sum(size) OVER (PARTITION BY j.source ORDER BY upto, j.key, j.copy, j.epoch)) / target FROM j JOIN l ON l.id = key || ':' || copy || ':' || epoch),
 e AS (SELECT *, sum(size) OVER (ORDER BY finish, key, copy, epoch ROWS UNBOUNDED PRECEDING) AS spent FROM k),
 z AS (SELECT key, copy, sum(size) AS taken FROM e WHERE spent <= (SELECT round(sum(target)) FROM t) GROUP BY ALL)
-SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(words AS BIGINT) AS source_size, target, CAST(coalesce(taken, 0) AS BIGINT) AS taken FROM s LEFT JOIN z USING (key, copy)
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(words AS BIGINT) AS source_size, round(target, 6) AS target, CAST(coalesce(taken, 0) AS BIGINT) AS taken FROM s LEFT JOIN z USING (key, copy)
 """

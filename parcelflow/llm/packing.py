@@ -105,7 +105,7 @@ class ChunkTokenizer:
             texts = pc.replace_substring_regex(pc.ascii_lower(texts), r"(\pL)([.,])([\t-\r ]|$)", r"\1 \2\3")
         lists = pc.ascii_split_whitespace(texts)
         coded = lists.flatten().dictionary_encode()
-        words, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        words, codes = _listed(coded.dictionary), coded.indices.to_numpy()
         found = list(map(self.known.get, words))
         fresh = [w for w, ids in zip(words, found) if ids is None]
         if fresh:
@@ -124,6 +124,12 @@ class ChunkTokenizer:
         return np.insert(flat, cuts[1:], end), np.diff(cuts) + 1
 
 
+def _listed(words: pa.Array) -> list[str]:
+    """to_pylist() for strings without line ends, by way of one long one, which takes a tenth of the time."""
+    whole = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), "\n")
+    return whole[0].as_py().split("\n") if len(words) else []
+
+
 def _plain_letters(x: str) -> bool:
     """Letters up to U+00FF that neither composition nor lower-casing changes in any unusual way."""
     return x.isascii() or max(x) <= "ÿ" and "ª" not in x and "º" not in x

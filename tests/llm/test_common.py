@@ -27,6 +27,14 @@ def test_mounted_store(spark, tmp_path):
     assert kept.uri == f"file:{tmp_path}/files" and f.read() == b"abc" and size == 3
 
 
+def test_store_of_s3_addresses():
+    """By the names that Spark's connector has for them, with its settings; nothing is asked of any server yet."""
+    options = tuple((name, "us-east-1" if name == "region" else "x") for name in common.S3_SETTINGS.values() if name != "endpoint_override")
+    for scheme in ("s3", "s3a", "s3n"):
+        fs, path = common.Store(f"{scheme}://bucket/some/folder", options).open()
+        assert fs.type_name == "s3" and path == "bucket/some/folder"
+
+
 def test_shared_folder_is_needed_off_local_masters():
     session = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="spark://host:7077"))
     with pytest.raises(RuntimeError):

@@ -237,9 +237,14 @@ def repeats(docs: DataFrame, window: int = WINDOW, batches: int = 2, keep_text:
     All documents are judged on the input: the index takes them in `batches`, each merge-joined with the runs before it, and the
     anchors found twice nominate windows of every batch. One copy of each text is indexed; further copies are known by key.
     """
-    prints = materialize(fingerprint(docs, window), "prints")
-    texts = _texts(prints)
-    anchors = _anchors(texts)
+    # Anchors are kept in one place at a time.
+    wide = materialize(fingerprint(docs, window), "prints")
+    whole = _texts(wide)
+    prints = materialize(wide.drop("grams", "starts", "spans"), "rows")
+    discard(wide)
+    anchors = _anchors(whole)
+    texts = materialize(whole.drop("grams", "starts", "spans"), "keys")
+    discard(whole)
     index, again = FingerprintIndex(docs.sparkSession), None
     for k in range(batches):
         found = index.take(anchors.filter(F.pmod(F.xxhash64("tid"), F.lit(batches)) == k))

@@ -306,8 +306,8 @@ def unshared(texts: DataFrame) -> DataFrame:
     return single.groupBy("id").agg(F.sum("times").alias("own"))
 
 
-def classes(docs: DataFrame, threshold: float = THRESHOLD, sure: float = SURE) -> DataFrame:
-    """doc_id, node (text digest), label (node of the class), class_id (least doc_id of the class): one row per row of docs.
+def labelled_rows(docs: DataFrame, threshold: float = THRESHOLD, sure: float = SURE) -> DataFrame:
+    """doc_id, node (text digest), label (node of the class): one row per row of docs.
 
     sure: a pair that shares a band is verified unless its signatures agree this many standard deviations too little; infinity verifies all.
     """
@@ -386,7 +386,12 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, sure: float = SURE) -
         state = state.select("band", "node", "done").join(was, ["band", "node"], "left").select("band", "node", (F.col("done") | F.coalesce("now", F.lit(False))).alias("done"))
         batch *= GROWTH
     discard(*([facts] if facts else [nodes]), texts, *used)
-    out = signed.select("doc_id", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    return signed.select("doc_id", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+
+
+def classes(docs: DataFrame, threshold: float = THRESHOLD, sure: float = SURE) -> DataFrame:
+    """labelled_rows() and class_id, the least doc_id of the class."""
+    out = labelled_rows(docs, threshold, sure)
     least_id = materialize(out.groupBy("label").agg(F.min("doc_id").alias("class_id")), "class-ids")
     return out.join(least_id, "label").select("doc_id", "node", "label", "class_id")
 
@@ -397,7 +402,7 @@ def keepers(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     Kept texts are found by their digests; the rest of a row takes no part in the shuffles.
     """
     with collecting(docs.sparkSession) as paths:
-        kind = classes(docs, threshold)
+        kind = labelled_rows(docs, threshold)
         chosen = kind.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("best"))
         chosen = materialize(chosen.select(F.col("best.doc_id").alias("__id"), F.col("best.node").alias("__node")), "keepers")
         paths.remove(chosen.parcelflow_path)

@@ -6,9 +6,10 @@ templates are lower-cased and stripped of everything but letters and digits; the
 times |B|, t being the threshold; a run with a block beyond the greatest of these is no unit; and since at least that
 share of B must be in A, a text without any of a template's key words (those in more bigrams than may be missing) can't hold it.
 
-With `within`, texts of which no unit matches are searched for notices inside longer lines and blocks, for templates of up to WITHIN bigrams:
-a unit is then any run of words that begins and ends with a bigram of the template and has no more bigrams than the upper bound. A run can only match if that many of
-the template's bigrams lie that close together, so few starts remain. n_units counts lines and runs of blocks only.
+With `within`, texts of which no unit matches are searched for notices inside longer lines and blocks, and for licenses of more than RUN blocks, by every
+template: a unit is then any run of words, however long. Without loss, only such runs are tried as begin with a bigram of the template that isn't found in the run again (a shorter run
+would do as well), and only as far as their distinct bigrams are no more than the upper bound. So the work is at most a text's words times
+a template's bigrams, and few texts have enough of a template's bigrams to begin. n_units counts lines and runs of blocks only.
 
 Everything is built-in column functions of one row: no shuffle, no explode. Templates are one array, so their number doesn't
 lengthen the plan. Defined results: null and empty texts hold no
@@ -26,8 +27,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 THRESHOLD = 0.8
-#: Blocks of one unit at most, and bigrams of a template that is looked for inside longer units.
-RUN, WITHIN = 8, 110
+#: Blocks of one unit at most, and bigrams of a template that is looked for inside longer units: any number.
+RUN, WITHIN = 8, math.inf
 
 # Published license notices.
 TEMPLATES = (
@@ -190,37 +191,73 @@ def _let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def best_within(text: Column, templates=TEMPLATES, threshold: float = THRESHOLD) -> Column:
-    """The least (-dice, license) of any run of the text's words; null if none matches."""
-    known = [(name, b) for name, t in templates if len(b := template_bigrams(t)) <= WITHIN]
-    bounds = [(math.ceil(len(b) * threshold / (2 - threshold) - 1e-9), math.floor(len(b) * (2 - threshold) / threshold + 1e-9)) for _, b in known]
-    listed = F.array(*[F.struct(F.lit(name).alias("license"), F.array(*map(F.lit, b)).alias("b"), F.lit(low).alias("least"), F.lit(high).alias("most")) for (name, b), (low, high) in zip(known, bounds)])
+def places(pairs: Column, every: list[str]) -> Column:
+    """A text's bigrams in order: where each one is found before (-1: nowhere) and after (their number: nowhere), and itself if it is one of `every`."""
+    ordered = F.sort_array(F.transform(pairs, lambda p, i: F.struct(p.alias("pair"), i.alias("at"))))
+
+    def linked(s: Column) -> Column:
+        def one(x: Column, k: Column) -> Column:
+            near = lambda y: F.when(y["pair"] == x["pair"], y["at"])
+            before, after = F.coalesce(near(F.get(s, k - 1)), F.lit(-1)), F.coalesce(near(F.get(s, k + 1)), F.size(s))
+            return F.struct(x["at"].alias("at"), before.alias("before"), after.alias("after"), F.when(x["pair"].isin(every), x["pair"]).alias("mark"))
+
+        return F.sort_array(F.transform(s, one))
+
+    return _let(ordered, linked)
+
+
+def best_run(at: Column, t: Column) -> Column:
+    """The greatest coefficient of any run of a text's bigrams (see places()) with a template; null if no run can match."""
+    n, step = F.size(t["b"]), 2 * t["most"]
+    marked = F.transform(at, lambda p: p.withField("hit", p["mark"].isNotNull() & F.array_contains(t["b"], p["mark"])))
+
+    def within(marked: Column) -> Column:
+        def of(start: Column) -> Column:
+            first, end = start["at"], start["after"]
 
-    def one(pairs: Column, marked: Column, t: Column) -> Column:
-        least, most = t["least"], t["most"]
+            def further(so: Column, k: Column) -> Column:
+                begin = first + k * step
+                new = F.filter(F.slice(marked, begin + 1, F.least(step, end - begin)), lambda p: p["before"] < first)
 
-        def runs(hits: Column) -> Column:
-            at = lambda k: F.element_at(hits, k + 1)["at"]
+                def count(new: Column) -> Column:
+                    hits = F.filter(F.transform(new, lambda p, m: F.struct(m.alias("m"), p["hit"].alias("hit"))), lambda p: p["hit"])
 
-            def dice(k: Column, e: Column) -> Column:
-                inside = F.size(F.array_distinct(F.transform(F.slice(hits, k + 1, e - k + 1), lambda h: h["pair"])))
-                size = F.size(F.array_distinct(F.slice(pairs, at(k) + 1, at(e) - at(k) + 1)))
-                return 2.0 * inside / (size + F.size(t["b"]))
+                    def add(hits: Column) -> Column:
+                        dice = F.array_max(F.transform(hits, lambda h, j: 2.0 * (so["both"] + j + 1) / (so["size"] + h["m"] + 1 + n)))
+                        return F.struct((so["size"] + F.size(new)).alias("size"), (so["both"] + F.size(hits)).alias("both"), F.greatest(so["dice"], dice).alias("dice"))
 
-            def ends(k: Column) -> Column:
-                near = F.filter(F.sequence(k + least - 1, F.least(F.size(hits), k + most) - 1), lambda e: at(e) - at(k) < most)
-                return F.array_min(F.transform(near, lambda e: -dice(k, e)))
+                    return _let(hits, add)
 
-            starts = F.filter(F.sequence(F.lit(0), F.size(hits) - least), lambda k: at(k + least - 1) - at(k) < most)
-            return F.when(F.size(hits) >= least, F.array_min(F.transform(starts, ends)))
+                return F.when(so["size"] <= t["most"], _let(new, count)).otherwise(so)
 
-        return F.struct(_let(F.filter(marked, lambda h: F.array_contains(t["b"], h["pair"])), runs).alias("minus_dice"), t["license"].alias("license"))
+            none = F.struct(F.lit(0).alias("size"), F.lit(0).alias("both"), F.lit(0.0).alias("dice"))
+            return F.aggregate(F.sequence(F.lit(0), F.floor((end - first - 1) / step).cast("int")), none, further, lambda so: so["dice"])
 
+        def starts(hits: Column) -> Column:
+            enough = F.filter(hits, lambda h, k: F.get(hits, k + t["least"] - 1)["at"] < h["after"])
+            return F.array_max(F.transform(enough, of))
+
+        return _let(F.filter(marked, lambda p: p["hit"]), starts)
+
+    return _let(marked, within)
+
+
+def best_within(text: Column, templates=TEMPLATES, threshold: float = THRESHOLD) -> Column:
+    """The least (-dice, license) of any run of the text's words; null if none matches."""
+    known = [(name, b) for name, t in templates if len(b := template_bigrams(t)) <= WITHIN]
+    bounds = [(math.ceil(len(b) * threshold / (2 - threshold) - 1e-9), math.floor(len(b) * (2 - threshold) / threshold + 1e-9)) for _, b in known]
+    listed = F.array(*[F.struct(F.lit(name).alias("license"), F.array(*map(F.lit, b)).alias("b"), F.lit(low).alias("least"), F.lit(high).alias("most")) for (name, b), (low, high) in zip(known, bounds)])
     every = sorted({x for _, b in known for x in b})
 
     def among(pairs: Column) -> Column:
-        marked = F.filter(F.transform(pairs, lambda p, i: F.struct(i.alias("at"), p.alias("pair"))), lambda h: h["pair"].isin(every))
-        return _let(marked, lambda m: F.array_min(F.filter(F.transform(listed, lambda t: one(pairs, m, t)), lambda f: f["minus_dice"] <= -threshold)))
+        found = F.array_distinct(F.filter(pairs, lambda p: p.isin(every)))
+        fit = _let(found, lambda f: F.filter(listed, lambda t: F.size(F.array_intersect(t["b"], f)) >= t["least"]))
+
+        def tried(fit: Column) -> Column:
+            runs = lambda at: F.transform(fit, lambda t: F.struct((-best_run(at, t)).alias("minus_dice"), t["license"].alias("license")))
+            return F.when(F.size(fit) > 0, F.array_min(F.filter(_let(places(pairs, every), runs), lambda f: f["minus_dice"] <= -threshold)))
+
+        return _let(fit, tried)
 
     return _let(neighbours(normalised(text)), among)
 

@@ -1,3 +1,6 @@
+import random
+import re
+
 from tables import table
 
 from parcelflow.llm import licenses
@@ -78,3 +81,55 @@ def test_notices_inside_longer_text(spark, words, tmp_path):
     assert [got[i] for i in range(6)] == [(*brute_within(t), 0) for t in texts]
     assert [got[i][0] for i in range(5)] == ["MIT", "MIT", "GPL-3.0-or-later", "CC-BY-SA-4.0", None]
     assert [got[i] for i in (6, 7, 8)] == [("MIT", 1.0, 1), (None, None, 0), (None, None, 0)]
+
+
+def test_long_licenses_inside_longer_text(spark, words, tmp_path):
+    """Every template inside a longer block, over more blocks than a unit has, and around words that repeat: runs have no limit but the bound."""
+    plain = lambda t: re.sub(r"[^a-z0-9]+", " ", t.lower()).split()
+    texts, want = [], []
+    for name, template in licenses.TEMPLATES:
+        w = template.split()
+        texts.append(f"{words(300, 1)} {template} {words(300, 2)}")
+        want.append((name, 1.0))
+        if len(w) > 60:
+            comment = "".join(f" * {' '.join(w[i : i + 5])}\n" for i in range(0, len(w), 5))
+            texts.append(f"/*\n{comment} */\nimport os\n{words(300, 3)}")
+            want.append((name, 1.0))
+            if name != "Apache-2.0":  # whose first words are a template themselves, and so a unit
+                texts.append("\n\n".join([words(300, 4), *(" ".join(w[i : i + 2]) for i in range(0, len(w), 2)), words(300, 5)]))
+                want.append((name, 1.0))
+            whole = plain(template)
+            texts.append(" ".join([words(300, 6), *whole[:40], *["again"] * 900, *whole[40:], words(300, 7)]))
+            b = set(licenses.template_bigrams(template))
+            a = [f"{x} {y}" for x, y in zip([*whole[:40], "again"], [*whole[1:40], "again", "again"])] + [f"{x} {y}" for x, y in zip(["again", *whole[40:]], whole[40:])]
+            runs = [set(a[i:j]) for i in range(len(a)) for j in range(i + 1, len(a) + 1)]
+            dice = [max((2 * len(r & set(licenses.template_bigrams(t))) / (len(r) + len(licenses.template_bigrams(t))), n) for r in runs) for n, t in licenses.TEMPLATES if n == name or "Apache" in name]
+            want.append((name, max(dice)[0]))
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: (r["license"], r["dice"], r["n_units"]) for r in licenses.op3_license_scan(spark, str(tmp_path)).collect()}
+    assert [got[i] for i in range(len(texts))] == [(*x, 0) for x in want]
+    assert "Python" not in licenses.op3_license_scan(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+
+
+def test_runs_against_all_runs(spark, tmp_path):
+    """Short texts of few words, whose bigrams repeat, against every run of any length."""
+    rng = random.Random(3)
+    templates = [(str(k), " ".join(rng.choices("abcde", k=4 + k))) for k in range(6)]
+    texts = [" ".join(rng.choices("abcde" if i % 2 else "abcdexyz", k=rng.randint(1, 60))) for i in range(200)]
+
+    def brute_runs(text):
+        w, found = text.split(), []
+        for name, b in ((n, set(licenses.template_bigrams(t))) for n, t in templates):
+            for i in range(len(w)):
+                a = set()
+                for x, y in zip(w[i:], w[i + 1 :]):
+                    a.add(f"{x} {y}")
+                    found.append((-2 * len(a & b) / (len(a) + len(b)), name))
+        best = min(found, default=(0, None))
+        return tuple(best) if best[0] <= -licenses.THRESHOLD else None
+
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = dict(docs.select("doc_id", licenses.best_within(docs["text"], templates)).collect())
+    want = [brute_runs(t) for t in texts]
+    assert [tuple(got[i]) if got[i] and got[i][1] else None for i in range(200)] == want
+    assert 20 < sum(x is not None for x in want) < 180

@@ -1,9 +1,9 @@
 """Quality rules: counted base rules, then a hashed n-gram log-likelihood ratio of a trusted and the raw corpus.
 
 Words and pairs of words are hashed into BUCKETS cells. The raw multinomial counts every document; the trusted one
-counts a bounded sample of rows labelled good and not toxic (TRUSTED_ROWS, smallest hashes first). A document's score is the mean over its
-n-grams of log p(trusted) - log p(raw), so length doesn't matter. The threshold is fixed by the trusted rows that were
-held out of the counting: the score below which SLACK of them lie. Fewer than 1 / SLACK held rows don't show that score; then it is
+counts all rows labelled good and not toxic but for the fifth that is held out. A document's score is the mean over its
+n-grams of log p(trusted) - log p(raw), so length doesn't matter. The threshold is fixed by all trusted rows that were
+held out of the counting: the exact score below which SLACK of them lie. Fewer than 1 / SLACK held rows don't show that score; then it is
 bounded from below by their mean and deviation (a one-sided tolerance bound: at most SLACK lie below it, with probability SURE).
 
 Defined results: null and empty texts have no words, fail the base rules and aren't kept; without labelled rows only the
@@ -23,9 +23,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parcelflow.llm.common import Rolling, discard, materialize, mixed, prepare, trimmed
+from parcelflow.operators.distribution import describe
 
 BUCKETS = 1 << 16
+#: Trusted ids that the SQL counts at most; judge() counts all, so beyond it the two differ.
 TRUSTED_ROWS = 20_000
+#: Trusted ids up to this many are broadcast (an id and a flag, some 60 bytes in memory); beyond it the joins shuffle.
+BROADCAST_TRUSTED = 500_000
 SLACK = 0.005
 SURE = 0.95
 SMOOTHING = 0.5
@@ -153,10 +157,10 @@ def _score(model: np.ndarray):
     return run
 
 
-def trusted_ids(labels: DataFrame, rows: int = TRUSTED_ROWS) -> DataFrame:
-    """doc_id, held: a bounded sample of well labelled ids; held ones set the threshold, the others train."""
+def trusted_ids(labels: DataFrame) -> DataFrame:
+    """doc_id, held: all well labelled ids; held ones set the threshold, the others train."""
     good = labels.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("q"), F.max("toxic").alias("t")).filter("q = 1 and t = 0")
-    return good.select("doc_id", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").limit(rows).select("doc_id", (F.pmod("h", F.lit(5)) == 0).alias("held"))
+    return good.select("doc_id", (F.pmod(F.xxhash64("doc_id"), F.lit(5)) == 0).alias("held"))
 
 
 def tolerance(n: int, slack: float = SLACK, sure: float = SURE) -> float:
@@ -172,16 +176,20 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     id_type = docs.schema["doc_id"].dataType.simpleString()
     some = materialize(trusted_ids(labels.select("doc_id", "quality", "toxic")), "trusted")
-    small = F.broadcast(some.select(F.col("doc_id").alias("t_id"), "held"))
-    marked = docs.join(small, F.col("doc_id") == F.col("t_id"), "left").select("text", F.coalesce(~F.col("held"), F.lit(False)).alias("trusted"))
+    side = some.select(F.col("doc_id").alias("t_id"), "held")
+    few = some.count() <= BROADCAST_TRUSTED
+    side = F.broadcast(side) if few else side
+    marked = docs.join(side, F.col("doc_id") == F.col("t_id"), "left").select("text", F.coalesce(~F.col("held"), F.lit(False)).alias("trusted"))
     counts = marked.mapInArrow(trimmed(_count), "cell int, raw long, good long").groupBy("cell").agg(F.sum("raw").alias("raw"), F.sum("good").alias("good"))
     model = ratios(counts.collect())  # BUCKETS rows at most, whatever the input
     scored = materialize(docs.mapInArrow(trimmed(_score(model)), f"doc_id {id_type}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, score double"), "scored")
-    held = scored.join(small.filter("held"), F.col("doc_id") == F.col("t_id"), "left_semi").filter("score is not null")
-    n, low, mean, spread = held.agg(F.count("score"), F.expr(f"percentile(score, {SLACK})"), F.mean("score"), F.stddev_samp("score")).first()
+    held = scored.join(side.filter("held"), F.col("doc_id") == F.col("t_id"), "left_semi").filter("score is not null")
+    n, mean, spread = held.agg(F.count("score"), F.mean("score"), F.stddev_samp("score")).first()
     if n * SLACK < 1:
         # One held row has no deviation, and two bound nothing: the base rules decide.
         low = mean - tolerance(n) * spread if n > 2 else None
+    else:
+        low = describe(held, [], F.col("score"), [SLACK]).first()["q"][0]
     threshold = -1e300 if low is None else max(low, -1e300)
     discard(some)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))

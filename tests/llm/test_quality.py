@@ -121,3 +121,30 @@ def test_without_labels_and_empty(spark, odd, empty):
     none = spark.createDataFrame([], LABELS)
     assert all(r["kept"] != r["base_failed"] for r in quality.judge(odd, none).collect())
     assert quality.judge(empty, none).count() == 0
+
+
+@pytest.mark.parametrize("most", [500_000, 1000])
+def test_all_trusted_rows_count(spark, words, monkeypatch, most):
+    """More trusted ids than a sample of 20,000 would hold, broadcast and shuffled: all train or set the threshold."""
+    monkeypatch.setattr(quality, "BROADCAST_TRUSTED", most)
+    n = 21_000
+    texts = [words(11 + i % 3, i) + f" x{i % 977}" + "#" * (i % 5) for i in range(n)]
+    docs = spark.createDataFrame([*enumerate(texts), (None, words(12, 1)), (None, None)], "doc_id long, text string")
+    good = spark.range(n).selectExpr("id AS doc_id", "1 AS quality", "0 AS toxic")
+    marks = {r["doc_id"]: r["held"] for r in quality.trusted_ids(good).collect()}
+    assert len(marks) == n
+    raw, fine, cells = Counter(grams(words(12, 1))), Counter(), [grams(t) for t in texts]
+    for i, c in enumerate(cells):
+        raw.update(c)
+        if not marks[i]:
+            fine.update(c)
+    r, f = (sum(c.values()) + 0.5 * 65536 for c in (raw, fine))
+    ratio = {x: math.log((fine[x] + 0.5) / f) - math.log((raw[x] + 0.5) / r) for x in raw}
+    score = [sum(ratio[x] for x in c) / len(c) for c in cells]
+    tail = sorted(s for i, s in enumerate(score) if marks[i])
+    place = 0.005 * (len(tail) - 1)
+    least = tail[int(place)] * (1 - place % 1) + tail[int(place) + 1] * (place % 1)
+    got = {r["doc_id"]: r for r in quality.judge(docs, good).filter("doc_id is not null").collect()}
+    assert len(got) == n and all(abs(got[i]["score"] - s) < 1e-9 for i, s in enumerate(score))
+    sure = [i for i, s in enumerate(score) if abs(s - least) > 1e-9]
+    assert len(sure) > n - 5 and all(got[i]["kept"] == (not got[i]["base_failed"] and score[i] >= least) for i in sure)
